@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import crc, table
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .language import identify_language
+from .licenses import scan_licenses
+from .packing import pack_documents
+from .quality import quality_scores, row_id
 from .secrets import scan_secrets
 from .url_filter import url_filter
 
@@ -24,6 +28,28 @@ def op3_secrets(spark, sf_dir):
     return out.select("doc_id", *counts, F.sha2(joined(of("assign", "access", "hex")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op4_quality(spark, sf_dir):
+    fold = lambda c: crc(c) % 4 == 2
+    out = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), train=~fold(row_id()))
+    return out.select("doc_id", fold(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op5_best_fit_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_license_scan(spark, sf_dir):
+    out = scan_licenses(table(spark, sf_dir, "documents"))
+    joined = [F.array_join(c, ",").alias(c) for c in ("base_labels", "labels")]
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", *joined, "score")
+
+
+def op7_language(spark, sf_dir):
+    fold = crc(F.col("doc_id")) % 5 == 0
+    out = identify_language(table(spark, sf_dir, "documents"), train=~fold)
+    return out.select("doc_id", fold.alias("held_out"), "lang_pred", "score")
+
+
 def op8_decontaminate(spark, sf_dir):
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.array_sort(F.transform("item_ids", lambda x: x.cast("string"))), ",")
@@ -34,6 +60,6 @@ def op10_url_filter(spark, sf_dir):
     return url_filter(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_secrets, op8_decontaminate, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_secrets, op4_quality, op5_best_fit_packing, op6_license_scan, op7_language, op8_decontaminate, op10_url_filter)}
 
 ORACLE: dict[str, str] = {}

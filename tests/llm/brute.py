@@ -92,3 +92,48 @@ def urls(pages):
         best = max(fits, default=None)
         out.append({"page_id": i, "host": host, "path": path, "rule": best and best[1], "verdict": best and best[2]})
     return out
+
+
+def licenses(docs):
+    phrases = {"cc-by": ["cc", "by"], "gpl": ["general", "public", "license"], "reserved": ["all", "rights", "reserved"]}
+    out = []
+    for i, t in docs:
+        w = words(t)
+        places = [(s, k) for k, p in phrases.items() for s in range(len(w)) if w[s : s + len(p)] == p]
+        at = [s for s, _ in places]
+        out.append({"doc_id": i, "n_words": len(w), "n_base": len(at), "first_word": min(at, default=None), "last_word": max(at, default=None), "base_labels": ",".join(sorted({k for _, k in places}))})
+    return out
+
+
+def check_packing(docs, rows, capacity=2048):
+    """Asserts a complete packing; returns the number of sequences."""
+    import zlib
+
+    import numpy as np
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r["doc_id"]].append(r)
+        by_sequence[r["sequence_id"]].append(r)
+    assert set(by_doc) == {i for i, _ in docs}
+    for i, text in docs:
+        ids = t.encode(text or "", add_special_tokens=False).ids + [0]
+        at = 0
+        for k, r in enumerate(sorted(by_doc[i], key=lambda r: r["piece"])):
+            part = np.array(ids[at : at + r["length"]], dtype="<u4")
+            assert (r["piece"], r["start"], r["ids_crc32"]) == (k, at, zlib.crc32(part.tobytes())), (i, r)
+            assert r["length"] == capacity or k == 0 and 0 < r["length"] <= capacity
+            at += r["length"]
+        assert at == len(ids)
+        assert len(by_doc[i]) == -(-len(ids) // capacity)
+    for own in by_sequence.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= capacity
+    return len(by_sequence)
