@@ -9,6 +9,7 @@ from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .language import identify_language
 from .licenses import scan_licenses
+from .near_dedup import near_dedup
 from .packing import pack_documents
 from .quality import quality_scores, row_id
 from .secrets import scan_secrets
@@ -56,10 +57,14 @@ def op8_decontaminate(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), "contaminated")
 
 
+def op9_near_dedup(spark, sf_dir):
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark, sf_dir):
     return url_filter(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_secrets, op4_quality, op5_best_fit_packing, op6_license_scan, op7_language, op8_decontaminate, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_secrets, op4_quality, op5_best_fit_packing, op6_license_scan, op7_language, op8_decontaminate, op9_near_dedup, op10_url_filter)}
 
 ORACLE: dict[str, str] = {}

@@ -137,3 +137,40 @@ def check_packing(docs, rows, capacity=2048):
             at += r["length"]
         assert at <= capacity
     return len(by_sequence)
+
+
+def shingle_sets(docs, k=5):
+    out = {}
+    for i, t in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", ascii_lower(t or ""))
+        out[i] = {tuple(w[s : s + k]) for s in range(max(1, len(w) - k + 1))} if w else set()
+    return out
+
+
+def links(docs):
+    """Linked pairs of documents with their sizes of intersection and union."""
+    sets, by = shingle_sets(docs), defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            by[x].append(i)
+    both = Counter()
+    for own in by.values():
+        for a in range(len(own)):
+            for b in range(a):
+                both[min(own[a], own[b]), max(own[a], own[b])] += 1
+    return {p: n for p, n in both.items() if 100 * n >= 75 * (len(sets[p[0]]) + len(sets[p[1]]) - n)}, sets, both
+
+
+def near(docs):
+    found, sets, _ = links(docs)
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in found:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [{"doc_id": i, "n_shingles": len(s), "component_id": find(i), "kept": find(i) == i} for i, s in sets.items()]
