@@ -65,3 +65,12 @@ def words(text: Column) -> Column:
 
 def crc(col: Column) -> Column:
     return F.crc32(col.cast("string").cast("binary"))
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str, broadcast_ids: int = 1_000_000) -> DataFrame:
+    """`docs` without the rows whose id is in `ids` (one column of that name); a null id matches a null id.
+
+    Up to `broadcast_ids` ids (8 bytes each) are broadcast, so texts stay where they are; more are joined in a shuffle."""
+    ids = staged(ids.select(F.col(id_col).alias("_gone")).distinct(), "gone")
+    hint = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
+    return docs.join(hint, docs[id_col].eqNullSafe(hint["_gone"]), "left_anti")

@@ -13,6 +13,7 @@ from .near_dedup import near_dedup
 from .packing import pack_documents
 from .quality import quality_scores, row_id
 from .secrets import scan_secrets
+from .suffix_dedup import suffix_dedup
 from .url_filter import url_filter
 
 
@@ -21,6 +22,10 @@ def op1_exact_dedup(spark, sf_dir):
     return out.withColumnRenamed("digest", "text_sha256")
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_secrets(spark, sf_dir):
     out = scan_secrets(table(spark, sf_dir, "documents"))
     of = lambda *kinds: F.filter("spans", lambda x: x["kind"].isin(*kinds))
@@ -65,6 +70,6 @@ def op10_url_filter(spark, sf_dir):
     return url_filter(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_secrets, op4_quality, op5_best_fit_packing, op6_license_scan, op7_language, op8_decontaminate, op9_near_dedup, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_secrets, op4_quality, op5_best_fit_packing, op6_license_scan, op7_language, op8_decontaminate, op9_near_dedup, op10_url_filter)}
 
 ORACLE: dict[str, str] = {}

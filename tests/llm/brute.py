@@ -174,3 +174,23 @@ def near(docs):
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
     return [{"doc_id": i, "n_shingles": len(s), "component_id": find(i), "kept": find(i) == i} for i, s in sets.items()]
+
+
+def repeats(docs, size=400):
+    seen = Counter()
+    data = [(i, (t or "").encode()) for i, t in docs]
+    for _, d in data:
+        seen.update(hash(d[p : p + size]) for p in range(len(d) - size + 1))
+    out = []
+    for i, d in data:
+        gone = bytearray(len(d))
+        upto = 0
+        for p in range(len(d) - size + 1):
+            if seen[hash(d[p : p + size])] > 1:
+                for b in range(max(p, upto), p + size):
+                    gone[b] = 1
+                upto = p + size
+        kept = bytes(b for b, g in zip(d, gone) if not g)
+        spans = sum(1 for k in range(len(gone)) if gone[k] and (k == 0 or not gone[k - 1]))
+        out.append({"doc_id": i, "n_bytes": len(d), "n_removed": sum(gone), "n_spans": spans, "kept_sha256": sha(kept)})
+    return out
