@@ -8,7 +8,8 @@ on what the earlier ones left:
 - by the bucket of the next anchors: a stretch from anchor to anchor that stands elsewhere too settles all strings
   inside it; of equal stretches only the first one takes part in later rounds,
 - by the buckets of short grams at all offsets: one that stands nowhere else rules out all strings around it,
-- by whether a bucket still has an open string at all,
+- by the bucket of the next short grams, as with anchors, which settles all but a few strings at a stretch's ends,
+- by whether a short gram's bucket still has an open string at all,
 - by the whole strings that are left.
 """
 
@@ -33,175 +34,211 @@ LOCAL_ROWS = 1_000_000
 #: Keys of documents with open strings are broadcast up to this many (8 bytes each); beyond it texts are shuffled.
 BROADCAST_KEYS = 1_000_000
 
-_ROW = "hash bigint, key bigint, pos int, state tinyint"
+_ROW = "hash bigint, key bigint, pos bigint, state tinyint"
 
-
-class _Text:
-    """A document with what the rounds so far have found out about it."""
-
-    def __init__(self, data: bytes, size: int):
-        self.data, self.size, self.n, self.q = data, size, len(data), size // 2
-        self.m = max(0, self.n - size + 1)
-        if self.m:
-            self.hashed = Hashed(data)
-            self.grams = self.hashed.every(self.q)
-            self.anchor = leftmost_minima(self.grams, size - self.q + 1)
-            self.anchors = np.unique(self.anchor)
-
-    def initial(self) -> tuple[np.ndarray, np.ndarray]:
-        return (self.grams[self.anchors], self.anchors) if self.m else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-
-    def candidates(self, repeated: np.ndarray) -> np.ndarray:
-        """Starts whose anchor's bucket has more than one suffix."""
-        ok = np.zeros(self.n, dtype=bool)
-        ok[repeated] = True
-        return ok[self.anchor]
-
-    def stretches(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, end and name: from each repeated anchor to the first one that makes `size` bytes; also from the
-        text's start and to its end, so that whole copies are settled to their ends. Names follow the starts."""
-        u, ok = self.anchors, np.isin(self.anchors, repeated)
-        start = np.unique(np.append(u[ok], 0))
-        j = np.searchsorted(u, start + self.size - self.q)
-        keep = j < len(u)
-        keep[keep] &= ok[j[keep]]
-        start, end = start[keep], u[j[keep]] + self.q
-        name = 2 * start
-        last = u[ok & (u <= self.n - self.size)]
-        if len(last):
-            start, end, name = np.append(start, last[-1]), np.append(end, self.n), np.append(name, 2 * last[-1] + 1)
-        return start, end, name
-
-    def inside(self, a1, names) -> np.ndarray:
-        """Starts of strings inside the named stretches."""
-        start, end, name = self.stretches(a1)
-        ok = np.isin(name, names)
-        return covered(start[ok], end[ok] - self.size + 1, self.m)
-
-    def dense(self, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Chosen place of each context of GRAM_WIDTH grams (or -1), and all distinct ones, where `strings` cover them."""
-        at = np.flatnonzero(strings)
-        within = covered(at, at + self.size, self.n)
-        self.short = self.hashed.every(GRAM)
-        chosen = leftmost_minima(self.short, GRAM_WIDTH)
-        chosen = np.where(within[chosen] & within[chosen + GRAM - 1], chosen, -1)
-        places = np.unique(chosen)
-        return chosen, places[places >= 0]
-
-    def alive(self, strings: np.ndarray, g3) -> np.ndarray:
-        """Strings without a context whose gram stands nowhere else."""
-        chosen, _ = self.dense(strings)
-        at = np.flatnonzero((chosen >= 0) & ~np.isin(chosen, g3))
-        return strings & ~covered(at + GRAM_WIDTH - 1 + GRAM - self.size, at + 1, self.m)
+#: state of a row: alone so far; the first of its hash, which repeats in the same task; another one of that hash; a
+#: run of starts that a round found out about its text and hands on.
+ALONE, FIRST, MORE, RUN = range(4)
 
 
 def _ints(x) -> np.ndarray:
     return np.zeros(0, dtype=np.int64) if x is None else np.asarray(x, dtype=np.int64)
 
 
-def _parts(text: _Text, a1, s2, r2) -> tuple[np.ndarray, np.ndarray]:
-    """Strings that take part in later rounds, and those of them that are not settled. A string of a settled stretch
-    takes part where all its stretches are the first of their kind; of equal strings the first one always does."""
-    a1, s2 = _ints(a1), _ints(s2)
-    candidates = text.candidates(a1)
-    settled = text.inside(a1, s2)
-    return candidates & ~text.inside(a1, np.setdiff1d(s2, _ints(r2))), candidates & ~settled
-
-
-def _round1(text: _Text):
-    return *text.initial(), None
+def _packed(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Runs as single numbers that sort by start."""
+    return (start.astype(np.int64) << 32) | end.astype(np.int64)
 
 
-def _round2(text: _Text, a1):
-    start, end, name = text.stretches(_ints(a1))
-    return text.hashed.at(start, end), name, None
+def _unpacked(x) -> tuple[np.ndarray, np.ndarray]:
+    x = _ints(x)
+    return x >> 32, x & 0xFFFFFFFF
 
 
-def _round3(text: _Text, a1, s2, r2):
-    _, at = text.dense(_parts(text, a1, s2, r2)[0])
-    return text.short[at], at, None
-
+class _Text:
+    """A document's bytes and hashes; `m` is how many strings of `size` bytes start in it."""
 
-def _round4(text: _Text, a1, s2, r2, g3):
-    part, open_ = _parts(text, a1, s2, r2)
-    alive = text.alive(part, _ints(g3))
-    at, wanted = np.unique(text.anchor[alive]), np.unique(text.anchor[alive & open_])
-    return text.grams[at], at, np.isin(at, wanted)
+    def __init__(self, data: bytes, size: int):
+        self.size, self.n, self.q = size, len(data), size // 2
+        self.m = max(0, self.n - size + 1)
+        self.hashed = Hashed(data) if self.m else None
 
+    def anchors(self) -> None:
+        self.grams = self.hashed.every(self.q)
+        self.anchor = leftmost_minima(self.grams, self.size - self.q + 1)
+        self.places = np.unique(self.anchor)
 
-def _round5(text: _Text, a1, s2, r2, g3, u4):
-    part, _ = _parts(text, a1, s2, r2)
-    active = np.zeros(text.n, dtype=bool)
-    active[_ints(u4)] = True
-    at = np.flatnonzero(text.alive(part, _ints(g3)) & active[text.anchor])
-    return text.hashed.every(text.size)[at], at, None
+    def contexts(self) -> None:
+        """Chosen short gram of the context of GRAM_WIDTH grams that starts at each place."""
+        self.short = self.hashed.every(GRAM)
+        self.chosen = leftmost_minima(self.short, GRAM_WIDTH)
+
+    def starts(self, packed) -> np.ndarray:
+        """Mask of starts in the given runs of starts."""
+        return covered(*_unpacked(packed), self.m)
+
+    def inside(self, packed) -> np.ndarray:
+        """Mask of starts whose strings lie in the given stretches of bytes."""
+        start, end = _unpacked(packed)
+        return covered(start, end - self.size + 1, self.m)
+
+    def spanned(self, strings: np.ndarray) -> np.ndarray:
+        """Mask of bytes that the strings cover."""
+        start, end = runs(strings)
+        return covered(start, end + self.size - 1, self.n)
+
+
+def _round1(text: _Text) -> list:
+    """Anchors, by their q-gram."""
+    text.anchors()
+    return [(text.grams[text.places], text.places, None)]
+
+
+def _round2(text: _Text, a1) -> list:
+    """Stretches from each repeated anchor to the first one that makes `size` bytes, also from the text's start and to
+    its end, so that whole copies are settled to their ends; and the runs of candidates: starts whose anchor repeats."""
+    text.anchors()
+    u = text.places
+    ok = np.isin(u, _ints(a1))
+    good = np.zeros(text.n, dtype=bool)
+    good[u[ok]] = True
+    start = np.unique(np.append(u[ok], 0))
+    j = np.searchsorted(u, start + text.size - text.q)
+    keep = j < len(u)
+    keep[keep] &= ok[j[keep]]
+    start, end = start[keep], u[j[keep]] + text.q
+    last = u[ok & (u <= text.n - text.size)]
+    if len(last):
+        start, end = np.append(start, last[-1]), np.append(end, text.n)
+    pos, first = np.unique(_packed(start, end), return_index=True)
+    run = _packed(*runs(good[text.anchor]))
+    return [(text.hashed.at(start[first], end[first]), pos, None), (np.zeros(len(run), np.uint64), run, RUN)]
+
+
+def _taking_part(text: _Text, c2, s2, r2) -> np.ndarray:
+    """Candidates in no stretch, or only in stretches that are the first of their kind. Of equal strings the first one
+    always takes part: a stretch around it can't have an earlier equal."""
+    return text.starts(c2) & ~text.inside(np.setdiff1d(_ints(s2), _ints(r2)))
+
+
+def _round3(text: _Text, c2, s2, r2) -> list:
+    """Short grams of the contexts in strings that take part."""
+    part = _taking_part(text, c2, s2, r2)
+    if not part.any():
+        return []
+    text.contexts()
+    within = text.spanned(part)
+    at = np.unique(text.chosen)
+    at = at[within[at] & within[at + GRAM - 1]]
+    return [(text.short[at], at, None)]
+
+
+def _round4(text: _Text, c2, s2, r2, g3) -> list:
+    """Without strings around a gram that stands nowhere else: stretches from short gram to short gram, and the runs of
+    starts that are still alive."""
+    part = _taking_part(text, c2, s2, r2)
+    if not part.any():
+        return []
+    text.contexts()
+    within, known = text.spanned(part), np.zeros(text.n, dtype=bool)
+    known[_ints(g3)] = True
+    seen = within[text.chosen] & within[text.chosen + GRAM - 1]
+    alone = np.flatnonzero(seen & ~known[text.chosen])
+    alive = part & ~covered(alone + GRAM_WIDTH - 1 + GRAM - text.size, alone + 1, text.m)
+    run = _packed(*runs(alive))
+    at = np.unique(text.chosen[seen])
+    start = at[at < text.m]
+    start = start[alive[start]]
+    j = np.searchsorted(at, start + text.size - GRAM)
+    start, j = start[j < len(at)], j[j < len(at)]
+    end = at[j] + GRAM
+    keep = alive[end - text.size]
+    start, end = start[keep], end[keep]
+    return [(text.hashed.at(start, end), _packed(start, end), None), (np.zeros(len(run), np.uint64), run, RUN)]
+
+
+def _round5(text: _Text, s2, a4, s4, r4) -> list:
+    """Runs of starts that share a context's short gram, by that gram; FIRST where one of them is open."""
+    alive = text.starts(a4) & ~text.inside(np.setdiff1d(_ints(s4), _ints(r4)))
+    if not alive.any():
+        return []
+    text.contexts()
+    open_ = alive & ~text.inside(s2) & ~text.inside(s4)
+    chosen = np.where(alive, text.chosen[: text.m], -1)
+    start = np.flatnonzero(np.append(True, chosen[1:] != chosen[:-1]) & (chosen >= 0))
+    edge = np.flatnonzero(np.append(chosen[1:] != chosen[:-1], True) & (chosen >= 0)) + 1
+    opens = np.cumsum(np.append(0, open_))
+    state = np.where(opens[edge] > opens[start], FIRST, ALONE)
+    return [(text.short[chosen[start]], _packed(start, edge), state)]
+
+
+def _round6(text: _Text, u5) -> list:
+    """Whole strings of the runs that are left."""
+    start, end = _unpacked(u5)
+    at = np.flatnonzero(covered(start, end, text.m))
+    return [(text.hashed.at(at, at + text.size), at, None)]
 
 
 def _local_repeats(h: np.ndarray, key: np.ndarray, pos: np.ndarray) -> pd.DataFrame:
-    """state 0: alone so far; 1: the first of its hash, which repeats here; 2: another one of that hash."""
     order = np.lexsort((pos, key, h))
     h, key, pos = h[order], key[order], pos[order]
     first = np.append(True, h[1:] != h[:-1])
     more = np.append(~first[1:], False)
-    state = np.where(first, np.where(more, 1, 0), 2).astype(np.int8)
-    return pd.DataFrame({"hash": h.astype(np.int64), "key": key, "pos": pos.astype(np.int32), "state": state})
+    return _frame(h, key, pos, np.where(first, np.where(more, FIRST, ALONE), MORE))
 
 
-def _marked(h: np.ndarray, key: np.ndarray, pos: np.ndarray, mark: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"hash": h.astype(np.int64), "key": key, "pos": pos.astype(np.int32), "state": mark.astype(np.int8)})
+def _frame(h: np.ndarray, key: np.ndarray, pos: np.ndarray, state: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"hash": h.astype(np.int64), "key": key, "pos": pos.astype(np.int64), "state": state.astype(np.int8)})
 
 
 def _rows(texts: DataFrame, of: Callable, size: int, state: list[str], name: str) -> DataFrame:
-    """What `of` returns for each text: hash, key, pos and state."""
+    """What `of` returns for each text: parts of hash, pos and state (None: to be found out in this task)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n = [], 0
-
-        def flush() -> pd.DataFrame:
-            h, key, pos, mark = zip(*held, strict=True)
-            own = (np.concatenate(h), np.concatenate(key), np.concatenate(pos))
-            return _local_repeats(*own) if mark[0] is None else _marked(*own, np.concatenate(mark))
-
         for batch in batches:
             for key, data, *known in zip(batch["key"].tolist(), batch["text"].tolist(), *(batch[c].tolist() for c in state), strict=True):
                 text = _Text(data.encode("utf-8", "surrogatepass"), size)
-                if not text.m:
-                    continue
-                h, pos, mark = of(text, *known)
-                if len(h):
-                    held.append((h, np.full(len(h), key, dtype=np.int64), pos, mark))
-                    n += len(h)
+                for h, pos, mark in of(text, *known) if text.m else ():
+                    if not len(h):
+                        continue
+                    own = np.full(len(h), key, dtype=np.int64)
+                    if mark is None:
+                        held.append((h, own, pos))
+                        n += len(h)
+                    else:
+                        yield _frame(h, own, pos, np.broadcast_to(mark, len(h)))
                 if n >= LOCAL_ROWS:
-                    yield flush()
+                    yield _local_repeats(*(np.concatenate(x) for x in zip(*held, strict=True)))
                     held, n = [], 0
         if held:
-            yield flush()
+            yield _local_repeats(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return staged(texts.select("key", "text", *state).mapInPandas(run, _ROW), f"round-{name}")
 
 
-def _lists(found: DataFrame, name: str) -> DataFrame:
-    return staged(found.groupBy("key").agg(F.array_sort(F.collect_set("pos")).alias(name)), f"found-{name}")
-
-
 def _repeated(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(key, pos) of rows whose hash occurs more than once, and of the first row of each such hash.
 
     Each task has found what repeats within it, so at most one row for a hash and LOCAL_ROWS rows is shuffled: a
     string that a third of all texts hold meets in one task as a few rows."""
     by_hash = Window.partitionBy("hash")
-    met = rows.where("state < 2").withColumn("c", F.count("*").over(by_hash)).withColumn("r", F.row_number().over(by_hash.orderBy("key", "pos")))
-    found = rows.where("state > 0").select("key", "pos").union(met.where("c > 1 and state = 0").select("key", "pos"))
-    return found, met.where("r = 1 and (c > 1 or state = 1)").select("key", "pos")
+    met = rows.where(f"state <= {FIRST}").withColumn("c", F.count("*").over(by_hash)).withColumn("r", F.row_number().over(by_hash.orderBy("key", "pos")))
+    found = rows.where(f"state IN ({FIRST}, {MORE})").select("key", "pos").union(met.where(f"c > 1 and state = {ALONE}").select("key", "pos"))
+    return found, met.where(f"r = 1 and (c > 1 or state = {FIRST})").select("key", "pos")
 
 
 def _wanted(rows: DataFrame) -> DataFrame:
     """(key, pos) of rows whose hash some marked row has. Unmarked rows are distinct content, hence few for a hash."""
-    marked = rows.where("state = 1")
-    met = rows.where("state = 0").join(marked.select("hash").distinct(), "hash", "left_semi")
+    marked = rows.where(f"state = {FIRST}")
+    met = rows.where(f"state = {ALONE}").join(marked.select("hash").distinct(), "hash", "left_semi")
     return marked.select("key", "pos").union(met.select("key", "pos"))
 
 
+def _lists(found: DataFrame, name: str) -> DataFrame:
+    return staged(found.groupBy("key").agg(F.array_sort(F.collect_set("pos")).alias(name)), f"found-{name}")
+
+
 def _bucketed(df: DataFrame, key: str, parts: int) -> DataFrame:
     """`df` as a table bucketed by `key` in the shared folder, so that later joins on it move the other side only."""
     spark, name = df.sparkSession, f"texts_{uuid.uuid4().hex}"
@@ -231,28 +268,37 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             known = known.join(_lists(found, name), "key", "left")
         return known
 
-    repeated, firsts = _repeated(_rows(texts.join(a1, "key"), _round2, size, ["a1"], "s2"))
-    known = with_found(a1, s2=repeated, r2=firsts)
-    known = with_found(known, g3=_repeated(_rows(texts.join(known, "key"), _round3, size, ["a1", "s2", "r2"], "g3"))[0])
-    known = with_found(known, u4=_wanted(_rows(texts.join(known, "key"), _round4, size, ["a1", "s2", "r2", "g3"], "u4")))
-    known = with_found(known, w5=_repeated(_rows(texts.join(known, "key"), _round5, size, ["a1", "s2", "r2", "g3", "u4"], "w5"))[0])
+    def taken(known: DataFrame, of: Callable, state: list[str], name: str) -> DataFrame:
+        return _rows(texts.join(known.select("key", *state), "key"), of, size, state, name)
+
+    rows = taken(a1, _round2, ["a1"], "s2")
+    repeated, firsts = _repeated(rows)
+    known = with_found(a1.select("key"), c2=rows.where(f"state = {RUN}").select("key", "pos"), s2=repeated, r2=firsts)
+    early = ["c2", "s2", "r2"]
+    known = with_found(known, g3=_repeated(taken(known, _round3, early, "g3"))[0])
+    rows = taken(known, _round4, [*early, "g3"], "s4")
+    repeated, firsts = _repeated(rows)
+    known = with_found(known.select("key", "s2"), a4=rows.where(f"state = {RUN}").select("key", "pos"), s4=repeated, r4=firsts)
+    left = known.where("a4 IS NOT NULL")
+    u5 = _lists(_wanted(taken(left, _round5, ["s2", "a4", "s4", "r4"], "u5")), "u5")
+    known = with_found(known.select("key", "s2", "s4"), w6=_repeated(taken(u5, _round6, ["u5"], "w6"))[0])
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"_id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary, spans array<struct<start:bigint,end:bigint>>" * with_text
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for i, data, a1, s2, w5 in zip(*(batch[c].tolist() for c in ("_id", "text", "a1", "s2", "w5")), strict=True):
-                t = _Text(data.encode("utf-8", "surrogatepass"), size)
-                starts = np.concatenate([np.flatnonzero(t.inside(_ints(a1), _ints(s2))), _ints(w5)])
-                gone = covered(starts, starts + size, t.n)
+            for i, text, s2, s4, w6 in zip(*(batch[c].tolist() for c in ("_id", "text", "s2", "s4", "w6")), strict=True):
+                data = text.encode("utf-8", "surrogatepass")
+                (b2, e2), (b4, e4), w = _unpacked(s2), _unpacked(s4), _ints(w6)
+                gone = covered(np.concatenate([b2, b4, w]), np.concatenate([e2, e4, w + size]), len(data))
                 first, last = runs(gone)
-                kept = np.frombuffer(t.data, dtype=np.uint8)[~gone].tobytes()
-                row = (i, t.n, int(gone.sum()), len(first), hashlib.sha256(kept).hexdigest())
+                kept = np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()
+                row = (i, len(data), int(gone.sum()), len(first), hashlib.sha256(kept).hexdigest())
                 out.append(row + ((kept, [{"start": int(x), "end": int(y)} for x, y in zip(first, last, strict=True)]) if with_text else ()))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
-    touched = texts.join(known, "key").select("_id", "text", "a1", "s2", "w5").mapInPandas(cut, schema)
+    touched = texts.join(known, "key").select("_id", "text", "s2", "s4", "w6").mapInPandas(cut, schema)
     n = F.octet_length("text").cast("long")
     rest = base.join(keys, "key", "left_anti").select("_id", n.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), *([F.col("text").cast("binary").alias("kept"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans")] if with_text else []))
     return touched.union(rest).withColumnRenamed("_id", id_col)
