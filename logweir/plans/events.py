@@ -62,11 +62,19 @@ def normalised(records: DataFrame, key: bytes, robots: list[RobotsRule] | None =
     return out.withColumn("reject_code", F.expr(f"CASE WHEN raw_code IS NOT NULL THEN raw_code WHEN {bad} THEN 'invalid_uri' END"))
 
 
+def _where(df: DataFrame, condition: str) -> DataFrame:
+    """A filter that stays above the projections it tests.
+
+    Pushed down it would be rewritten over the raw columns, with the whole chain of expressions copied for each use;
+    the row number, which no rule moves, keeps the test where its columns already are."""
+    return df.withColumn("_row", F.monotonically_increasing_id()).where(f"{condition} AND _row >= 0").drop("_row")
+
+
 def events(records: DataFrame, key: bytes, robots: list[RobotsRule] | None = None) -> DataFrame:
     """Accepted events only; addresses, targets, agents and referers are gone."""
-    return normalised(records, key, robots).where("reject_code IS NULL").select(*EVENT_COLUMNS)
+    return _where(normalised(records, key, robots), "reject_code IS NULL").select(*EVENT_COLUMNS)
 
 
 def rejects(records: DataFrame, key: bytes) -> DataFrame:
     """(seq, code) of rejected records; never any content."""
-    return normalised(records, key).where("reject_code IS NOT NULL").select("seq", F.col("reject_code").alias("code"))
+    return _where(normalised(records, key), "reject_code IS NOT NULL").select("seq", F.col("reject_code").alias("code"))

@@ -170,7 +170,7 @@ def prj06_cache_state(spark, sf_dir):
 @query("SELECT seq, CASE WHEN seq % 11 = 0 THEN 'invalid_timestamp' WHEN seq % 13 = 0 THEN 'invalid_method' WHEN seq % 17 = 0 THEN 'invalid_uri' WHEN seq % 19 = 0 THEN 'invalid_status' WHEN seq % 23 = 0 THEN 'invalid_bytes' WHEN seq % 29 = 0 THEN 'invalid_duration' WHEN seq % 31 = 0 THEN 'invalid_user_agent' WHEN seq % 37 = 0 THEN 'invalid_referer' END AS code FROM rec", RAW)
 def prj01_raw_checks(spark, sf_dir):
     r = records(spark, sf_dir)
-    broken = {"ts_us": (11, "0L"), "method": (13, "'G T'"), "request_uri": (17, "concat(request_uri, chr(10))"), "status": (19, "600"), "bytes_sent": (23, "-1L"), "request_duration_us": (29, "-1L"), "user_agent": (31, "repeat('a', 4097)"), "referer": (37, "concat('x', chr(8232))")}
+    broken = {"ts_us": (11, "0L"), "method": (13, "'G T'"), "request_uri": (17, "concat(request_uri, chr(10))"), "status": (19, "600"), "bytes_sent": (23, "-1L"), "request_duration_us": (29, "-1L"), "user_agent": (31, "repeat('a', 4097)"), "referer": (37, "concat('x', '\u2028')")}
     r = r.withColumns({c: F.expr(f"CASE WHEN seq % {m} = 0 THEN {v} ELSE {c} END") for c, (m, v) in broken.items()})
     return r.select("seq", F.expr(pe.raw_code()).alias("code"))
 
