@@ -443,8 +443,8 @@ def str19_baseline(spark, sf_dir):
 
 # --- cost ----------------------------------------------------------------------------------------------------------
 
-_COST = """SELECT {key}, CAST((2 * CAST(bytes_sent AS HUGEINT) * 12300 + 1073741824) // (2 * 1073741824) AS BIGINT) AS egress_kopecks,
-  CASE WHEN full_coverage THEN CAST((2 * CAST(500000 AS HUGEINT) * win * coalesce(upstream_duration_us, 0) + 2629746 * total) // (2 * 2629746 * total) AS BIGINT) END AS hosting_kopecks
+_COST = """SELECT {key}, CAST((2 * CAST(bytes_sent AS HUGEINT) * 12300 + 1073741824) // 2147483648::HUGEINT AS BIGINT) AS egress_kopecks,
+  CASE WHEN full_coverage THEN CAST((2 * CAST(500000 AS HUGEINT) * win * coalesce(upstream_duration_us, 0) + CAST(2629746 AS HUGEINT) * total) // (2 * CAST(2629746 AS HUGEINT) * total) AS BIGINT) END AS hosting_kopecks
 FROM {rows}, (SELECT greatest(1, (max(ts_us) - min(ts_us) + 999999) // 1000000) AS win, CAST(sum(upstream_duration_us) AS HUGEINT) AS total, count(*) = count(upstream_duration_us) AS full_coverage FROM ev) t"""
 
 
@@ -516,7 +516,7 @@ def wn07_top_routes(spark, sf_dir):
     return policy.top_routes(named_cells(spark, sf_dir), POLICY)
 
 
-@query("SELECT rule_index, CAST(sum(bytes_sent) AS BIGINT) AS bytes_avoided, CAST((2 * CAST(sum(bytes_sent) AS HUGEINT) * 12300 + 1073741824) // (2 * 1073741824) AS BIGINT) AS avoided_kopecks FROM hit WHERE rule_index IN (1, 4) GROUP BY 1", _POLICY)
+@query("SELECT rule_index, CAST(sum(bytes_sent) AS BIGINT) AS bytes_avoided, CAST((2 * CAST(sum(bytes_sent) AS HUGEINT) * 12300 + 1073741824) // 2147483648::HUGEINT AS BIGINT) AS avoided_kopecks FROM hit WHERE rule_index IN (1, 4) GROUP BY 1", _POLICY)
 def ag29_avoided(spark, sf_dir):
     e = ev(spark, sf_dir)
     rows = policy.rule_impacts(named_cells(spark, sf_dir), POLICY).where("kind = 'deny'")
@@ -669,7 +669,7 @@ def set06_union(spark, sf_dir):
 @query("SELECT DISTINCT route FROM ev WHERE method = 'GET' EXCEPT SELECT DISTINCT route FROM ev WHERE method = 'HEAD'")
 def set05_except(spark, sf_dir):
     e = ev(spark, sf_dir)
-    return e.where("method = 'GET'").select("route").exceptAll(e.where("method = 'HEAD'").select("route")).distinct().join(e.where("method = 'HEAD'").select("route").distinct(), "route", "left_anti")
+    return e.where("method = 'GET'").select("route").subtract(e.where("method = 'HEAD'").select("route"))
 
 
 @query(f"SELECT route, {o.ppm('status_404', 'requests')} AS ppm FROM routes", _ROUTES)

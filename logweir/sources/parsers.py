@@ -73,7 +73,9 @@ def nginx_combined(lines: DataFrame) -> DataFrame:
 def _variant(lines: DataFrame) -> DataFrame:
     """Adds v and its schema as text; null where the line is no JSON object, has a repeated key or something after it."""
     out = lines.withColumn("v", F.try_parse_json(F.when(F.rlike("line", F.lit(r"(?s)^\s*\{.*\}\s*\z")), F.col("line"))))
-    one = F.expr("json_object_keys(line)").isNotNull()
+    # as the only element of an array, so that nothing may follow it
+    alone = F.try_parse_json(F.concat(F.lit("["), F.col("line"), F.lit("]")))
+    one = alone.isNotNull() & F.try_variant_get(alone, "$[1]", "variant").isNull()
     return out.withColumn("shape", F.when(one, F.schema_of_variant("v")))
 
 
