@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .common import crc, table
+from .common import WORD, crc, table
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .language import identify_language
@@ -14,7 +14,7 @@ from .packing import pack_documents
 from .quality import quality_scores, row_id
 from .secrets import scan_secrets
 from .suffix_dedup import suffix_dedup
-from .url_filter import url_filter
+from .url_filter import PATTERN_RULES, url_filter
 
 
 def op1_exact_dedup(spark, sf_dir):
@@ -72,4 +72,25 @@ def op10_url_filter(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_secrets, op4_quality, op5_best_fit_packing, op6_license_scan, op7_language, op8_decontaminate, op9_near_dedup, op10_url_filter)}
 
-ORACLE: dict[str, str] = {}
+_LOW = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), {_LOW}), '{WORD}')"
+_PATTERNS = "|".join(f"(?:{r.pattern})" for r in PATTERN_RULES)
+
+#: SQL twins. The others learn, tokenise, or need components, running positions or bounded errors: their tests hold
+#: them against plain versions.
+ORACLE: dict[str, str] = {
+    "op1_exact_dedup": """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op8_decontaminate": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, w[s:s + 9] AS win FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM i WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT len(win) AS n FROM win),
+hit AS (SELECT doc_id, s, n, item_id FROM (SELECT doc_id, n, s, w[s:s + n - 1] AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, sizes WHERE len(w) >= n)) JOIN win USING (win)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY 1),
+ids AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hit GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated FROM d LEFT JOIN words USING (doc_id) LEFT JOIN ids USING (doc_id)""",
+    "op10_url_filter": f"""WITH u AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), {_LOW}) AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u),
+r AS (SELECT *, CASE WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/en/7') THEN 'example.com/en/7' WHEN ('.' || host) LIKE '%.example.net' AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+  WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/en/') THEN 'com/en/' WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/de/') THEN 'net/de/' WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/es/') THEN 'org/es/' END AS rule FROM h)
+SELECT page_id, host, path, rule, CASE WHEN rule = 'example.com/en/7' THEN 'allow' WHEN rule IS NOT NULL OR regexp_matches(host || path, '{_PATTERNS}') THEN 'block' ELSE 'allow' END AS verdict FROM r""",
+}
