@@ -95,21 +95,21 @@ def _round1(text: _Text) -> list:
 
 
 def _round2(text: _Text, a1) -> list:
-    """Stretches from each repeated anchor to the first one that makes `size` bytes, also from the text's start and to
-    its end, so that whole copies are settled to their ends; and the runs of candidates: starts whose anchor repeats."""
+    """Stretches from each repeated anchor that hold all strings up to the next one's, ended by an anchor or the text's
+    end, and one from the text's start, so that whole copies are settled; and the runs of candidates: starts whose
+    anchor repeats."""
     text.anchors()
     u = text.places
     ok = np.isin(u, _ints(a1))
     good = np.zeros(text.n, dtype=bool)
     good[u[ok]] = True
     start = np.unique(np.append(u[ok], 0))
-    j = np.searchsorted(u, start + text.size - text.q)
-    keep = j < len(u)
-    keep[keep] &= ok[j[keep]]
-    start, end = start[keep], u[j[keep]] + text.q
-    last = u[ok & (u <= text.n - text.size)]
-    if len(last):
-        start, end = np.append(start, last[-1]), np.append(end, text.n)
+    follows = np.append(start[1:], start[-1] + 1)
+    j = np.searchsorted(u, follows - 1 + text.size - text.q)
+    inner = j < len(u)
+    keep = (start < text.m) & (follows <= text.m) & (~inner | ok[np.minimum(j, len(u) - 1)])
+    end = np.where(inner, u[np.minimum(j, len(u) - 1)] + text.q, text.n)
+    start, end = start[keep], end[keep]
     pos, first = np.unique(_packed(start, end), return_index=True)
     run = _packed(*runs(good[text.anchor]))
     return [(text.hashed.at(start[first], end[first]), pos, None), (np.zeros(len(run), np.uint64), run, RUN)]
@@ -147,11 +147,11 @@ def _round4(text: _Text, c2, s2, r2, g3) -> list:
     alive = part & ~covered(alone + GRAM_WIDTH - 1 + GRAM - text.size, alone + 1, text.m)
     run = _packed(*runs(alive))
     at = np.unique(text.chosen[seen])
-    start = at[at < text.m]
-    start = start[alive[start]]
-    j = np.searchsorted(at, start + text.size - GRAM)
-    start, j = start[j < len(at)], j[j < len(at)]
-    end = at[j] + GRAM
+    follows = np.append(at[1:], text.n)
+    start, follows = at[at < text.m], np.minimum(follows[at < text.m], text.m)
+    start, follows = start[alive[start]], follows[alive[start]]
+    j = np.searchsorted(at, follows - 1 + text.size - GRAM)
+    end = np.where(j < len(at), at[np.minimum(j, len(at) - 1)] + GRAM, text.n)
     keep = alive[end - text.size]
     start, end = start[keep], end[keep]
     return [(text.hashed.at(start, end), _packed(start, end), None), (np.zeros(len(run), np.uint64), run, RUN)]
