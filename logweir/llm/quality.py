@@ -81,7 +81,7 @@ def _solve(a: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
     return np.linalg.solve(a + penalty, y)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", ridge: float = 0.3, width: float = 4.0, threshold: float = 0.7) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", ridge: float = 0.05, width: float = 8.0, threshold: float = 0.7) -> DataFrame:
     """One row for each input row: the id column, score (0 to 1) and predicted (1 where score >= threshold, else 0).
 
     `train` is a condition on `row_id()` that marks the rows whose labels may be used; null labels are
