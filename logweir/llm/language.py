@@ -16,7 +16,7 @@ BUCKETS = 1 << 15
 #: Languages in the model; of more, those with fewest trigrams are not learned.
 MAX_LANGUAGES = 256
 #: Bytes of text that are handled as one array.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
