@@ -19,9 +19,13 @@ MINWISE = 128
 TREES, ROOT_TOKENS = 28, 3
 #: Nodes of at most so many documents are compared exhaustively.
 LEAF = 512
-#: Levels after which a node that is still larger is cut into leaves that share pivots.
-LEVELS = 7
+#: Levels after which a node that is still larger is compared exactly, in blocks of about LEAF documents; before that,
+#: one that keeps KEPT of its parent's documents or more, since branching only multiplies its rows.
+LEVELS, KEPT = 7, 3 / 4
+#: A first look at such nodes connects what is similar to a few of their documents.
 PIVOTS = 8
+#: Shingles in a block of an exact comparison (8 bytes each); long documents make smaller blocks.
+BLOCK_SHINGLES = 1 << 20
 #: A sketch's estimate may fall short of the true similarity by so much (over 4 standard deviations) before a pair is
 #: left out; pairs that stay are confirmed on their full sets.
 MARGIN = 0.16
@@ -87,7 +91,8 @@ def _documents(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
 
 
 def _children(rows: DataFrame, level: int) -> DataFrame:
-    """Child nodes of (id, node, mw) rows: `node` and one or two of the document's minwise tokens chosen by it.
+    """Child nodes of (id, node, c, mw) rows: `node` and one or two of the document's minwise tokens chosen by it, with
+    the number of documents of the parent.
 
     A node picks 4/3 of the minwise functions on average, so a pair of similarity 3/4 has one common child or more."""
 
@@ -101,9 +106,9 @@ def _children(rows: DataFrame, level: int) -> DataFrame:
                 keep = np.ones(len(ids), dtype=bool) if branch == 0 else pick % np.uint64(3) == 0
                 token = mw[at, ((pick >> np.uint64(8)) % np.uint64(MINWISE)).astype(int)].astype(np.uint64)
                 child = _mix(_mix(node ^ pick) + token).astype(np.int64)
-                yield pd.DataFrame({"id": ids[keep], "node": child[keep]})
+                yield pd.DataFrame({"id": ids[keep], "node": child[keep], "parent": batch["c"].to_numpy()[keep]})
 
-    return rows.mapInPandas(run, "id bigint, node bigint")
+    return rows.mapInPandas(run, "id bigint, node bigint, parent bigint")
 
 
 def _roots(sets: DataFrame) -> DataFrame:
@@ -121,9 +126,12 @@ def _roots(sets: DataFrame) -> DataFrame:
     return sets.mapInPandas(run, "id bigint, node bigint")
 
 
-def _leaves(sets: DataFrame) -> DataFrame:
-    """Memberships (id, node) of nodes with 2 to LEAF documents."""
-    rows, leaves = staged(_roots(sets), "nodes"), []
+def _leaves(sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Memberships (id, node) of nodes with 2 to LEAF documents, and those of larger nodes that don't branch on.
+
+    Larger nodes also give leaves for a first look: as many as they need, by the id's hash, with the same few pivots in
+    all of them. That look finds links cheaply but not all: `_across` compares what it leaves apart."""
+    rows, leaves, whole = staged(_roots(sets).withColumn("parent", F.lit(None).cast("long")), "nodes"), [], []
     for level in range(1, LEVELS + 1):
         counts = rows.groupBy("node").agg(F.count("*").alias("c")).where("c > 1")
         counted = staged(salted_lookup(rows, counts, "node", "id").where("c is not null"), "nodes")
@@ -131,19 +139,28 @@ def _leaves(sets: DataFrame) -> DataFrame:
         large = counted.where(F.col("c") > LEAF)
         if large.isEmpty():
             break
+        stays = F.lit(level == LEVELS) | F.coalesce(F.col("c") >= KEPT * F.col("parent"), F.lit(False))
+        whole.append(large.where(stays).select("id", "node", "c"))
         if level < LEVELS:
-            rows = staged(_children(large.join(sets.select("id", "mw"), "id"), level), "nodes")
-            continue
-        # as many leaves as the rest needs, by the id's hash; the same few pivots stand in all of a node's leaves
+            rows = staged(_children(large.where(~stays).join(sets.select("id", "mw"), "id"), level), "nodes")
+    over = None
+    if whole:
+        over = staged(_union(whole), "whole")
+        over = None if over.isEmpty() else over
+    if over is not None:
         r = F.xxhash64("id", "node")
-        parts = F.ceil(F.col("c") / (LEAF - PIVOTS)).cast("long")
-        leaves.append(large.select("id", F.xxhash64("node", F.pmod(r, parts)).alias("node")))
-        pivots = large.groupBy("node", F.pmod(F.shiftright(r, 20), F.lit(PIVOTS)).alias("k")).agg(F.min(F.struct(r.alias("r"), "id")).alias("p"), F.max("c").alias("c"))
+        parts = F.ceil(F.col("c") / max(1, LEAF - PIVOTS)).cast("long")
+        leaves.append(over.select("id", F.xxhash64("node", F.pmod(r, parts)).alias("node")))
+        pivots = over.groupBy("node", F.pmod(F.shiftright(r, 20), F.lit(PIVOTS)).alias("k")).agg(F.min(F.struct(r.alias("r"), "id")).alias("p"), F.max("c").alias("c"))
         leaves.append(pivots.select(F.col("p.id").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "node").select("id", F.xxhash64("node", "part").alias("node")))
-    out = leaves[0]
-    for more in leaves[1:]:
+    return _union(leaves).distinct(), over
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
         out = out.union(more)
-    return out.distinct()
+    return out
 
 
 def _by_node(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -252,6 +269,117 @@ def _full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, size
     return base.join(wanted, "id", "left_semi").mapInPandas(run, "id bigint, hashes binary")
 
 
+def _block_pairs(over: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (node, side, id, n, comp) for each pair of blocks that has to be compared; a block with itself has side 0.
+
+    Large nodes that share documents are one family, all of whose documents are compared with each other but for pairs
+    that the links found so far connect and pairs whose sizes are too different. Blocks hold one size class, in which a
+    document can only be similar to those of its own and the two next classes; a component of more than LEAF documents
+    of a class has blocks of its own, which are not compared with each other."""
+    first = over.groupBy("node").agg(F.min("id").alias("_first"))
+    links = salted_lookup(over.select("id", "node"), first, "node", "id").select(F.col("id").alias("u"), F.col("_first").alias("v"))
+    families = components(links).select(F.col("u").alias("id"), F.col("v").alias("fam"))
+    step = max(float(np.log(100 / percent)), 1e-3) * (1 + 1e-6)  # never a ratio of sizes that is allowed over two classes
+    rows = over.select("id").distinct().join(families, "id", "left").join(found.select(F.col("u").alias("id"), F.col("v").alias("comp")), "id", "left").join(sets.select("id", "n"), "id")
+    rows = rows.select("id", "n", F.coalesce("fam", "id").alias("fam"), F.coalesce("comp", "id").alias("comp"), F.floor(F.log(F.col("n").cast("double")) / step).alias("cls"))
+    rows = staged(rows, "families")
+    several = rows.groupBy("fam").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a <> _b").select("fam")
+    rows = rows.join(several, "fam")
+    own = rows.groupBy("fam", "cls", "comp").agg(F.count("*").alias("c")).where(F.col("c") > LEAF).select("fam", "cls", "comp", F.lit(True).alias("own"))
+    rows = rows.join(own, ["fam", "cls", "comp"], "left").withColumn("g", F.when(F.col("own"), F.col("comp")))
+    sizes = rows.groupBy("fam", "cls", "g").agg(F.ceil(F.greatest(F.count("*") / LEAF, F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("parts"))
+    same = rows.alias("r").join(sizes.alias("s"), F.expr("r.fam = s.fam AND r.cls = s.cls AND r.g <=> s.g"))
+    block = F.xxhash64("r.fam", "r.cls", F.col("r.g").isNull(), "r.g", F.pmod(F.xxhash64("r.id"), F.col("s.parts")))
+    rows = staged(same.select("r.id", "r.n", "r.comp", "r.fam", "r.cls", "r.g", block.alias("block")), "blocks")
+    blocks = rows.select("fam", "cls", "g", "block").distinct()
+    pairs = blocks.alias("x").join(blocks.alias("y"), F.expr("x.fam = y.fam AND x.block <= y.block AND abs(x.cls - y.cls) <= 1 AND NOT coalesce(x.g = y.g, false)"))
+    sides = F.when(F.expr("x.block = y.block"), F.array(F.struct(F.lit(0).alias("side"), F.col("x.block").alias("block")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("x.block").alias("block")), F.struct(F.lit(1).alias("side"), F.col("y.block").alias("block"))))
+    pairs = pairs.select(F.xxhash64("x.block", "y.block").alias("node"), F.inline(sides))
+    return pairs.join(rows.select("id", "n", "comp", "block"), "block").select("node", "side", "id", "n", "comp")
+
+
+def _sides(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """The rows of each pair of blocks, sorted by side, and the places of those on either side."""
+    for batch in _by_node(batches):
+        for _, one in batch.groupby("node", sort=False):
+            one = one.reset_index(drop=True)
+            cut = int(np.searchsorted(one["side"].to_numpy(), 1))
+            yield one, np.arange(cut), np.arange(cut, len(one)) if cut < len(one) else np.arange(cut)
+
+
+def _apart(one: pd.DataFrame, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows of a and b may be linked: not connected yet, and of sizes that allow the similarity."""
+    n, comp = one["n"].to_numpy(), one["comp"].to_numpy()
+    x, y = n[a][:, None], n[b][None, :]
+    return (comp[a][:, None] != comp[b][None, :]) & (np.minimum(x, y) >= threshold * np.maximum(x, y))
+
+
+def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each set of a has in common with each set of b."""
+    out = np.zeros((len(a), len(b)), dtype=np.int64)
+    every = [np.concatenate(s) if s else np.zeros(0, dtype="<u8") for s in (a, b)]
+    keys = np.intersect1d(*every)
+    placed = []
+    for sets, values in zip((a, b), every, strict=True):
+        row, at = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.searchsorted(keys, values)
+        known = at < len(keys)
+        known[known] = keys[at[known]] == values[known]
+        order = np.argsort(at[known], kind="stable")
+        placed.append((row[known][order], at[known][order]))
+    for start in range(0, len(keys), 2048):
+        dense = []
+        for sets, (row, at) in zip((a, b), placed, strict=True):
+            lo, hi = np.searchsorted(at, (start, start + 2048))
+            m = np.zeros((len(sets), 2048), dtype=np.float32)
+            m[row[lo:hi], at[lo:hi] - start] = 1
+            dense.append(m)
+        out += (dense[0] @ dense[1].T).astype(np.int64)
+    return out
+
+
+def _across(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, n_parts: int) -> DataFrame:
+    """Links (u, v) between documents of block pairs that nothing connected so far, confirmed on full sets."""
+    threshold = percent / 100
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for one, a, b in _sides(batches):
+            sketch = np.frombuffer(b"".join(one["sketch"]), dtype=np.uint8).reshape(-1, MINWISE)
+            x, y = np.nonzero(_apart(one, a, b, threshold))
+            keep = np.zeros(len(one), dtype=bool)
+            if len(x):
+                ok = _estimated(sketch, a[x], b[y]) >= threshold - MARGIN
+                keep[a[x[ok]]] = keep[b[y[ok]]] = True
+            yield one.loc[keep, ["node", "side", "id", "n", "comp"]]
+
+    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for one, a, b in _sides(batches):
+            hashes = [np.frombuffer(s, dtype="<u8") for s in one["hashes"]]
+            n, ids, comp = one["n"].to_numpy(), one["id"].to_numpy(), one["comp"].tolist()
+            both = _shared([hashes[k] for k in a], [hashes[k] for k in b])
+            x, y = np.nonzero(_apart(one, a, b, threshold) & (100 * both >= percent * (n[a][:, None] + n[b][None, :] - both)))
+            root = {c: c for c in comp}
+
+            def find(c: int) -> int:
+                while root[c] != c:
+                    root[c] = root[root[c]]
+                    c = root[c]
+                return c
+
+            out = []
+            for i, j in zip(a[x].tolist(), b[y].tolist(), strict=True):
+                u, v = find(comp[i]), find(comp[j])
+                if u != v:
+                    root[v] = u
+                    out.append((ids[i], ids[j]))
+            yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    dealt = lambda df: df.repartition(n_parts, "node").sortWithinPartitions("node", "side", "id")
+    left = dealt(pairs.join(_sketches(sets).select("id", "sketch"), "id")).mapInPandas(near, "node bigint, side int, id bigint, n bigint, comp bigint")
+    left = staged(left, "apart")
+    full = _full_sets(docs, staged(left.select("id").distinct(), "ids"), id_col, text_col, size).dropDuplicates(["id"])
+    return dealt(left.join(full, "id")).mapInPandas(confirm, "u bigint, v bigint")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
     """One row for each input row: the id column, n_shingles, component_id and kept.
 
@@ -264,13 +392,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows of equal sets meet in one representative by a pre-aggregated minimum. Representatives are put into TREES
     independent trees; what shares a leaf and has near sketches is confirmed on full sets there, so no list of pairs
     is ever made: each leaf returns fewer links than it has documents. Leaves with the same members are compared once.
+    Nodes that branching doesn't make small are compared whole, in pairs of blocks, but for what is connected already.
     Links can be missed only by trees that separate a pair every time: about 1 in 4 million at similarity 0.75 where first
-    levels are leaves already, more in nodes that thousands of documents share down to the last level."""
+    levels are leaves already, more (up to 1 in 300 at the last level) the more levels a pair has to stay together."""
     rows = staged(_documents(docs, id_col, text_col, size), "shingles")
     owners = staged(rows.where("fp is not null and _id is not null").groupBy("fp").agg(F.min("_id").alias("id")), "owners")
     sets = rows.select(F.col("_id").alias("id"), "n", "fp", "mw").join(owners, ["fp", "id"]).dropDuplicates(["fp", "id"]).select("id", "n", "mw")
     sets = staged(sets, "sets")
-    members = _leaves(sets).join(_sketches(sets), "id")
+    leaves, over = _leaves(sets)
+    members = leaves.join(_sketches(sets), "id")
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = members.repartition(n_parts, "node").sortWithinPartitions("node", "id")
     near = staged(_candidates(ordered, percent / 100), "candidates")
@@ -280,7 +410,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = staged(near.join(once, "node"), "candidates")
     full = _full_sets(docs, staged(near.select("id").distinct(), "ids"), id_col, text_col, size).dropDuplicates(["id"])
     members = near.join(_sketches(sets), "id").join(full, "id").repartition(n_parts, "node").sortWithinPartitions("node", "id")
-    found = components(_confirmed(members, percent))
+    links = _confirmed(members, percent)
+    if over is not None:
+        links = staged(links, "confirmed")
+        pairs = staged(_block_pairs(over, components(links), sets, percent), "pairs")
+        links = links.union(_across(pairs, sets, docs, id_col, text_col, size, percent, n_parts))
+    found = components(links)
     of_set = owners.join(found.select(F.col("u").alias("id"), F.col("v").alias("_c")), "id", "left").select("fp", F.coalesce("_c", "id").alias("_c"))
     # a row without a set has a key of its own that no set has
     keyed = rows.select("_id", "n", F.coalesce("fp", F.concat(F.lit("-"), F.col("_id").cast("string")), F.lit("-")).alias("fp"))

@@ -106,6 +106,24 @@ def test_near_in_large_nodes(spark, monkeypatch):
     same(near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")), brute.near(rows))
 
 
+def test_near_in_template_family(spark, monkeypatch):
+    """Texts at 0.70 to 0.74 to each other that no pivot connects, with single pairs at 0.76: those pairs are found."""
+    import logweir.llm.near_dedup as module
+
+    template = [f"t{k}" for k in range(204)]
+    rows = [(i, " ".join(template + [f"own{i}w{k}" for k in range(34)])) for i in range(60)]
+    for i in range(0, 20, 2):  # the odd one of a pair has a few more words of the even one's
+        rows[i + 1] = (i + 1, " ".join(template + [f"own{i}w{k}" for k in range(2)] + [f"own{i + 1}w{k}" for k in range(32)]))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    alike = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    assert all(0.75 <= alike(i, i + 1) <= 0.77 for i in range(0, 20, 2)) and all(0.7 <= alike(i, j) < 0.75 for i in range(60) for j in range(i) if i - j > 1 or i % 2 == 0 or i > 20)
+    monkeypatch.setattr(module, "LEAF", 4)
+    monkeypatch.setattr(module, "PIVOTS", 1)
+    monkeypatch.setattr(module, "LEVELS", 2)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: i - i % 2 if i < 20 else i for i in range(60)}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 100), (7, 7)]
     got = {r["u"]: r["v"] for r in components(spark.createDataFrame(chain, "u bigint, v bigint")).collect()}
