@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -26,9 +27,9 @@ LEVELS, KEPT = 7, 3 / 4
 PIVOTS = 8
 #: Shingles in a block of an exact comparison (8 bytes each); long documents make smaller blocks.
 BLOCK_SHINGLES = 1 << 20
-#: A sketch's estimate may fall short of the true similarity by so much (over 4 standard deviations) before a pair is
-#: left out; pairs that stay are confirmed on their full sets.
-MARGIN = 0.16
+#: A pair of just the similarity that is asked for has so low a sketch estimate that it is left out less often than this;
+#: pairs that stay are confirmed on their full sets.
+SKETCH_MISS = 1e-7
 #: Ids of candidates are broadcast up to this many (8 bytes each); beyond it texts are shuffled to them.
 BROADCAST_IDS = 1_000_000
 
@@ -193,8 +194,18 @@ def _estimated(sketch: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (agree - 1 / 256) / (1 - 1 / 256)
 
 
+def _least_estimate(threshold: float) -> float:
+    """The lowest estimate that keeps the rate of missed pairs below SKETCH_MISS, by the binomial tail of agreeing bytes."""
+    p = threshold + (1 - threshold) / 256
+    tail, agree = 0.0, 0
+    while agree < MINWISE and (tail := tail + comb(MINWISE, agree) * p**agree * (1 - p) ** (MINWISE - agree)) < SKETCH_MISS:
+        agree += 1
+    return (agree / MINWISE - 1 / 256) / (1 - 1 / 256)
+
+
 def _candidates(members: DataFrame, threshold: float) -> DataFrame:
     """Memberships of documents whose sketch comes near another one of the same leaf."""
+    least = _least_estimate(threshold)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in _by_node(batches):
@@ -202,7 +213,7 @@ def _candidates(members: DataFrame, threshold: float) -> DataFrame:
             sketch = np.frombuffer(b"".join(batch["sketch"]), dtype=np.uint8).reshape(-1, MINWISE)
             near = np.zeros(len(node), dtype=bool)
             for a, b in _pairs(node, n, threshold):
-                ok = _estimated(sketch, a, b) >= threshold - MARGIN
+                ok = _estimated(sketch, a, b) >= least
                 near[a[ok]] = near[b[ok]] = True
             yield batch.loc[near, ["id", "node"]]
 
@@ -221,7 +232,7 @@ def _confirmed(members: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) confirmed on full sets: of each leaf as many as connect what is similar in it, no more.
 
     Pairs that are already connected by confirmed links of the leaf need no look."""
-    threshold = percent / 100
+    threshold, least = percent / 100, _least_estimate(percent / 100)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in _by_node(batches):
@@ -239,7 +250,7 @@ def _confirmed(members: DataFrame, percent: int) -> DataFrame:
             maybe = []
             for a, b in _pairs(node, n, threshold):
                 e = _estimated(sketch, a, b)
-                ok = e >= threshold - MARGIN
+                ok = e >= least
                 maybe.append(np.stack([e[ok], a[ok], b[ok]]))
             tries = np.concatenate(maybe, axis=1) if maybe else np.zeros((3, 0))
             for k in np.argsort(-tries[0], kind="stable"):  # the likeliest first
@@ -339,7 +350,7 @@ def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 def _across(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, n_parts: int) -> DataFrame:
     """Links (u, v) between documents of block pairs that nothing connected so far, confirmed on full sets."""
-    threshold = percent / 100
+    threshold, least = percent / 100, _least_estimate(percent / 100)
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for one, a, b in _sides(batches):
@@ -347,7 +358,7 @@ def _across(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, tex
             x, y = np.nonzero(_apart(one, a, b, threshold))
             keep = np.zeros(len(one), dtype=bool)
             if len(x):
-                ok = _estimated(sketch, a[x], b[y]) >= threshold - MARGIN
+                ok = _estimated(sketch, a[x], b[y]) >= least
                 keep[a[x[ok]]] = keep[b[y[ok]]] = True
             yield one.loc[keep, ["node", "side", "id", "n", "comp"]]
 
@@ -394,7 +405,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     is ever made: each leaf returns fewer links than it has documents. Leaves with the same members are compared once.
     Nodes that branching doesn't make small are compared whole, in pairs of blocks, but for what is connected already.
     Links can be missed only by trees that separate a pair every time: about 1 in 4 million at similarity 0.75 where first
-    levels are leaves already, more (up to 1 in 300 at the last level) the more levels a pair has to stay together."""
+    levels are leaves already, more (up to 1 in 300 at the last level) the more levels a pair has to stay together, and
+    by the filter of sketches, which misses fewer than 1 in 10 million at exactly the similarity asked for."""
     rows = staged(_documents(docs, id_col, text_col, size), "shingles")
     owners = staged(rows.where("fp is not null and _id is not null").groupBy("fp").agg(F.min("_id").alias("id")), "owners")
     sets = rows.select(F.col("_id").alias("id"), "n", "fp", "mw").join(owners, ["fp", "id"]).dropDuplicates(["fp", "id"]).select("id", "n", "mw")

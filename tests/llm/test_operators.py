@@ -124,6 +124,16 @@ def test_near_in_template_family(spark, monkeypatch):
     assert got == {i: i - i % 2 if i < 20 else i for i in range(60)}
 
 
+def test_sketches_miss_less_than_trees():
+    import math
+
+    import logweir.llm.near_dedup as module
+
+    p, trees = 0.75 + 0.25 / 256, (1 - 0.75**module.ROOT_TOKENS) ** module.TREES
+    left_out = [k for k in range(129) if (k / 128 - 1 / 256) / (1 - 1 / 256) < module._least_estimate(0.75)]
+    assert 60 < len(left_out) < 75 and sum(math.comb(128, k) * p**k * (1 - p) ** (128 - k) for k in left_out) < trees
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 100), (7, 7)]
     got = {r["u"]: r["v"] for r in components(spark.createDataFrame(chain, "u bigint, v bigint")).collect()}
