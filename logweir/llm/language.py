@@ -96,7 +96,8 @@ def mixtures(texts: list[str], table: np.ndarray, penalty: float, steps: int = 1
     """Language proportions of each text over the set of languages with the best penalised likelihood.
 
     A mixture of all languages ranks them; its first one, two, ... languages are then fitted alone. A set of s
-    languages costs (s - 1) * penalty * log(trigrams). Texts without a trigram have proportions of 0."""
+    languages costs (s - 1) * penalty * log(trigrams), which alone ends the set: larger sets are tried until no likelihood
+    could pay for them. Texts without a trigram have proportions of 0."""
     out = np.zeros((len(texts), len(table)))
     doc, bucket, n = trigram_counts(texts)
     if not len(doc):
@@ -109,15 +110,26 @@ def mixtures(texts: list[str], table: np.ndarray, penalty: float, steps: int = 1
     share, _ = _em(p, n, owner, first, np.full((len(own), langs), 1 / langs), steps)
     order = np.argsort(-share, axis=1, kind="stable")
     cost = penalty * np.log(np.maximum(2.0, np.add.reduceat(n, first)))
-    best, chosen = np.full(len(own), -np.inf), share
-    for s in range(1, min(langs, 3) + 1):
-        start = np.zeros_like(share)
-        np.put_along_axis(start, order[:, :s], np.maximum(np.take_along_axis(share, order[:, :s], axis=1), 1e-3), axis=1)
+    best, chosen = np.full(len(own), -np.inf), share.copy()
+    # no set's likelihood is above this, as the mixture likelihood is concave in the proportions
+    mix = (p * share[owner]).sum(axis=1)
+    total = np.add.reduceat(n, first)
+    slope = np.add.reduceat(p * (n / np.maximum(mix, 1e-300))[:, None], first, axis=0).max(axis=1) / total
+    most = np.add.reduceat(n * np.log(np.maximum(mix, 1e-300)), first) + total * np.log(np.maximum(slope, 1.0)) + 1e-6
+    for s in range(1, langs + 1):
+        left = np.flatnonzero(most - (s - 1) * cost > best)  # texts for which so many languages can still pay
+        if not len(left):
+            break
+        at = np.isin(owner, left)
+        sub = np.searchsorted(left, owner[at])
+        start = np.zeros((len(left), langs))
+        ranked = order[left, :s]
+        np.put_along_axis(start, ranked, np.maximum(np.take_along_axis(share[left], ranked, axis=1), 1e-3), axis=1)
         start /= start.sum(axis=1, keepdims=True)
-        fitted, like = _em(p, n, owner, first, start, 0 if s == 1 else steps // 2)
-        better = like - (s - 1) * cost > best
-        best = np.where(better, like - (s - 1) * cost, best)
-        chosen = np.where(better[:, None], fitted, chosen)
+        fitted, like = _em(p[at], n[at], sub, np.searchsorted(sub, np.arange(len(left))), start, 0 if s == 1 else steps // 2)
+        better = like - (s - 1) * cost[left] > best[left]
+        best[left] = np.where(better, like - (s - 1) * cost[left], best[left])
+        chosen[left[better]] = fitted[better]
     out[own] = chosen
     return out
 

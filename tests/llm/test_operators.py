@@ -199,6 +199,22 @@ def test_language(spark):
     assert {r["lang_pred"] for r in identify_language(df.where("lang IS NULL"), train=F.lit(True)).collect()} == {"und"}
 
 
+def test_text_of_four_languages():
+    import numpy as np
+
+    from logweir.llm.language import BUCKETS, mixtures, trigram_counts
+
+    words = ("the and thing with", "le une être avec", "der und nicht schön", "och jag inte från", "que para uma não")
+    table = np.full((5, BUCKETS), 0.5)
+    for k, w in enumerate(words):
+        _, bucket, n = trigram_counts([" ".join([w] * 50)])
+        table[k, bucket] += n
+    logp = np.log(table / table.sum(axis=1, keepdims=True))
+    mixed, one, none = mixtures([" ".join(" ".join([w] * 40) for w in words[:4]), " ".join([words[4]] * 40), ""], logp, 4.0)
+    assert (mixed > 0).tolist() == [True] * 4 + [False] and abs(mixed[:4] - 0.25).max() < 0.05
+    assert (one > 0).tolist() == [False] * 4 + [True] and not none.any()
+
+
 def test_quality(spark):
     rng = random.Random(4)
     good = [(i, prose(rng, rng.randint(5, 200)) + ".") for i in range(200)]
