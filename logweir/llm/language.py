@@ -13,9 +13,7 @@ from .common import staged
 
 #: Byte trigrams are hashed to so many buckets: the model has this many numbers a language, whatever the corpus.
 BUCKETS = 1 << 15
-#: Languages in the model; of more, those with fewest trigrams are not learned.
-MAX_LANGUAGES = 256
-#: Bytes of text that are handled as one array.
+#: Bytes of text that are handled as one array with a model of up to 16 languages; with more languages, fewer.
 CHUNK = 1 << 18
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -38,11 +36,11 @@ def trigram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return key // BUCKETS, key % BUCKETS, n.astype(np.float64)
 
 
-def _chunks(texts: list[str]) -> Iterator[slice]:
+def _chunks(texts: list[str], langs: int = 1) -> Iterator[slice]:
     start = size = 0
     for i, t in enumerate(texts):
         size += len(t)
-        if size >= CHUNK:
+        if size * max(1, langs / 16) >= CHUNK:
             yield slice(start, i + 1)
             start, size = i + 1, 0
     if start < len(texts):
@@ -71,12 +69,12 @@ def fit_languages(docs: DataFrame, text_col: str, lang_col: str, train: Column)
     rows = rows.select(F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text"))
     sums = rows.mapInPandas(count, "_lang string, _bucket int, _n bigint").groupBy("_lang", "_bucket").agg(F.sum("_n").alias("_n"))
     sums = staged(sums, "trigrams")
-    largest = sums.groupBy("_lang").agg(F.sum("_n").alias("_n")).orderBy(F.desc("_n"), "_lang").limit(MAX_LANGUAGES)
-    langs = sorted(r["_lang"] for r in largest.select("_lang").collect())
+    langs = sorted(r["_lang"] for r in sums.select("_lang").distinct().collect())
     table = np.full((len(langs), BUCKETS), 0.5)
     if langs:
-        model = sums.where(F.col("_lang").isin(langs)).toPandas()  # at most MAX_LANGUAGES * BUCKETS rows
-        table[model["_lang"].map(langs.index).to_numpy(), model["_bucket"].to_numpy()] += model["_n"].to_numpy()
+        model = sums.toPandas()  # at most BUCKETS rows a language
+        place = {lang: k for k, lang in enumerate(langs)}
+        table[model["_lang"].map(place).to_numpy(), model["_bucket"].to_numpy()] += model["_n"].to_numpy()
         table /= table.sum(axis=1, keepdims=True)
     return langs, np.log(table)
 
@@ -145,13 +143,13 @@ def identify_language(docs: DataFrame, train: Column, id_col: str = "doc_id", te
     langs, table = fit_languages(docs, text_col, lang_col, train)
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"_id {id_type}, lang_pred string, score double, languages array<struct<lang:string,share:double>>"
-    shared = docs.sparkSession.sparkContext.broadcast(table)  # at most MAX_LANGUAGES * BUCKETS numbers
+    shared = docs.sparkSession.sparkContext.broadcast(table)  # BUCKETS numbers a language
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts, letters = batch["_text"].tolist(), batch["_letter"].to_numpy(dtype=bool)
             rows = []
-            for part in _chunks(texts):
+            for part in _chunks(texts, len(langs)):
                 share = mixtures(texts[part], shared.value, penalty) if langs else np.zeros((len(texts[part]), 1))
                 rows += list(share)
             preds, scores, sets = [], [], []

@@ -215,6 +215,14 @@ def test_text_of_four_languages():
     assert (one > 0).tolist() == [False] * 4 + [True] and not none.any()
 
 
+def test_every_language_is_learned(spark):
+    from logweir.llm.language import fit_languages
+
+    rows = [(i, f"wort{chr(97 + i % 26)}{chr(97 + i // 26)}", f"l{i:03}") for i in range(260)]
+    langs, table = fit_languages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), "text", "lang", F.lit(True))
+    assert langs == [r[2] for r in rows] and len(table) == 260
+
+
 def test_quality(spark):
     rng = random.Random(4)
     good = [(i, prose(rng, rng.randint(5, 200)) + ".") for i in range(200)]
