@@ -69,9 +69,12 @@ def find_windows(docs: DataFrame, items: DataFrame, id_col: str, text_col: str,
     if local:
         hits = _shingled(base, ks).join(F.broadcast(chosen), ["key", "k"]).where(fits & same)
     else:
-        places = _shingled(base, ks).select("_id", "_at", "key", "k").withColumn("_salt", salt_of(F.struct("_id", "_at"), 64))
+        # rows are told apart by id and words: a null id meets itself, and no row meets all others without an id
+        texts = base.select("_id", "_w", F.xxhash64("_w").alias("_fp")).dropDuplicates(["_id", "_fp"])
+        places = _shingled(base, ks).select("_id", F.xxhash64("_w").alias("_fp"), "_at", "key", "k").withColumn("_salt", salt_of(F.struct("_id", "_at"), 64))
         dealt = chosen.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
-        hits = places.join(dealt, ["key", "k", "_salt"]).drop("_salt").join(base, "_id").where(fits & same)
+        found = places.join(dealt, ["key", "k", "_salt"]).drop("_salt").withColumnRenamed("_id", "_pid").withColumnRenamed("_fp", "_pfp")
+        hits = found.join(texts, F.col("_pid").eqNullSafe(F.col("_id")) & (F.col("_pfp") == F.col("_fp"))).where(fits & same)
     start = F.col("_at") - F.col("off")
     return hits.select("_id", start.alias("start"), (start + F.col("n")).alias("end"), "items")
 

@@ -86,6 +86,18 @@ def test_decontaminate(spark, docs, monkeypatch):
     assert decontaminate(docs, items.limit(0)).where("contaminated").isEmpty()
 
 
+def test_decontaminate_null_id(spark, monkeypatch):
+    import logweir.llm.decontaminate as module
+
+    item = " ".join(f"w{k}" for k in range(12))
+    df = spark.createDataFrame([(None, "a " + item), (None, "other words"), (1, item), (2, "clean")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    for most in (200_000, 0):
+        monkeypatch.setattr(module, "BROADCAST_WINDOWS", most)
+        got = {(r["doc_id"], r["n_words"]): r["n_hit"] for r in decontaminate(df, items).collect()}
+        assert got == {(None, 13): 12, (None, 2): 12, (1, 12): 12, (2, 1): 0}  # rows that share an id share their hits
+
+
 def test_near(docs):
     same(near_dedup(docs), [r for i, _ in DOCS for r in brute.near(DOCS) if r["doc_id"] == i])
 
