@@ -53,7 +53,8 @@ class NoticeFinder:
         self.notices = [(n, seeds(n), regex.compile(f"(?b)(?:{regex.escape(n.text, literal_spaces=True)}){{e<={n.errors}}}")) for n in notices]
 
     def find(self, text: str) -> list[tuple[int, int, str, int, int]]:
-        """(start, end, label, errors, length of the notice) of the best match of each stretch that holds a seed."""
+        """(start, end, label, errors, length of the notice) of the best match of each stretch that holds a seed, then of what
+        is left before and behind it, until nothing matches."""
         out = []
         for notice, parts, pattern in self.notices:
             size, e = len(notice.text), notice.errors
@@ -63,11 +64,12 @@ class NoticeFinder:
                 while at >= 0:
                     regions.append((max(0, at - off - e), at - off + size + e))
                     at = text.find(part, at + 1)
-            done = -1
-            for a, b in _joined(sorted(regions)):
-                for m in pattern.finditer(text, max(a, done), min(b, len(text))):
+            left = [(a, min(b, len(text))) for a, b in _joined(sorted(regions))]
+            while left:
+                a, b = left.pop()
+                if b - a >= size - e and (m := pattern.search(text, a, b)):
                     out.append((m.start(), m.end(), notice.label, sum(m.fuzzy_counts), size))
-                    done = m.end()
+                    left += [(a, m.start()), (m.end(), b)]
         return sorted(out)
 
 

@@ -198,6 +198,11 @@ def test_notices_with_errors():
         assert "".join(p for _, p in seeds(n)) == n.text and len(seeds(n)) == n.errors + 1
 
 
+def test_adjacent_notices_with_errors():
+    found = NoticeFinder().find(" all right reserved all rights reserved all rights reservd ")
+    assert [(s, e, k) for s, e, _, k, _ in found] == [(1, 19, 1), (20, 39, 0), (40, 58, 1)]
+
+
 def test_language(spark):
     rng = random.Random(9)
     words = {"en": ("the", "and", "thing", "with"), "fr": ("le", "une", "être", "avec"), "de": ("der", "und", "nicht", "schön")}
