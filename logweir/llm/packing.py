@@ -121,7 +121,8 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> li
 
     An exchange moves one document, or swaps one for one or two for one, such that the fuller bin gains: the sum of
     squared fills strictly increases, so the search ends. Of all exchanges with a bin, the one that fills it most is
-    made. It ends when a bin can't be emptied or when what is left open is less than one bin."""
+    made. A bin that can't be emptied is set aside until another exchange is made. It ends when no exchange is left or
+    when what is left open is less than one bin."""
     full = [b for b in bins if sum(lengths[k] for k in b) == capacity]
     open_ = [sorted((lengths[k], k) for k in b) for b in bins if sum(lengths[k] for k in b) < capacity]
     fill = [sum(n for n, _ in b) for b in open_]
@@ -154,17 +155,19 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> li
         fill[a] -= best
         return True
 
-    while len(alive) > 1 and sum(capacity - fill[b] for b in alive) >= capacity:
-        a = min(alive, key=lambda b: (fill[b], b))
+    aside: set[int] = set()  # bins from which no other one gains, as things stand
+    while len(alive) > 1 and alive - aside and sum(capacity - fill[b] for b in alive) >= capacity:
+        a = min(alive - aside, key=lambda b: (fill[b], b))
+        aside.add(a)
         # fuller bins first; a bin that is full by now takes no more part
         for b in sorted(alive - {a}, key=lambda b: (-fill[b], b)):
             while fill[a] and fill[b] < capacity and exchange(a, b):
-                pass
+                aside.clear()
             if not fill[a]:
                 break
-        if fill[a]:
-            break
-        alive.discard(a)
+        if not fill[a]:
+            alive.discard(a)
+            aside.discard(a)
     return full + [[k for _, k in open_[b]] for b in sorted(alive)]
 
 

@@ -183,6 +183,12 @@ def test_local_search_empties_bins():
     assert sorted(k for b in bins for k in b) == list(range(500)) and all(sum(many[k] for k in b) <= 2048 for b in bins)
 
 
+def test_local_search_goes_on_after_a_bin_that_stays():
+    lengths = [1100, 400, 400, 400, 400, 1600, 1600, 1600]  # the least filled bin's piece fits nowhere, the next one's do
+    better = local_search([[0], [1, 2, 3, 4], [5], [6], [7]], lengths, 2048)
+    assert sorted(k for b in better for k in b) == list(range(8)) and len(better) == 4
+
+
 def test_licenses(docs, monkeypatch):
     monkeypatch.setattr(q, "table", lambda *a: docs)
     same(q.op6_license_scan(None, ""), brute.licenses(DOCS))
