@@ -33,10 +33,12 @@ def components(edges: DataFrame) -> DataFrame:
     neighbour; rounds grow as the logarithm of the largest component and end when nothing changes. Loops and repeated
     links do no harm; no links give no rows."""
     now = staged(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
-    seen = None
-    while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if mark == seen or not mark[0]:
-            return now
-        seen = mark
-        now = staged(_small_star(_large_star(now).where("u <> v").distinct()).where("u <> v").distinct(), "links")
+    n = now.count()
+    while n:
+        new = staged(_small_star(_large_star(now).where("u <> v").distinct()).where("u <> v").distinct(), "links")
+        was, n_new = now, new.count()
+        now = new
+        if n_new == n and new.join(was, ["u", "v"], "left_anti").isEmpty():
+            break
+        n = n_new
+    return now

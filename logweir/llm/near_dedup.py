@@ -2,31 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import salted_lookup, staged
 from .components import components
 
-#: Minwise values of a document. Paths use the first ones whole, sketches the low byte of all.
+#: Minwise values of a document. Paths use them whole, sketches the low byte of each.
 MINWISE = 128
-#: Independent trees. Their roots branch by three minwise tokens each, so a pair of similarity 0.75 shares a root node of
-#: one with probability 0.42, and documents that have only a common passage seldom do.
-TREES, ROOT_TOKENS = 28, 3
+#: Independent trees, each a root node that holds all documents. Their numbers are chosen so that no two roots pick the
+#: same minwise function.
+ROOTS = (1, 2, 3, 4, 5, 6)
+#: Minwise functions that a node picks; it sends each document to one child for each.
+PICKS = 2
 #: Nodes of at most so many documents are compared exhaustively.
 LEAF = 512
 #: Levels after which a node that is still larger is compared exactly, in blocks of about LEAF documents; before that,
-#: one that keeps KEPT of its parent's documents or more, since branching only multiplies its rows.
-LEVELS, KEPT = 7, 3 / 4
-#: A first look at such nodes connects what is similar to a few of their documents.
+#: one that keeps KEPT of its parent's documents or more, since branching would only multiply its rows.
+LEVELS, KEPT = 5, 1 / 2
+#: Documents of a large node that all others of it are compared with first.
 PIVOTS = 8
 #: Shingles in a block of an exact comparison (8 bytes each); long documents make smaller blocks.
 BLOCK_SHINGLES = 1 << 20
+#: A leaf with more pairs to confirm than this has them counted all at once.
+MANY_PAIRS = 256
 #: A pair of just the similarity that is asked for has so low a sketch estimate that it is left out less often than this;
 #: pairs that stay are confirmed on their full sets.
 SKETCH_MISS = 1e-7
@@ -73,88 +79,113 @@ def minwise(hashes: np.ndarray) -> np.ndarray:
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """Each row's number of shingles, fingerprint of its set and minwise values."""
+    """Each row's number of shingles, fingerprint of its set, minwise values and sketch."""
     import xxhash
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _WordHashes()
         for batch in batches:
-            n, fp, mw = [], [], []
+            out = []
             for text in batch["_text"]:
                 h = shingle_hashes(text, size, known)
-                n.append(len(h))
-                fp.append(xxhash.xxh3_128_hexdigest(h.tobytes()) if len(h) else None)
-                mw.append(minwise(h).tobytes() if len(h) else None)
-            yield pd.DataFrame({"_id": batch["_id"], "n": n, "fp": fp, "mw": mw})
+                m = minwise(h) if len(h) else None
+                out.append((len(h), *((xxhash.xxh3_128_hexdigest(h.tobytes()), m.tobytes(), (m & 0xFF).astype(np.uint8).tobytes()) if len(h) else (None, None, None))))
+            yield pd.DataFrame(out, columns=["n", "fp", "mw", "sketch"]).assign(_id=batch["_id"].to_numpy())
 
     base = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    return base.mapInPandas(run, "_id bigint, n bigint, fp string, mw binary")
-
+    return base.mapInPandas(run, "n bigint, fp string, mw binary, sketch binary, _id bigint")
 
-def _children(rows: DataFrame, level: int) -> DataFrame:
-    """Child nodes of (id, node, c, mw) rows: `node` and one or two of the document's minwise tokens chosen by it, with
-    the number of documents of the parent.
 
-    A node picks 4/3 of the minwise functions on average, so a pair of similarity 3/4 has one common child or more."""
+def _children(rows: DataFrame) -> DataFrame:
+    """Child nodes of (id, k, mw, node, ...) rows: a node picks PICKS minwise functions by its own hash, and a child is
+    known by its path of tokens."""
+    share = MINWISE // PICKS
+    slots = [F.pmod(F.xxhash64("node", F.lit(b)), F.lit(share)).cast("int") + b * share for b in range(PICKS)]
+    child = [F.xxhash64(F.col("node"), slot, F.substring(F.col("mw"), slot * 4 + 1, F.lit(4))) for slot in slots]
+    rest = [c for c in rows.columns if c not in ("mw", "node")]
+    return rows.select(*rest, F.explode(F.array(*child)).alias("node"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            mw = np.frombuffer(b"".join(batch["mw"]), dtype="<u4").reshape(-1, MINWISE)
-            ids, node = batch["id"].to_numpy(), batch["node"].to_numpy().astype(np.uint64)
-            at = np.arange(len(ids))
-            for branch in range(2):
-                pick = _mix(node + np.uint64(level * 2 + branch + 1))
-                keep = np.ones(len(ids), dtype=bool) if branch == 0 else pick % np.uint64(3) == 0
-                token = mw[at, ((pick >> np.uint64(8)) % np.uint64(MINWISE)).astype(int)].astype(np.uint64)
-                child = _mix(_mix(node ^ pick) + token).astype(np.int64)
-                yield pd.DataFrame({"id": ids[keep], "node": child[keep], "parent": batch["c"].to_numpy()[keep]})
 
-    return rows.mapInPandas(run, "id bigint, node bigint, parent bigint")
+def _pivot_pairs(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (id, k, v, vk) of a large node's documents with the one of its pivots that has the nearest sketch.
 
+    Pivots are the documents with the smallest hashes of their ids, so nodes that share most of their documents mostly
+    have the same ones and give the same pairs."""
+    threshold, least = percent / 100, _least_estimate(percent / 100)
+    r = F.xxhash64("id")
+    first = large.groupBy("node", F.pmod(F.shiftright(r, 20), F.lit(PIVOTS)).alias("_p")).agg(F.min(F.struct(r.alias("r"), "id", "k")).alias("p"))
+    of_node = first.select("node", "p.id", "p.k").join(sets.select("id", "k", "n", "sketch"), ["id", "k"])
+    pivots = staged(of_node.groupBy("node").agg(F.collect_list(F.struct("id", "k", "n", "sketch")).alias("pivots")), "pivots")  # PIVOTS at most
+    rows = salted_lookup(large.select("node", "id", "k"), pivots, "node", "id").join(sets.select("id", "k", "n", "sketch"), ["id", "k"])
 
-def _roots(sets: DataFrame) -> DataFrame:
-    """The first level: one node in each tree."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = batch.column("pivots")
+            row, flat = np.repeat(np.arange(len(batch)), of.value_lengths().to_numpy()), of.flatten()
+            ids, ks, n = (batch.column(c).to_numpy() for c in ("id", "k", "n"))
+            pid, pk, pn = (flat.field(c).to_numpy() for c in ("id", "k", "n"))
+            sketch, psketch = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint8).reshape(-1, MINWISE) for c in (batch.column("sketch"), flat.field("sketch")))
+            at = np.flatnonzero(((ids[row] != pid) | (ks[row] != pk)) & (np.minimum(n[row], pn) >= threshold * np.maximum(n[row], pn)))
+            e = _estimated(sketch, row[at], psketch, at) if len(at) else np.zeros(0)
+            at, e = at[e >= least], e[e >= least]
+            order = np.lexsort((-e, row[at]))
+            at = at[order][np.unique(row[at][order], return_index=True)[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[row[at]], ks[row[at]], pid[at], pk[at])], names=["id", "k", "v", "vk"])
+
+    return rows.mapInArrow(run, "id bigint, k bigint, v bigint, vk bigint").distinct()
+
+
+def _confirmed_pairs(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """Links (u, v) among the given pairs, by their full sets."""
+    wanted = pairs.select("id", "k").union(pairs.select("v", "vk")).distinct()
+    full = staged(_full_sets(docs, wanted, id_col, text_col, size), "full")
+    of_pivot = full.select(F.struct("id", "k").alias("p"), F.col("hashes").alias("other"))
+    rows = salted_lookup(pairs.join(full, ["id", "k"]).withColumn("p", F.struct(F.col("v").alias("id"), F.col("vk").alias("k"))), of_pivot, "p", "id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            mw = np.frombuffer(b"".join(batch["mw"]), dtype="<u4").reshape(-1, MINWISE).astype(np.uint64)
-            for tree in range(TREES):
-                node = np.full(len(mw), tree + 1, dtype=np.uint64)
-                for token in range(ROOT_TOKENS):
-                    node = _mix(node + mw[:, ROOT_TOKENS * tree + token])
-                yield pd.DataFrame({"id": batch["id"], "node": node.astype(np.int64)})
-
-    return sets.mapInPandas(run, "id bigint, node bigint")
-
-
-def _leaves(sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Memberships (id, node) of nodes with 2 to LEAF documents, and those of larger nodes that don't branch on.
-
-    Larger nodes also give leaves for a first look: as many as they need, by the id's hash, with the same few pivots in
-    all of them. That look finds links cheaply but not all: `_across` compares what it leaves apart."""
-    rows, leaves, whole = staged(_roots(sets).withColumn("parent", F.lit(None).cast("long")), "nodes"), [], []
+            keep = []
+            for a, b in zip(batch["hashes"], batch["other"], strict=True):
+                both = len(np.intersect1d(np.frombuffer(a, dtype="<u8"), np.frombuffer(b, dtype="<u8"), assume_unique=True))
+                keep.append(100 * both >= percent * ((len(a) + len(b)) // 8 - both))
+            yield batch.loc[np.array(keep, dtype=bool), ["u", "v"]]
+
+    return rows.select(F.col("id").alias("u"), "v", "hashes", "other").mapInPandas(run, "u bigint, v bigint")
+
+
+def _grown(sets: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Memberships (node, id, k) of the leaves of all trees, those of large nodes that are to be compared whole, and the
+    links found on the way.
+
+    A large node is settled before it branches: its documents are compared with a few of its own, and what is linked by
+    that counts as one from then on. A node whose documents are all connected has nothing left to find and ends."""
+    roots = sets.select("id", "k", "mw", F.explode(F.array(*(F.lit(r).cast("long") for r in ROOTS))).alias("node"))
+    rows = _children(roots)
+    counts = staged(rows.groupBy("node").agg(F.count("*").alias("c")).where("c > 1"), "counts")
+    counted = staged(rows.join(counts, "node"), "nodes")
+    leaves, whole = [counted.where(F.col("c") <= LEAF).select("node", "id", "k")], []
+    large = counted.where(F.col("c") > LEAF)
+    if large.isEmpty():
+        return leaves[0], None, None
+    links = staged(confirm(_pivot_pairs(large, sets, percent)), "settled")
+    settled = components(links).select(F.col("u").alias("id"), F.col("v").alias("comp"))
+    rows = large.join(settled, "id", "left").select("node", "id", "k", F.coalesce("comp", "id").alias("comp"), F.lit(None).cast("long").alias("parent"))
     for level in range(1, LEVELS + 1):
-        counts = rows.groupBy("node").agg(F.count("*").alias("c")).where("c > 1")
-        counted = staged(salted_lookup(rows, counts, "node", "id").where("c is not null"), "nodes")
-        leaves.append(counted.where(F.col("c") <= LEAF).select("id", "node"))
-        large = counted.where(F.col("c") > LEAF)
-        if large.isEmpty():
+        rows = staged(rows, "nodes")
+        parts = rows.groupBy("node", "comp").agg(F.count("*").alias("m"), F.max("parent").alias("parent"))
+        stats = parts.groupBy("node").agg(F.sum("m").alias("c"), F.count("*").alias("comps"), F.sum(F.col("m").cast("double") * F.col("m")).alias("_s"), F.max("parent").alias("_p")).where("comps > 1")
+        few = (F.col("c").cast("double") * F.col("c") - F.col("_s")) / 2 <= F.col("c") * F.lit(float(LEAF))  # pairs that are left
+        stays = few | F.lit(level == LEVELS) | F.coalesce(F.col("c") >= KEPT * F.col("_p"), F.lit(False))
+        stats = staged(stats.select("node", "c", F.when(F.col("c") <= LEAF, 0).when(stays, 1).otherwise(2).alias("fate")), "counts")
+        left = staged(rows.drop("parent").join(stats, "node"), "nodes")
+        leaves.append(left.where("fate = 0").select("node", "id", "k"))
+        whole.append(left.where("fate = 1").select("node", "id", "k"))
+        on = left.where("fate = 2")
+        if on.isEmpty():
             break
-        stays = F.lit(level == LEVELS) | F.coalesce(F.col("c") >= KEPT * F.col("parent"), F.lit(False))
-        whole.append(large.where(stays).select("id", "node", "c"))
-        if level < LEVELS:
-            rows = staged(_children(large.where(~stays).join(sets.select("id", "mw"), "id"), level), "nodes")
-    over = None
-    if whole:
-        over = staged(_union(whole), "whole")
-        over = None if over.isEmpty() else over
-    if over is not None:
-        r = F.xxhash64("id", "node")
-        parts = F.ceil(F.col("c") / max(1, LEAF - PIVOTS)).cast("long")
-        leaves.append(over.select("id", F.xxhash64("node", F.pmod(r, parts)).alias("node")))
-        pivots = over.groupBy("node", F.pmod(F.shiftright(r, 20), F.lit(PIVOTS)).alias("k")).agg(F.min(F.struct(r.alias("r"), "id")).alias("p"), F.max("c").alias("c"))
-        leaves.append(pivots.select(F.col("p.id").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "node").select("id", F.xxhash64("node", "part").alias("node")))
-    return _union(leaves).distinct(), over
+        rows = _children(on.select("id", "k", "node", "comp", F.col("c").alias("parent")).join(sets.select("id", "k", "mw"), ["id", "k"]))
+    over = staged(_union(whole), "whole")
+    return _union(leaves).distinct(), None if over.isEmpty() else over, links
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -189,8 +220,9 @@ def _pairs(node: np.ndarray, n: np.ndarray, threshold: float) -> Iterator[tuple[
             yield a, a + d
 
 
-def _estimated(sketch: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    agree = np.concatenate([(sketch[a[i : i + 8192]] == sketch[b[i : i + 8192]]).mean(axis=1) for i in range(0, len(a), 8192)])
+def _estimated(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Similarity of the sets with sketches x[a] and y[b]."""
+    agree = np.concatenate([(x[a[i : i + 8192]] == y[b[i : i + 8192]]).mean(axis=1) for i in range(0, len(a), 8192)])
     return (agree - 1 / 256) / (1 - 1 / 256)
 
 
@@ -213,25 +245,58 @@ def _candidates(members: DataFrame, threshold: float) -> DataFrame:
             sketch = np.frombuffer(b"".join(batch["sketch"]), dtype=np.uint8).reshape(-1, MINWISE)
             near = np.zeros(len(node), dtype=bool)
             for a, b in _pairs(node, n, threshold):
-                ok = _estimated(sketch, a, b) >= least
+                ok = _estimated(sketch, a, sketch, b) >= least
                 near[a[ok]] = near[b[ok]] = True
-            yield batch.loc[near, ["id", "node"]]
-
-    return members.mapInPandas(run, "id bigint, node bigint")
-
-
-def _sketches(sets: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(sketch=[(np.frombuffer(m, dtype="<u4") & 0xFF).astype(np.uint8).tobytes() for m in batch["mw"]]).drop(columns="mw")
-
-    return sets.select("id", "n", "mw").mapInPandas(run, "id bigint, n bigint, sketch binary")
+            yield batch.loc[near, ["id", "k", "node"]]
+
+    return members.mapInPandas(run, "id bigint, k bigint, node bigint")
+
+
+class _Connected:
+    """Which of n places are connected so far."""
+
+    def __init__(self, n: int):
+        self.root = list(range(n))
+
+    def find(self, x: int) -> int:
+        while self.root[x] != x:
+            self.root[x] = self.root[self.root[x]]
+            x = self.root[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.root[y] = x
+        return x != y
+
+
+def _links_of(a: list[int], b: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Of the pairs (a, b) of places in `sets`, the likeliest first, links that connect all that is similar.
+
+    Pairs are looked at one by one while most of them are links or connected already. After MANY_PAIRS that were
+    neither, what is left is counted all at once, where the sets are small enough for that."""
+    known, out, failed = _Connected(len(sets)), [], 0
+    small = sum(map(len, sets)) <= BLOCK_SHINGLES
+    for at, (x, y) in enumerate(zip(a, b, strict=True)):
+        if known.find(x) == known.find(y):
+            continue
+        if small and failed >= MANY_PAIRS:
+            n = np.array([len(s) for s in sets])
+            both = _shared(sets, sets)
+            u, v = np.array(a[at:]), np.array(b[at:])
+            ok = 100 * both[u, v] >= percent * (n[u] + n[v] - both[u, v])
+            return out + [(x, y) for x, y in zip(u[ok].tolist(), v[ok].tolist(), strict=True) if known.join(x, y)]
+        both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+        if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+            known.join(x, y)
+            out.append((x, y))
+        else:
+            failed += 1
+    return out
 
 
 def _confirmed(members: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) confirmed on full sets: of each leaf as many as connect what is similar in it, no more.
-
-    Pairs that are already connected by confirmed links of the leaf need no look."""
+    """Links (u, v) confirmed on full sets: of each leaf as many as connect what is similar in it, no more."""
     threshold, least = percent / 100, _least_estimate(percent / 100)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -239,49 +304,44 @@ def _confirmed(members: DataFrame, percent: int) -> DataFrame:
             node, n, ids = batch["node"].to_numpy(), batch["n"].to_numpy(), batch["id"].to_numpy()
             sketch = np.frombuffer(b"".join(batch["sketch"]), dtype=np.uint8).reshape(-1, MINWISE)
             sets = [np.frombuffer(s, dtype="<u8") for s in batch["hashes"]]
-            root, out = list(range(len(node))), []
-
-            def find(x: int) -> int:
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            maybe = []
+            maybe, out = [], []
             for a, b in _pairs(node, n, threshold):
-                e = _estimated(sketch, a, b)
+                e = _estimated(sketch, a, sketch, b)
                 ok = e >= least
                 maybe.append(np.stack([e[ok], a[ok], b[ok]]))
-            tries = np.concatenate(maybe, axis=1) if maybe else np.zeros((3, 0))
-            for k in np.argsort(-tries[0], kind="stable"):  # the likeliest first
-                a, b = int(tries[1, k]), int(tries[2, k])
-                x, y = find(a), find(b)
-                if x == y:
-                    continue
-                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                if 100 * both >= percent * (n[a] + n[b] - both):
-                    root[y] = x
-                    out.append((ids[a], ids[b]))
+            e, a, b = np.concatenate(maybe, axis=1) if maybe else np.zeros((3, 0))
+            a, b = a.astype(int), b.astype(int)
+            order = np.lexsort((-e, node[a]))
+            a, b = a[order], b[order]
+            for own in np.split(np.arange(len(a)), np.flatnonzero(np.diff(node[a])) + 1):
+                if len(own):
+                    places, at = np.unique(np.concatenate([a[own], b[own]]), return_inverse=True)
+                    found = _links_of(at[: len(own)].tolist(), at[len(own) :].tolist(), [sets[k] for k in places], percent)
+                    out += [(ids[places[x]], ids[places[y]]) for x, y in found]
             yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
     return members.mapInPandas(run, "u bigint, v bigint")
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """Shingle hashes of the documents in `ids`, from their whole texts."""
+    """Shingle hashes of the sets (id, k), from their documents' whole texts."""
+    import xxhash
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _WordHashes()
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "hashes": [shingle_hashes(t, size, known).tobytes() for t in batch["_text"]]})
+            sets = [shingle_hashes(t, size, known).tobytes() for t in batch["_text"]]
+            yield pd.DataFrame({"id": batch["id"], "fp": [xxhash.xxh3_128_hexdigest(x) for x in sets], "hashes": sets})
 
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return base.join(wanted, "id", "left_semi").mapInPandas(run, "id bigint, hashes binary")
+    own = ids.select("id").distinct()
+    own = F.broadcast(own) if ids.count() <= BROADCAST_IDS else own
+    found = base.join(own, "id", "left_semi").mapInPandas(run, "id bigint, fp string, hashes binary")
+    return found.select("id", F.xxhash64("fp").alias("k"), "hashes").join(ids, ["id", "k"], "left_semi").dropDuplicates(["id", "k"])
 
 
 def _block_pairs(over: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Rows (node, side, id, n, comp) for each pair of blocks that has to be compared; a block with itself has side 0.
+    """Rows (node, side, id, k, n, comp) for each pair of blocks that has to be compared; a block with itself has side 0.
 
     Large nodes that share documents are one family, all of whose documents are compared with each other but for pairs
     that the links found so far connect and pairs whose sizes are too different. Blocks hold one size class, in which a
@@ -291,8 +351,8 @@ def _block_pairs(over: DataFrame, found: DataFrame, sets: DataFrame, percent: in
     links = salted_lookup(over.select("id", "node"), first, "node", "id").select(F.col("id").alias("u"), F.col("_first").alias("v"))
     families = components(links).select(F.col("u").alias("id"), F.col("v").alias("fam"))
     step = max(float(np.log(100 / percent)), 1e-3) * (1 + 1e-6)  # never a ratio of sizes that is allowed over two classes
-    rows = over.select("id").distinct().join(families, "id", "left").join(found.select(F.col("u").alias("id"), F.col("v").alias("comp")), "id", "left").join(sets.select("id", "n"), "id")
-    rows = rows.select("id", "n", F.coalesce("fam", "id").alias("fam"), F.coalesce("comp", "id").alias("comp"), F.floor(F.log(F.col("n").cast("double")) / step).alias("cls"))
+    rows = over.select("id", "k").distinct().join(families, "id", "left").join(found.select(F.col("u").alias("id"), F.col("v").alias("comp")), "id", "left").join(sets.select("id", "k", "n"), ["id", "k"])
+    rows = rows.select("id", "k", "n", F.coalesce("fam", "id").alias("fam"), F.coalesce("comp", "id").alias("comp"), F.floor(F.log(F.col("n").cast("double")) / step).alias("cls"))
     rows = staged(rows, "families")
     several = rows.groupBy("fam").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a <> _b").select("fam")
     rows = rows.join(several, "fam")
@@ -301,12 +361,12 @@ def _block_pairs(over: DataFrame, found: DataFrame, sets: DataFrame, percent: in
     sizes = rows.groupBy("fam", "cls", "g").agg(F.ceil(F.greatest(F.count("*") / LEAF, F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("parts"))
     same = rows.alias("r").join(sizes.alias("s"), F.expr("r.fam = s.fam AND r.cls = s.cls AND r.g <=> s.g"))
     block = F.xxhash64("r.fam", "r.cls", F.col("r.g").isNull(), "r.g", F.pmod(F.xxhash64("r.id"), F.col("s.parts")))
-    rows = staged(same.select("r.id", "r.n", "r.comp", "r.fam", "r.cls", "r.g", block.alias("block")), "blocks")
+    rows = staged(same.select("r.id", "r.k", "r.n", "r.comp", "r.fam", "r.cls", "r.g", block.alias("block")), "blocks")
     blocks = rows.select("fam", "cls", "g", "block").distinct()
     pairs = blocks.alias("x").join(blocks.alias("y"), F.expr("x.fam = y.fam AND x.block <= y.block AND abs(x.cls - y.cls) <= 1 AND NOT coalesce(x.g = y.g, false)"))
     sides = F.when(F.expr("x.block = y.block"), F.array(F.struct(F.lit(0).alias("side"), F.col("x.block").alias("block")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("x.block").alias("block")), F.struct(F.lit(1).alias("side"), F.col("y.block").alias("block"))))
     pairs = pairs.select(F.xxhash64("x.block", "y.block").alias("node"), F.inline(sides))
-    return pairs.join(rows.select("id", "n", "comp", "block"), "block").select("node", "side", "id", "n", "comp")
+    return pairs.join(rows.select("id", "k", "n", "comp", "block"), "block").select("node", "side", "id", "k", "n", "comp")
 
 
 def _sides(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
@@ -358,9 +418,9 @@ def _across(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, tex
             x, y = np.nonzero(_apart(one, a, b, threshold))
             keep = np.zeros(len(one), dtype=bool)
             if len(x):
-                ok = _estimated(sketch, a[x], b[y]) >= least
+                ok = _estimated(sketch, a[x], sketch, b[y]) >= least
                 keep[a[x[ok]]] = keep[b[y[ok]]] = True
-            yield one.loc[keep, ["node", "side", "id", "n", "comp"]]
+            yield one.loc[keep, ["node", "side", "id", "k", "n", "comp"]]
 
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for one, a, b in _sides(batches):
@@ -385,10 +445,10 @@ def _across(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, tex
             yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
     dealt = lambda df: df.repartition(n_parts, "node").sortWithinPartitions("node", "side", "id")
-    left = dealt(pairs.join(_sketches(sets).select("id", "sketch"), "id")).mapInPandas(near, "node bigint, side int, id bigint, n bigint, comp bigint")
+    left = dealt(pairs.join(sets.select("id", "k", "sketch"), ["id", "k"])).mapInPandas(near, "node bigint, side int, id bigint, k bigint, n bigint, comp bigint")
     left = staged(left, "apart")
-    full = _full_sets(docs, staged(left.select("id").distinct(), "ids"), id_col, text_col, size).dropDuplicates(["id"])
-    return dealt(left.join(full, "id")).mapInPandas(confirm, "u bigint, v bigint")
+    full = _full_sets(docs, staged(left.select("id", "k").distinct(), "ids"), id_col, text_col, size)
+    return dealt(left.join(full, ["id", "k"])).mapInPandas(confirm, "u bigint, v bigint")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
@@ -397,37 +457,45 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A document's set holds its distinct shingles of `size` words (white-space words, A-Z lower-cased); shorter texts
     are one shingle; null texts and texts without words have an empty set and are linked with nothing. Documents are
     linked when their sets' Jaccard similarity is `percent` / 100 or more; component_id is the smallest id that links
-    reach, kept says whether it is the row's own. Ids are integers; rows that share an id and text share their fate; a
-    null id is linked with nothing.
-
-    Rows of equal sets meet in one representative by a pre-aggregated minimum. Representatives are put into TREES
-    independent trees; what shares a leaf and has near sketches is confirmed on full sets there, so no list of pairs
-    is ever made: each leaf returns fewer links than it has documents. Leaves with the same members are compared once.
-    Nodes that branching doesn't make small are compared whole, in pairs of blocks, but for what is connected already.
-    Links can be missed only by trees that separate a pair every time: about 1 in 4 million at similarity 0.75 where first
-    levels are leaves already, more (up to 1 in 300 at the last level) the more levels a pair has to stay together, and
-    by the filter of sketches, which misses fewer than 1 in 10 million at exactly the similarity asked for."""
+    reach, kept says whether it is the row's own. Ids are of an integer type (others are refused); a document is known by
+    its id, so rows with words that share one share their component, which the links of all their texts make; a null id is
+    linked with nothing. Very long texts enter whole, and compare only with few others at a time; an empty table gives no rows;
+    further columns are ignored.
+
+    Rows of equal sets meet in one representative by a pre-aggregated minimum. Representatives are put into independent
+    trees, whose nodes branch by minwise tokens of their choice. What shares a leaf and has near sketches is confirmed on
+    full sets there, so no list of pairs is ever made: each leaf returns fewer links than it has documents. Leaves with the
+    same members are compared once; large nodes are settled by pivots before they branch, and compared whole, in pairs of
+    blocks, if branching doesn't make them small, but for what is connected already.
+    A pair at just the similarity 0.75 has no common child of a root in any tree once in 16 million, and once in 500 000
+    if it has to stay together down to the last level; the filter of sketches misses fewer than 1 in 10 million."""
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise ValueError(f"{id_col}: near_dedup needs integer ids")
     rows = staged(_documents(docs, id_col, text_col, size), "shingles")
     owners = staged(rows.where("fp is not null and _id is not null").groupBy("fp").agg(F.min("_id").alias("id")), "owners")
-    sets = rows.select(F.col("_id").alias("id"), "n", "fp", "mw").join(owners, ["fp", "id"]).dropDuplicates(["fp", "id"]).select("id", "n", "mw")
-    sets = staged(sets, "sets")
-    leaves, over = _leaves(sets)
-    members = leaves.join(_sketches(sets), "id")
+    sets = rows.select(F.col("_id").alias("id"), "n", "fp", "mw", "sketch").join(owners, ["fp", "id"]).dropDuplicates(["fp", "id"])
+    sets = staged(sets.select("id", F.xxhash64("fp").alias("k"), "n", "mw", "sketch"), "sets")
+    confirm = lambda pairs: _confirmed_pairs(staged(pairs, "pairs"), docs, id_col, text_col, size, percent)
+    leaves, over, settled = _grown(sets, confirm, percent)
+    looks = sets.select("id", "k", "n", "sketch")
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = members.repartition(n_parts, "node").sortWithinPartitions("node", "id")
-    near = staged(_candidates(ordered, percent / 100), "candidates")
+    dealt = lambda df: df.repartition(n_parts, "node").sortWithinPartitions("node", "id")
+    near = staged(_candidates(dealt(leaves.join(looks, ["id", "k"])), percent / 100), "candidates")
     # one leaf of those with the same members
-    same = near.groupBy("node").agg(F.count("*").alias("c"), F.sum(F.xxhash64("id") % (1 << 40)).alias("s"), F.bit_xor(F.xxhash64("id")).alias("x"))
+    same = near.groupBy("node").agg(F.count("*").alias("c"), F.sum(F.xxhash64("id", "k") % (1 << 40)).alias("s"), F.bit_xor(F.xxhash64("id", "k")).alias("x"))
     once = same.where("c > 1").groupBy("c", "s", "x").agg(F.min("node").alias("node")).select("node")
     near = staged(near.join(once, "node"), "candidates")
-    full = _full_sets(docs, staged(near.select("id").distinct(), "ids"), id_col, text_col, size).dropDuplicates(["id"])
-    members = near.join(_sketches(sets), "id").join(full, "id").repartition(n_parts, "node").sortWithinPartitions("node", "id")
-    links = _confirmed(members, percent)
+    full = _full_sets(docs, staged(near.select("id", "k").distinct(), "ids"), id_col, text_col, size)
+    links = _confirmed(dealt(near.join(looks, ["id", "k"]).join(full, ["id", "k"])), percent)
+    if settled is not None:
+        links = links.union(settled)
     if over is not None:
         links = staged(links, "confirmed")
         pairs = staged(_block_pairs(over, components(links), sets, percent), "pairs")
         links = links.union(_across(pairs, sets, docs, id_col, text_col, size, percent, n_parts))
-    found = components(links)
+    # an id with several texts links their sets
+    several = rows.where("fp is not null and _id is not null").groupBy("_id").agg(F.min("fp").alias("_a"), F.max("fp").alias("_b")).where("_a <> _b").select("_id")
+    found = components(links.union(rows.join(several, "_id").join(owners, "fp").select(F.col("_id").alias("u"), F.col("id").alias("v"))))
     of_set = owners.join(found.select(F.col("u").alias("id"), F.col("v").alias("_c")), "id", "left").select("fp", F.coalesce("_c", "id").alias("_c"))
     # a row without a set has a key of its own that no set has
     keyed = rows.select("_id", "n", F.coalesce("fp", F.concat(F.lit("-"), F.col("_id").cast("string")), F.lit("-")).alias("fp"))

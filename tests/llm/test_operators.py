@@ -141,9 +141,28 @@ def test_sketches_miss_less_than_trees():
 
     import logweir.llm.near_dedup as module
 
-    p, trees = 0.75 + 0.25 / 256, (1 - 0.75**module.ROOT_TOKENS) ** module.TREES
+    p, trees = 0.75 + 0.25 / 256, 0.25 ** (module.PICKS * len(module.ROOTS))
     left_out = [k for k in range(129) if (k / 128 - 1 / 256) / (1 - 1 / 256) < module._least_estimate(0.75)]
-    assert 60 < len(left_out) < 75 and sum(math.comb(128, k) * p**k * (1 - p) ** (128 - k) for k in left_out) < trees
+    assert 60 < len(left_out) < 75 and sum(math.comb(128, k) * p**k * (1 - p) ** (128 - k) for k in left_out) < 2 * trees
+
+
+def test_roots_pick_apart(spark):
+    from logweir.llm.near_dedup import MINWISE, PICKS, ROOTS
+
+    share = MINWISE // PICKS
+    rows = spark.createDataFrame([(r,) for r in ROOTS], "node bigint").select(*(F.pmod(F.xxhash64("node", F.lit(b)), F.lit(share)).alias(f"s{b}") for b in range(PICKS))).collect()
+    assert all(len({r[b] for r in rows}) == len(ROOTS) for b in range(PICKS))
+
+
+def test_near_with_shared_ids(spark):
+    """One id with two texts: both texts' links count; equal sets, null ids and null texts beside them."""
+    a, b, c = ("a " * 3 + " ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (3, b + " end"), (4, a), (9, c), (None, c), (9, None), (8, "")]
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["kept"]) for r in near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    n = len(brute.shingle_sets([(0, a)])[0])
+    assert got == sorted([("5", n, "3", False), ("5", n, "3", False), ("3", n + 1, "3", True), ("4", n, "3", False), ("9", n, "9", True), ("None", n, "None", True), ("9", 0, "9", True), ("8", 0, "8", True)])
+    with pytest.raises(ValueError):
+        near_dedup(spark.createDataFrame([("x", a)], "doc_id string, text string"))
 
 
 def test_components(spark):
