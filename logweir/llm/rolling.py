@@ -83,3 +83,11 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of true places."""
     edge = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
     return edge[::2], edge[1::2]
+
+
+def chained(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Identifiers of the sequences ids[i:j], from running sums: equal sequences have equal ones wherever they stand."""
+    up, down = _grown(len(ids) + 1)
+    sums = np.zeros(len(ids) + 1, dtype=np.uint64)
+    np.cumsum(ids * up[: len(ids)], out=sums[1:])
+    return mix((sums[j] - sums[i]) * down[i] + (j - i).astype(np.uint64))
