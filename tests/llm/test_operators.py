@@ -82,6 +82,7 @@ def test_decontaminate(spark, docs, monkeypatch):
     import logweir.llm.decontaminate as module
 
     monkeypatch.setattr(module, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(module, "BROADCAST_DOCUMENTS", 0)
     same(q.op8_decontaminate(spark, ""), want)
     assert decontaminate(docs, items.limit(0)).where("contaminated").isEmpty()
 
@@ -95,7 +96,7 @@ def test_decontaminate_null_id(spark, monkeypatch):
     for most in (200_000, 0):
         monkeypatch.setattr(module, "BROADCAST_WINDOWS", most)
         got = {(r["doc_id"], r["n_words"]): r["n_hit"] for r in decontaminate(df, items).collect()}
-        assert got == {(None, 13): 12, (None, 2): 12, (1, 12): 12, (2, 1): 0}  # rows that share an id share their hits
+        assert got == {(None, 13): 12, (None, 2): 0, (1, 12): 12, (2, 1): 0}
 
 
 def test_near(docs):
