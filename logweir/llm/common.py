@@ -22,10 +22,12 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none (tests, local runs)."""
+    """The folder all executors share; one of our own only where a local session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="spark-")
@@ -73,10 +75,21 @@ def crc(col: Column) -> Column:
     return F.crc32(col.cast("string").cast("binary"))
 
 
-def without(docs: DataFrame, ids: DataFrame, id_col: str, broadcast_ids: int = 1_000_000) -> DataFrame:
-    """`docs` without the rows whose id is in `ids` (one column of that name); a null id matches a null id.
+def text_hash(text: Column) -> Column:
+    """What tells rows that share an id but not the text apart; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
-    Up to `broadcast_ids` ids (8 bytes each) are broadcast, so texts stay where they are; more are joined in a shuffle."""
-    ids = staged(ids.select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    hint = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
-    return docs.join(hint, docs[id_col].eqNullSafe(hint["_gone"]), "left_anti")
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str | None = None, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """`docs` without the rows in `gone`, by id and, with `text_col`, by the `text_hash` that `gone` then has; null ids
+    match null ids.
+
+    Up to `broadcast_rows` of them (16 bytes each) are broadcast, so texts stay where they are; more are joined in a
+    shuffle."""
+    hashed = [F.col("text_hash").alias("_gone_hash")] if text_col else []
+    gone = staged(gone.select(F.col(id_col).alias("_gone"), *hashed).distinct(), "gone")
+    hint = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
+    same = docs[id_col].eqNullSafe(hint["_gone"])
+    if text_col:
+        same = same & (text_hash(docs[text_col]) == hint["_gone_hash"])
+    return docs.join(hint, same, "left_anti")

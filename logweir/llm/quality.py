@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, text_hash
 
 #: Random Fourier features; the normal equations have this many rows, whatever the corpus.
 FEATURES = 192
@@ -82,23 +82,26 @@ def _solve(a: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", ridge: float = 0.05, width: float = 8.0, threshold: float = 0.7) -> DataFrame:
-    """One row for each input row: the id column, score (0 to 1) and predicted (1 where score >= threshold, else 0).
+    """One row for each input row: the id column, score (0 to 1), predicted (1 where score >= threshold, else 0) and
+    text_hash (which tells rows of one id but different texts apart).
 
     `train` is a condition on `row_id()` that marks the rows whose labels may be used; null labels are
-    left out. All of them are used: each partition sums its normal equations for two halves (by the id's hash), the
+    left out, and several labels of an id count as one, their mean. All of them are used: each partition sums its normal equations for two halves (by the id's hash), the
     sums are added up in a shuffle and the system, of a fixed size, is solved on the driver. Each half is scored by
-    the other half's fit to calibrate: raw scores are counted in bins and pooled to an increasing function. A null text
-    counts as empty; empty texts are scored as any other. Without a usable label every score is 0.5; with labels of one
-    value it is that value. Repeated rows are scored alike; further columns are ignored."""
+    the other half's fit to calibrate: raw scores are counted in bins and pooled to an increasing function. A score is 0.98 of
+    that level and 0.02 of the raw score, which keeps the order of documents inside a pooled block. A null text
+    counts as empty; empty texts are scored as any other; very long texts enter whole. Without a usable label every score is 0.5; with labels of one
+    value it is that value. Repeated rows are scored alike, further columns are ignored and
+    an empty table gives no rows."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def stats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"_id": batch["_id"], "_x": [statistics(t) for t in batch["_text"]]})
+            yield pd.DataFrame({"_id": batch["_id"], "_hash": batch["_hash"], "_x": [statistics(t) for t in batch["_text"]]})
 
-    base = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    rows = staged(base.mapInPandas(stats, f"_id {id_type}, _x array<double>"), "statistics")
-    marked = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_lid"), F.col(label_col).cast("double").alias("_y"))
+    base = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), text_hash(F.col(text_col)).alias("_hash"))
+    rows = staged(base.mapInPandas(stats, f"_id {id_type}, _hash bigint, _x array<double>"), "statistics")
+    marked = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_lid")).agg(F.avg(F.col(label_col).cast("double")).alias("_y"))
     known = rows.where(train).join(marked, F.col("_id") == F.col("_lid")).select("_id", "_x", "_y", F.pmod(F.xxhash64("_id"), F.lit(2)).cast("int").alias("_half"))
     known = staged(known, "training")
     size = range(len(STATISTICS))
@@ -106,7 +109,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train: Column, id_col: st
     whole = known.agg(F.count("*").alias("n"), F.min("_y").alias("lo"), F.max("_y").alias("hi"), F.array(*each).alias("m")).first()
     if not whole["n"] or whole["lo"] == whole["hi"]:
         score = F.lit(0.5 if not whole["n"] else min(1.0, max(0.0, whole["lo"])))
-        return rows.select(F.col("_id").alias(id_col), score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
+        return rows.select(F.col("_id").alias(id_col), score.alias("score"), (score >= threshold).cast("int").alias("predicted"), F.col("_hash").alias("text_hash"))
     moments = np.array(whole["m"]).reshape(-1, 2)
     features = _Map(moments[:, 0], moments[:, 1], width)
     width_all = FEATURES + 1
@@ -149,9 +152,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train: Column, id_col: st
             # a little of the raw score keeps the order inside a pooled block
             level = 0.98 * np.interp(raw, xs, ys) + 0.02 * np.clip(raw, 0, 1)
             score = np.round(np.clip(level, 0, 1), 9)
-            yield pd.DataFrame({"_id": batch["_id"], "score": score, "predicted": (score >= threshold).astype(np.int32)})
+            yield pd.DataFrame({"_id": batch["_id"], "score": score, "predicted": (score >= threshold).astype(np.int32), "text_hash": batch["_hash"]})
 
-    return rows.mapInPandas(apply, f"_id {id_type}, score double, predicted int").withColumnRenamed("_id", id_col)
+    return rows.mapInPandas(apply, f"_id {id_type}, score double, predicted int, text_hash bigint").withColumnRenamed("_id", id_col)
 
 
 def row_id() -> Column:

@@ -60,6 +60,16 @@ def test_exact(docs):
     same(exact_dedup(docs, salts=2), [{k: v for k, v in r.items() if k != "text_sha256"} for r in brute.exact(DOCS)])
 
 
+def test_exact_beyond_broadcasts(docs, monkeypatch):
+    import logweir.llm.exact_dedup as module
+
+    monkeypatch.setattr(module, "BROADCAST_KEYS", 0)
+    out = exact_dedup(docs, salts=3).collect()
+    want = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in brute.exact(DOCS)}
+    assert {tuple(r)[:4] for r in out} == want and len(out) == len(DOCS)
+    assert {r["doc_id"] for r in out if r["digest"]} == {i for i, t in DOCS if sum((t or "") == (x or "") for _, x in DOCS) > 1}
+
+
 def test_suffix(docs):
     same(suffix_dedup(docs), brute.repeats(DOCS))
     out = suffix_dedup(docs, size=100, with_text=True).collect()
