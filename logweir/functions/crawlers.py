@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The known tokens, which are also the crawlers' names; longest first, then by name.
@@ -68,17 +68,21 @@ def catalog_frame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "rank int, name string, token string, category string, protected_default boolean, pattern string")
 
 
-def _entries() -> Column:
-    return F.array(*(F.struct(F.lit(e["token"].lower()).alias("token"), F.lit(pattern(e["token"])).alias("pattern"), F.lit(e["name"]).alias("name"), F.lit(e["category"]).alias("category"), F.lit(e["protected_default"]).alias("protected_default")) for e in catalog()))
+def _literals(key: str) -> str:
+    """One property of all entries as a constant array, by rank."""
+    return "array(" + ", ".join(str(e[key]).lower() if key == "protected_default" else "'" + e[key].replace("'", "\\'") + "'" for e in catalog()) + ")"
+
+
+def _ranks(low: str) -> str:
+    """Ranks of the entries whose token stands in a lower-cased agent. Most tokens fail a plain substring test; the others
+    are tested for their boundaries. No interpreted lambda: the tests are compiled with the stage around them."""
+    sql = lambda x: x.replace("\\", "\\\\").replace("'", "\\'")
+    return "array_compact(array(" + ", ".join(f"CASE WHEN contains({low}, '{sql(e['token'].lower())}') AND {low} RLIKE '{sql(pattern(e['token']))}' THEN {e['rank']} END" for e in catalog()) + "))"
 
 
 def with_claim(df: DataFrame, user_agent: str = "user_agent") -> DataFrame:
-    """Adds claim (name, category, protected_default of the longest token that matches, else null) and claim_matches.
-
-    Plain substring tests leave few tokens; only those are tested for their boundaries."""
-    low = F.lower(F.col(user_agent))
-    held = df.withColumn("_c", F.filter(_entries(), lambda e: F.contains(low, e["token"])))
-    held = held.withColumn("_c", F.filter("_c", lambda e: F.rlike(low, e["pattern"])))
-    first = F.get("_c", F.lit(0))
-    claim = F.when(F.size("_c") > 0, F.struct(first["name"].alias("name"), first["category"].alias("category"), first["protected_default"].alias("protected_default")))
-    return held.withColumn("claim", claim).withColumn("claim_matches", F.size("_c")).drop("_c")
+    """Adds claim (name, category, protected_default of the longest token that matches, else null) and claim_matches."""
+    held = df.withColumn("_low", F.lower(F.col(user_agent))).withColumn("_c", F.expr(_ranks("_low")))
+    first = {k: f"get({_literals(k)}, _c[0])" for k in ("name", "category", "protected_default")}
+    claim = "CASE WHEN size(_c) > 0 THEN struct(" + ", ".join(f"{v} AS {k}" for k, v in first.items()) + ") END"
+    return held.withColumn("claim", F.expr(claim)).withColumn("claim_matches", F.expr("size(_c)")).drop("_c", "_low")

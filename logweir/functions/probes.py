@@ -8,14 +8,14 @@ from dataclasses import dataclass
 #: File names of known web shells.
 SHELLS = ("c99.php", "r57.php", "shell.php", "cmd.php", "wso.php")
 
-#: Signatures over the raw request target, applied before any log is written.
+#: Signatures over the raw request target, applied before any log is written; letters in either case.
 STATIC_SIGNATURES = {
-    "env-file-scan": r"(?i)^/\.env(?:[.?]|\z)",
-    "git-metadata-scan": r"(?i)^/\.git/",
-    "log4shell-probe": r"(?i)\$\{jndi:",
-    "path-traversal-scan": r"(?i)(?:^|[/\\])(?:\.|%2e){2}(?:[/\\?]|%2f|%5c|\z)",
+    "env-file-scan": r"(?i)(?:^|/)\.env(?:[./?]|\z)",
+    "git-metadata-scan": r"(?i)(?:^|/)\.git(?:/|\?|\z)",
+    "log4shell-probe": r"(?i)\x24\{jndi:",
+    "path-traversal-scan": r"(?i)(?:^|/|\\|%2f|%5c)(?:\.\.|%2e%2e)(?:/|\\|%2f|%5c|\?|\z)",
     "phpmyadmin-scan": r"(?i)^/(?:phpmyadmin|pma)/",
-    "shell-probe": r"(?i)/(?:c99|r57|shell|cmd|wso)\.php(?:\?|\z)",
+    "shell-probe": r"(?i)(?:^|/)(?:c99|r57|shell|cmd|wso)\.php(?:\?|\z)",
     "wp-login-scan": r"(?i)^/(?:wp-login\.php(?:\?|\z)|wp-admin/)",
 }
 

@@ -21,8 +21,9 @@ def unordered(events: DataFrame) -> DataFrame:
     return events.withColumn("_back", back).withColumn("unordered", F.max("_back").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_back")
 
 
-def decisions(events: DataFrame) -> DataFrame:
-    """seq with modeled and, for each profile, whether the bucket lets the request through (null: not modelled).
+def decisions(events: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """seq with modeled and, for each profile, whether the bucket lets the request through (null: not modelled), and the
+    `carried` columns of the request.
 
     Partitions hold whole subjects in input order and are streamed: what is kept is one bucket state for each profile,
     however many requests a subject has."""
@@ -47,16 +48,18 @@ def decisions(events: DataFrame) -> DataFrame:
                     state[i] = tokens - SCALE if allowed[i] else tokens
                 last = ts
                 out.append((seq, True, *allowed))
-            yield pd.DataFrame(out, columns=["seq", "modeled", *names]).astype({n: "boolean" for n in names})
+            frame = pd.DataFrame(out, columns=["seq", "modeled", *names]).astype({n: "boolean" for n in names})
+            yield frame.assign(**{c: batch[c].to_numpy() for c in carried})
 
-    rows = events.select("seq", "client_key", "ua_key", "ts_us").repartition("client_key", "ua_key").sortWithinPartitions("client_key", "ua_key", "seq")
-    return rows.mapInPandas(run, "seq bigint, modeled boolean, " + ", ".join(f"{n} boolean" for n in names))
+    rows = events.select(*dict.fromkeys(("seq", "client_key", "ua_key", "ts_us", *carried))).repartition("client_key", "ua_key").sortWithinPartitions("client_key", "ua_key", "seq")
+    types = dict(events.dtypes)
+    return rows.mapInPandas(run, "seq bigint, modeled boolean, " + ", ".join([f"{n} boolean" for n in names] + [f"{c} {types[c]}" for c in carried]))
 
 
 def rate_impacts(events: DataFrame) -> DataFrame:
     """Modelled, allowed and limited traffic by agent, class and profile."""
-    facts = events.select("seq", "ua_key", "primary_class", "bytes_sent", "upstream_duration_us")
-    each = decisions(events).where("modeled").select("seq", F.expr(f"stack({len(PROFILES)}, " + ", ".join(f"'{n}', {n}" for n in PROFILES) + ") AS (profile, allowed)"))
+    facts = ("ua_key", "primary_class", "bytes_sent", "upstream_duration_us")
+    each = decisions(events, facts).where("modeled").select(*facts, F.expr(f"stack({len(PROFILES)}, " + ", ".join(f"'{n}', {n}" for n in PROFILES) + ") AS (profile, allowed)"))
     sums = {
         "modeled_requests": "count(1)",
         "allowed_requests": "count_if(allowed)",
@@ -66,4 +69,4 @@ def rate_impacts(events: DataFrame) -> DataFrame:
         "limited_upstream_us": "sum(CASE WHEN NOT allowed THEN upstream_duration_us END)",
         "limited_upstream_samples": "count(CASE WHEN NOT allowed THEN upstream_duration_us END)",
     }
-    return facts.join(each, "seq").groupBy("ua_key", "primary_class", "profile").agg(*(F.expr(v).alias(k) for k, v in sums.items()))
+    return each.groupBy("ua_key", "primary_class", "profile").agg(*(F.expr(v).alias(k) for k, v in sums.items()))

@@ -14,6 +14,7 @@ from .operators import aggregates as ag
 from .operators import cost, findings, policy, rate
 from .plans import events as pe
 from .plans import oracle as o
+from .plans.stage import once
 from .sources import lines, parsers
 from .sources.adapter import records
 from .streaming import baseline, detector
@@ -46,13 +47,18 @@ def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pe.events(records(spark, sf_dir), TEST_KEY, RULES)
 
 
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events for queries that aggregate them more than once: normalised once, written, read back."""
+    return once(ev(spark, sf_dir), "events")
+
+
 def compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events in a hundred-thousandth of their time, so that buckets run dry."""
     return ev(spark, sf_dir).withColumn("ts_us", F.expr("ts_us div 100000"))
 
 
 def named_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = ev(spark, sf_dir)
+    e = facts(spark, sf_dir)
     return ag.cells(e).join(ag.user_agents(e), "ua_key")
 
 
@@ -270,12 +276,26 @@ def prj28_prefixes(spark, sf_dir):
     return ev(spark, sf_dir).select("seq", F.expr(urls.segment_prefix("actionable_prefix", "/en/")).alias("policy_match"), F.expr(urls.rule_prefix("actionable_prefix", "'/fr/'")).alias("rule_match"))
 
 
-_STATIC = {k: v for k, v in probes.STATIC_SIGNATURES.items()}
+#: Targets that hold what the signatures look for, and near misses, around the log's own ones; the same text is SQL for
+#: both engines.
+_TARGET = """CASE seq % 20 WHEN 0 THEN concat('/app', request_uri, '/.env') WHEN 1 THEN concat('/.ENV.local/', request_uri) WHEN 2 THEN concat('/.environment', request_uri) WHEN 3 THEN concat(request_uri, '/.git?x') WHEN 4 THEN concat('/a/.git/', request_uri)
+ WHEN 5 THEN concat('/.github', request_uri) WHEN 6 THEN concat('/x', '%2F', '..', '%2f', request_uri) WHEN 7 THEN concat('/x/', '%2E%2e', request_uri) WHEN 8 THEN concat('/x', chr(92), '..', chr(92), request_uri) WHEN 9 THEN concat('/v1..2', request_uri) WHEN 10 THEN concat('/.', '%2e', request_uri)
+ WHEN 11 THEN concat(request_uri, '?q=', chr(36), '{JNDI:x}') WHEN 12 THEN concat(request_uri, chr(36), '{jndi-x}') WHEN 13 THEN concat('/PMA/', request_uri) WHEN 14 THEN concat('/x/phpmyadmin', request_uri) WHEN 15 THEN concat(request_uri, '/r57.php?a') WHEN 16 THEN concat('/shell.phps', request_uri) WHEN 17 THEN concat('/wp-login.php', '?r=', request_uri)
+ WHEN 18 THEN concat('/blog/wp-admin', request_uri) ELSE request_uri END"""
 
 
-@query("SELECT seq, array_to_string(list_filter([" + ", ".join("CASE WHEN regexp_matches(request_uri, '" + p.replace("\\z", "$") + f"') THEN '{k}' END" for k, p in _STATIC.items()) + "], lambda x: x IS NOT NULL), ',') AS signatures FROM rec", RAW)
+@query(f"""SELECT seq, concat_ws(',',
+ CASE WHEN regexp_matches(low, '(^|/)[.]env($|[./?])') THEN 'env-file-scan' END,
+ CASE WHEN regexp_matches(low, '(^|/)[.]git($|[/?])') THEN 'git-metadata-scan' END,
+ CASE WHEN contains(low, '${{jndi:') THEN 'log4shell-probe' END,
+ CASE WHEN regexp_matches(replace(replace(replace(replace(low, '%2f', '/'), '%5c', '/'), chr(92), '/'), '%2e%2e', '..'), '(^|/)[.][.]($|[/?])') THEN 'path-traversal-scan' END,
+ CASE WHEN starts_with(low, '/phpmyadmin/') OR starts_with(low, '/pma/') THEN 'phpmyadmin-scan' END,
+ CASE WHEN regexp_matches(low, '(^|/)(c99|cmd|r57|shell|wso)[.]php($|[?])') THEN 'shell-probe' END,
+ CASE WHEN low = '/wp-login.php' OR starts_with(low, '/wp-login.php?') OR starts_with(low, '/wp-admin/') THEN 'wp-login-scan' END) AS signatures
+FROM (SELECT seq, lower({_TARGET}) AS low FROM rec)""", RAW)
 def prj31_static(spark, sf_dir):
-    return records(spark, sf_dir).select("seq", F.array_join(F.expr(probes.static_signatures("request_uri")), ",").alias("signatures"))
+    r = records(spark, sf_dir).withColumn("target", F.expr(_TARGET))
+    return r.select("seq", F.array_join(F.expr(probes.static_signatures("target")), ",").alias("signatures"))
 
 
 # --- aggregates ----------------------------------------------------------------------------------------------------
@@ -291,12 +311,12 @@ _ROUTE_COLUMNS = "route, requests, query_requests, status_404, cache_eligible, c
 
 @query(f"SELECT actionable_prefix, {_ROUTE_COLUMNS} FROM route_one", f"{o.EVENTS}, {o.ROUTES}")
 def ag02_route_stats(spark, sf_dir):
-    return ag.route_stats(ev(spark, sf_dir)).select("actionable_prefix", *_ROUTE_COLUMNS.split(", "))
+    return ag.route_stats(facts(spark, sf_dir)).select("actionable_prefix", *_ROUTE_COLUMNS.split(", "))
 
 
 @query("SELECT client_key, ua_key, requests, status_4xx, no_referer, probe_requests, robots_violations, first_seen_us, last_seen_us, claimed, distinct_routes FROM subjects", f"{o.EVENTS}, {o.SUBJECTS}")
 def ag03_subjects(spark, sf_dir):
-    return ag.subject_stats(ev(spark, sf_dir)).drop("routes_sketch")
+    return ag.subject_stats(facts(spark, sf_dir)).drop("routes_sketch")
 
 
 _IMPACT = "ua_key, primary_class, profile, modeled_requests, allowed_requests, limited_requests, allowed_bytes, limited_bytes, limited_upstream_us, limited_upstream_samples"
@@ -341,7 +361,7 @@ def ag09_classes(spark, sf_dir):
 
 @query(f"SELECT crawler, category, protected_default, {_CLASSES} WHERE crawler IS NOT NULL GROUP BY 1, 2, 3", _CUBE)
 def ag10_crawlers(spark, sf_dir):
-    e = ev(spark, sf_dir)
+    e = facts(spark, sf_dir)
     return ag.crawlers(ag.cells(e), ag.user_agents(e))
 
 
@@ -355,12 +375,12 @@ _ROUTES = f"{o.EVENTS}, {o.ROUTES}"
 
 @query(f"SELECT {_ROUTE_COLUMNS}, actionable_prefix, distinct_clients, distinct_urls, distinct_queries, distinct_approximate FROM routes", _ROUTES)
 def ag12_route_merge(spark, sf_dir):
-    return ag.route_report(ag.route_stats(ev(spark, sf_dir)))
+    return ag.route_report(ag.route_stats(facts(spark, sf_dir)))
 
 
 @query(f"SELECT method, requests, array_to_string(sk, '') AS sketch, {o.estimate('sk', 'requests')} AS estimate, {o.conservative('sk', 'requests')} AS conservative FROM (SELECT method, count(*) AS requests, {o.kmv('url_fingerprint')} AS sk FROM ev GROUP BY 1)")
 def ag13_kmv(spark, sf_dir):
-    e = ev(spark, sf_dir)
+    e = facts(spark, sf_dir)
     s = kmv.sketch(e, ["method"], "url_fingerprint", "sk").join(e.groupBy("method").agg(F.count("*").alias("requests")), "method")
     return s.select("method", "requests", F.array_join("sk", "").alias("sketch"), F.expr(kmv.estimate("sk", "requests")).alias("estimate"), F.expr(kmv.conservative("sk", "requests")).alias("conservative"))
 
@@ -386,7 +406,7 @@ def ag16_bounded_uas(spark, sf_dir):
 
 @query("SELECT route, actionable_prefix, status, CAST(sum(requests) AS BIGINT) AS requests, CAST(sum(upstream_duration_us) AS BIGINT) AS upstream_duration_us FROM cube GROUP BY 1, 2, 3", _CUBE)
 def ag18_partial_final(spark, sf_dir):
-    e = ev(spark, sf_dir)
+    e = facts(spark, sf_dir)
     whole = ag.merge_cells(ag.cells(e.where("seq % 3 = 0")), ag.cells(e.where("seq % 3 <> 0")))
     return whole.groupBy("route", "actionable_prefix", "status").agg(F.sum("requests").alias("requests"), F.sum("upstream_duration_us").alias("upstream_duration_us"))
 
@@ -457,13 +477,13 @@ _SAMPLED = o.EVENTS.replace("WHERE reject_code IS NULL", "WHERE reject_code IS N
 
 @query(_cost_sql("primary_class", f"(SELECT primary_class, {_CLASSES} GROUP BY 1) c"), f"{_SAMPLED}, {o.CELLS}")
 def ag28_cost(spark, sf_dir):
-    e = ev(spark, sf_dir).where("upstream_duration_us IS NOT NULL")
+    e = facts(spark, sf_dir).where("upstream_duration_us IS NOT NULL")
     return cost.allocate(ag.classes(ag.cells(e)), ag.summary(e), 500_000, 12_300).select("primary_class", "egress_kopecks", "hosting_kopecks", "total_kopecks")
 
 
 @query(_cost_sql("primary_class", f"(SELECT primary_class, {_CLASSES} GROUP BY 1) c"), _CUBE)
 def ag28_cost_uncovered(spark, sf_dir):
-    e = ev(spark, sf_dir)
+    e = facts(spark, sf_dir)
     return cost.allocate(ag.classes(ag.cells(e)), ag.summary(e), 500_000, 12_300).select("primary_class", "egress_kopecks", "hosting_kopecks", "total_kopecks")
 
 
@@ -501,7 +521,7 @@ def jn14_rate_rules(spark, sf_dir):
 
 @query("SELECT 'strict' AS profile, count(*) AS states, greatest(1, (count(*) * 512 + 1048575) // 1048576) AS zone_mib FROM subjects WHERE category = 'claimed_ai_crawler' HAVING count(*) > 0", f"{o.EVENTS}, {o.SUBJECTS}")
 def ag27_states(spark, sf_dir):
-    e = ev(spark, sf_dir)
+    e = facts(spark, sf_dir)
     return policy.observed_states(ag.subject_stats(e).join(ag.user_agents(e), "ua_key"), POLICY)
 
 
@@ -532,7 +552,7 @@ def rk07_ambiguous(spark, sf_dir):
 @query(None)
 def rk_risks(spark, sf_dir):
     """All risks of the policy with its status: bounded results meet on the driver."""
-    e = ev(spark, sf_dir)
+    e = facts(spark, sf_dir)
     c = named_cells(spark, sf_dir)
     rows = lambda df: [r.asDict() for r in df.collect()]  # noqa: E731  at most one row for each rule or profile
     modeled = {r["rule_index"]: r["modeled_requests"] for r in rows(policy.rate_rule_impacts(rate.rate_impacts(e).join(ag.user_agents(e), "ua_key"), POLICY))}
@@ -547,7 +567,7 @@ def rk_risks(spark, sf_dir):
 
 @query("SELECT crawler, category, route, count(*) AS requests FROM ev WHERE robots_allowed = false GROUP BY 1, 2, 3")
 def jn01_robots(spark, sf_dir):
-    e = ev(spark, sf_dir)
+    e = facts(spark, sf_dir)
     agents = ag.user_agents(e).where("crawler IS NOT NULL").groupBy("crawler").agg(F.max("category").alias("category"))
     return ag.robots_violations(e).join(agents, "crawler").select("crawler", "category", "route", "requests")
 
@@ -559,7 +579,7 @@ def jn03_cells_agents(spark, sf_dir):
 
 @query("""SELECT r.route, r.requests, array_to_string(k.keys, ',') AS top_query_keys FROM routes r LEFT JOIN (SELECT route, list(query_key ORDER BY n DESC, query_key)[1:20] AS keys FROM (SELECT route, query_key, count(*) AS n FROM (SELECT route, unnest(query_keys) AS query_key FROM ev) GROUP BY 1, 2) GROUP BY 1) k USING (route)""", _ROUTES)
 def jn05_routes_top_keys(spark, sf_dir):
-    e = ev(spark, sf_dir)
+    e = facts(spark, sf_dir)
     keys = ag.top_query_keys(ag.route_query_keys(e))
     return ag.route_report(ag.route_stats(e)).join(keys, "route", "left").select("route", "requests", F.array_join("top_query_keys", ",").alias("top_query_keys"))
 
@@ -575,7 +595,7 @@ def jn06_correlated(spark, sf_dir):
 
 @query("SELECT coalesce(crawler, '-') AS crawler, count(*) AS subjects, CAST(sum(requests) AS BIGINT) AS requests FROM subjects GROUP BY 1", f"{o.EVENTS}, {o.SUBJECTS}")
 def jn07_subjects_agents(spark, sf_dir):
-    e = ev(spark, sf_dir)
+    e = facts(spark, sf_dir)
     return ag.subject_stats(e).join(ag.user_agents(e), "ua_key").groupBy(F.coalesce("crawler", F.lit("-")).alias("crawler")).agg(F.count("*").alias("subjects"), F.sum("requests").alias("requests"))
 
 
@@ -597,7 +617,7 @@ def jn16_active_rules(spark, sf_dir):
 
 @query("SELECT route, count(*) AS n FROM ev e WHERE NOT EXISTS (SELECT 1 FROM ev p WHERE p.route = e.route AND p.method = 'POST') GROUP BY 1")
 def jn19_anti(spark, sf_dir):
-    e = ev(spark, sf_dir)
+    e = facts(spark, sf_dir)
     return e.join(e.where("method = 'POST'").select("route").distinct(), "route", "left_anti").groupBy("route").agg(F.count("*").alias("n"))
 
 
@@ -647,13 +667,13 @@ def wn05_health(spark, sf_dir):
 
 @query(f"SELECT * FROM (SELECT crawler, category, protected_default, {_CLASSES} WHERE crawler IS NOT NULL GROUP BY 1, 2, 3) ORDER BY upstream_duration_us DESC NULLS LAST, requests DESC, crawler LIMIT 100", _CUBE)
 def st02_crawlers_top(spark, sf_dir):
-    e = ev(spark, sf_dir)
+    e = facts(spark, sf_dir)
     return ag.top_expensive(ag.crawlers(ag.cells(e), ag.user_agents(e)), "crawler", 100)
 
 
 @query("SELECT route, requests, upstream_duration_us FROM routes ORDER BY upstream_duration_us DESC NULLS LAST, requests DESC, route LIMIT 50", _ROUTES)
 def st03_routes_top(spark, sf_dir):
-    return ag.top_expensive(ag.route_report(ag.route_stats(ev(spark, sf_dir))), "route", 50).select("route", "requests", "upstream_duration_us")
+    return ag.top_expensive(ag.route_report(ag.route_stats(facts(spark, sf_dir))), "route", 50).select("route", "requests", "upstream_duration_us")
 
 
 @query("SELECT seq, reject_code AS code FROM norm WHERE reject_code IS NOT NULL ORDER BY seq LIMIT 100", o.NORMALISED)
@@ -668,13 +688,13 @@ def set06_union(spark, sf_dir):
 
 @query("SELECT DISTINCT route FROM ev WHERE method = 'GET' EXCEPT SELECT DISTINCT route FROM ev WHERE method = 'HEAD'")
 def set05_except(spark, sf_dir):
-    e = ev(spark, sf_dir)
+    e = facts(spark, sf_dir)
     return e.where("method = 'GET'").select("route").subtract(e.where("method = 'HEAD'").select("route"))
 
 
 @query(f"SELECT route, {o.ppm('status_404', 'requests')} AS ppm FROM routes", _ROUTES)
 def fn08_ppm(spark, sf_dir):
-    return ag.route_report(ag.route_stats(ev(spark, sf_dir))).select("route", F.expr(numbers.ratio_ppm("status_404", "requests")).alias("ppm"))
+    return ag.route_report(ag.route_stats(facts(spark, sf_dir))).select("route", F.expr(numbers.ratio_ppm("status_404", "requests")).alias("ppm"))
 
 
 @query("SELECT seq, CAST((2 * CAST(bytes_sent AS HUGEINT) * 7 + 1000) // 2000 AS BIGINT) AS value FROM rec", RAW)
@@ -796,7 +816,7 @@ _FD = f"{o.EVENTS}, {o.ROUTES}, {o.SUBJECTS}"
 
 
 def all_findings(spark: SparkSession, sf_dir: str, t: findings.Thresholds = LOW) -> dict[str, DataFrame]:
-    e = ev(spark, sf_dir)
+    e = facts(spark, sf_dir)
     routes, subjects, total = ag.route_report(ag.route_stats(e)), ag.subject_stats(e), ag.summary(e)
     over = ag.bounded(e, "route", 40, ag.OVERFLOW_ROUTE).agg(F.expr("count_if(overflow)").alias("overflow"))
     late = rate.unordered(e).agg(F.expr("bool_or(unordered)").alias("order_degraded"))
@@ -823,7 +843,7 @@ def st04_findings_ranked(spark, sf_dir):
 
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: classes, most expensive crawlers and findings of a log in one table of sections."""
-    e = ev(spark, sf_dir)
+    e = facts(spark, sf_dir)
     cube = ag.cells(e)
     rows = lambda df, section, name: df.select(F.lit(section).alias("section"), F.col(name).alias("name"), F.col("requests"))
     top = ag.top_expensive(ag.crawlers(cube, ag.user_agents(e)), "crawler", 100)

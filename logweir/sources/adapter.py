@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.stage import spread
+
 #: Paths that every so many events ask for instead of a page: (modulus, remainder 0) -> request target.
 SPECIAL = (
     (97, "/.env"),
@@ -71,9 +73,10 @@ FROM (
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One parsed record for each event: seq, ts_us, client_ip, method, request_uri, status, bytes_sent, both
     durations, cache_state, user_agent and referer."""
-    for name in ("events", "pages"):
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-    return spark.sql(records_sql("div", "unix_micros(CAST(ts AS TIMESTAMP))"))
+    events, pages = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("events", "pages"))
+    sql = records_sql("div", "unix_micros(CAST(ts AS TIMESTAMP))").replace("{", "{{").replace("}", "}}")
+    sql = sql.replace("FROM events e", "FROM {events} e").replace("FROM pages)", "FROM {pages})").replace("JOIN pages p", "JOIN {pages} p")
+    return spread(spark.sql(sql, events=events, pages=pages))
 
 
 DUCKDB_RECORDS = records_sql("//", "epoch_us(ts)")
