@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_lookup, staged
+from .common import staged
 
 
 def _least_neighbour(pairs: DataFrame) -> DataFrame:
-    """Each pair (u, v) with m, the smallest v of its u; a hub's pairs are dealt over many tasks."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    return salted_lookup(pairs, least, "u", "v")
+    """Each pair (u, v) with m, the smallest v of its u. The minima are written first, so that a hub's pairs are an
+    exchange of their own whose large partitions Spark splits."""
+    least = staged(pairs.groupBy("u").agg(F.min("v").alias("m")), "least")
+    return pairs.join(least, "u")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -26,19 +27,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return seen.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
 
 
+def _stars(links: DataFrame) -> bool:
+    """Whether each u has one v and no v is a u: nothing is left to do."""
+    ends = links.select(F.col("u").alias("x"), F.lit(1).alias("a"), F.lit(0).alias("b")).union(links.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("a").alias("a"), F.max("b").alias("b")).where("a > 1 OR a = 1 AND b = 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """From links (u, v) between integers to (u, v) where v is the smallest id of u's component, for all u but those v.
 
     Each round links all larger neighbours of an id, then the id and its smaller neighbours, to the smallest
-    neighbour; rounds grow as the logarithm of the largest component and end when nothing changes. Loops and repeated
+    neighbour; rounds grow as the logarithm of the largest component and end when all links are stars. Loops and repeated
     links do no harm; no links give no rows."""
     now = staged(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
-    n = now.count()
-    while n:
-        new = staged(_small_star(_large_star(now).where("u <> v").distinct()).where("u <> v").distinct(), "links")
-        was, n_new = now, new.count()
-        now = new
-        if n_new == n and new.join(was, ["u", "v"], "left_anti").isEmpty():
-            break
-        n = n_new
+    while not _stars(now):
+        now = staged(_small_star(_large_star(now).where("u <> v").distinct()).where("u <> v").distinct(), "links")
     return now

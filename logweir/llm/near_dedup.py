@@ -22,8 +22,10 @@ MINWISE = 128
 ROOTS = (1, 2, 3, 4, 5, 6)
 #: Minwise functions that a node picks; it sends each document to one child for each.
 PICKS = 2
+#: Trees whose leaves are compared first; leaves of the others are compared where these left something apart.
+FIRST_TREES = 2
 #: Nodes of at most so many documents are compared exhaustively.
-LEAF = 512
+LEAF = 1024
 #: Levels after which a node that is still larger is compared exactly, in blocks of about LEAF documents; before that,
 #: one that keeps KEPT of its parent's documents or more, since branching would only multiply its rows.
 LEVELS, KEPT = 5, 1 / 2
@@ -154,22 +156,22 @@ def _confirmed_pairs(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: s
 
 
 def _grown(sets: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """Memberships (node, id, k) of the leaves of all trees, those of large nodes that are to be compared whole, and the
-    links found on the way.
+    """Memberships (node, id, k, late) of the leaves of all trees, those of large nodes that are to be compared whole, and
+    the links found on the way.
 
     A large node is settled before it branches: its documents are compared with a few of its own, and what is linked by
     that counts as one from then on. A node whose documents are all connected has nothing left to find and ends."""
     roots = sets.select("id", "k", "mw", F.explode(F.array(*(F.lit(r).cast("long") for r in ROOTS))).alias("node"))
-    rows = _children(roots)
+    rows = _children(roots.withColumn("late", F.col("node") > ROOTS[FIRST_TREES - 1]))
     counts = staged(rows.groupBy("node").agg(F.count("*").alias("c")).where("c > 1"), "counts")
     counted = staged(rows.join(counts, "node"), "nodes")
-    leaves, whole = [counted.where(F.col("c") <= LEAF).select("node", "id", "k")], []
+    leaves, whole = [counted.where(F.col("c") <= LEAF).select("node", "id", "k", "late")], []
     large = counted.where(F.col("c") > LEAF)
     if large.isEmpty():
         return leaves[0], None, None
     links = staged(confirm(_pivot_pairs(large, sets, percent)), "settled")
     settled = components(links).select(F.col("u").alias("id"), F.col("v").alias("comp"))
-    rows = large.join(settled, "id", "left").select("node", "id", "k", F.coalesce("comp", "id").alias("comp"), F.lit(None).cast("long").alias("parent"))
+    rows = large.join(settled, "id", "left").select("node", "id", "k", "late", F.coalesce("comp", "id").alias("comp"), F.lit(None).cast("long").alias("parent"))
     for level in range(1, LEVELS + 1):
         rows = staged(rows, "nodes")
         parts = rows.groupBy("node", "comp").agg(F.count("*").alias("m"), F.max("parent").alias("parent"))
@@ -178,14 +180,14 @@ def _grown(sets: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent:
         stays = few | F.lit(level == LEVELS) | F.coalesce(F.col("c") >= KEPT * F.col("_p"), F.lit(False))
         stats = staged(stats.select("node", "c", F.when(F.col("c") <= LEAF, 0).when(stays, 1).otherwise(2).alias("fate")), "counts")
         left = staged(rows.drop("parent").join(stats, "node"), "nodes")
-        leaves.append(left.where("fate = 0").select("node", "id", "k"))
+        leaves.append(left.where("fate = 0").select("node", "id", "k", "late"))
         whole.append(left.where("fate = 1").select("node", "id", "k"))
         on = left.where("fate = 2")
         if on.isEmpty():
             break
-        rows = _children(on.select("id", "k", "node", "comp", F.col("c").alias("parent")).join(sets.select("id", "k", "mw"), ["id", "k"]))
+        rows = _children(on.select("id", "k", "node", "late", "comp", F.col("c").alias("parent")).join(sets.select("id", "k", "mw"), ["id", "k"]))
     over = staged(_union(whole), "whole")
-    return _union(leaves).distinct(), None if over.isEmpty() else over, links
+    return _union(leaves), None if over.isEmpty() else over, links
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -247,9 +249,9 @@ def _candidates(members: DataFrame, threshold: float) -> DataFrame:
             for a, b in _pairs(node, n, threshold):
                 ok = _estimated(sketch, a, sketch, b) >= least
                 near[a[ok]] = near[b[ok]] = True
-            yield batch.loc[near, ["id", "k", "node"]]
+            yield batch.loc[near, ["id", "k", "node", "late"]]
 
-    return members.mapInPandas(run, "id bigint, k bigint, node bigint")
+    return members.mapInPandas(run, "id bigint, k bigint, node bigint, late boolean")
 
 
 class _Connected:
@@ -270,6 +272,16 @@ class _Connected:
         return x != y
 
 
+def _star(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same connections as links of each id with the smallest one that it reaches."""
+    ids = sorted({x for link in links for x in link})
+    place = {x: k for k, x in enumerate(ids)}
+    known = _Connected(len(ids))
+    for x, y in links:
+        known.join(*sorted((known.find(place[x]), known.find(place[y]))))
+    return [(x, ids[known.find(k)]) for k, x in enumerate(ids) if known.find(k) != k]
+
+
 def _links_of(a: list[int], b: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Of the pairs (a, b) of places in `sets`, the likeliest first, links that connect all that is similar.
 
@@ -296,7 +308,8 @@ def _links_of(a: list[int], b: list[int], sets: list[np.ndarray], percent: int)
 
 
 def _confirmed(members: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) confirmed on full sets: of each leaf as many as connect what is similar in it, no more."""
+    """Connections (u, v) by links that are confirmed on full sets: of each leaf what is similar in it, each document with
+    the smallest id that links reach there."""
     threshold, least = percent / 100, _least_estimate(percent / 100)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -317,7 +330,7 @@ def _confirmed(members: DataFrame, percent: int) -> DataFrame:
                 if len(own):
                     places, at = np.unique(np.concatenate([a[own], b[own]]), return_inverse=True)
                     found = _links_of(at[: len(own)].tolist(), at[len(own) :].tolist(), [sets[k] for k in places], percent)
-                    out += [(ids[places[x]], ids[places[y]]) for x, y in found]
+                    out += _star([(int(ids[places[x]]), int(ids[places[y]])) for x, y in found])
             yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
     return members.mapInPandas(run, "u bigint, v bigint")
@@ -343,16 +356,18 @@ def _full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, size
 def _block_pairs(over: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Rows (node, side, id, k, n, comp) for each pair of blocks that has to be compared; a block with itself has side 0.
 
-    Large nodes that share documents are one family, all of whose documents are compared with each other but for pairs
-    that the links found so far connect and pairs whose sizes are too different. Blocks hold one size class, in which a
-    document can only be similar to those of its own and the two next classes; a component of more than LEAF documents
-    of a class has blocks of its own, which are not compared with each other."""
-    first = over.groupBy("node").agg(F.min("id").alias("_first"))
-    links = salted_lookup(over.select("id", "node"), first, "node", "id").select(F.col("id").alias("u"), F.col("_first").alias("v"))
-    families = components(links).select(F.col("u").alias("id"), F.col("v").alias("fam"))
+    Nodes whose documents reach the same smallest id over one node more are one family, all of whose documents are
+    compared with each other but for pairs that the links found so far connect and pairs whose sizes are too different.
+    Blocks hold one size class, in which a document can only be similar to those of its own and the two next classes; a
+    component of more than LEAF documents of a class has blocks of its own, which are not compared with each other."""
+    first = over.groupBy("node").agg(F.min("id").alias("_f"))
+    reach = salted_lookup(over, first, "node", "id").groupBy("id").agg(F.min("_f").alias("_r"))
+    placed = staged(over.join(reach, "id"), "reach")
+    families = placed.groupBy("node").agg(F.min("_r").alias("fam"))
+    members = salted_lookup(placed.drop("_r"), families, "node", "id").select("fam", "id", "k").distinct()
     step = max(float(np.log(100 / percent)), 1e-3) * (1 + 1e-6)  # never a ratio of sizes that is allowed over two classes
-    rows = over.select("id", "k").distinct().join(families, "id", "left").join(found.select(F.col("u").alias("id"), F.col("v").alias("comp")), "id", "left").join(sets.select("id", "k", "n"), ["id", "k"])
-    rows = rows.select("id", "k", "n", F.coalesce("fam", "id").alias("fam"), F.coalesce("comp", "id").alias("comp"), F.floor(F.log(F.col("n").cast("double")) / step).alias("cls"))
+    rows = members.join(found.select(F.col("u").alias("id"), F.col("v").alias("comp")), "id", "left").join(sets.select("id", "k", "n"), ["id", "k"])
+    rows = rows.select("id", "k", "n", "fam", F.coalesce("comp", "id").alias("comp"), F.floor(F.log(F.col("n").cast("double")) / step).alias("cls"))
     rows = staged(rows, "families")
     several = rows.groupBy("fam").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a <> _b").select("fam")
     rows = rows.join(several, "fam")
@@ -465,8 +480,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows of equal sets meet in one representative by a pre-aggregated minimum. Representatives are put into independent
     trees, whose nodes branch by minwise tokens of their choice. What shares a leaf and has near sketches is confirmed on
     full sets there, so no list of pairs is ever made: each leaf returns fewer links than it has documents. Leaves with the
-    same members are compared once; large nodes are settled by pivots before they branch, and compared whole, in pairs of
-    blocks, if branching doesn't make them small, but for what is connected already.
+    same members are compared once, and those of later trees only where the first ones left their documents apart; large
+    nodes are settled by pivots before they branch, and compared whole, in pairs of blocks, if branching doesn't make them
+    small, but for what is connected already.
     A pair at just the similarity 0.75 has no common child of a root in any tree once in 16 million, and once in 500 000
     if it has to stay together down to the last level; the filter of sketches misses fewer than 1 in 10 million."""
     if not isinstance(docs.schema[id_col].dataType, IntegralType):
@@ -481,21 +497,28 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = lambda df: df.repartition(n_parts, "node").sortWithinPartitions("node", "id")
     near = staged(_candidates(dealt(leaves.join(looks, ["id", "k"])), percent / 100), "candidates")
-    # one leaf of those with the same members
-    same = near.groupBy("node").agg(F.count("*").alias("c"), F.sum(F.xxhash64("id", "k") % (1 << 40)).alias("s"), F.bit_xor(F.xxhash64("id", "k")).alias("x"))
-    once = same.where("c > 1").groupBy("c", "s", "x").agg(F.min("node").alias("node")).select("node")
-    near = staged(near.join(once, "node"), "candidates")
-    full = _full_sets(docs, staged(near.select("id", "k").distinct(), "ids"), id_col, text_col, size)
-    links = _confirmed(dealt(near.join(looks, ["id", "k"]).join(full, ["id", "k"])), percent)
-    if settled is not None:
-        links = links.union(settled)
-    if over is not None:
-        links = staged(links, "confirmed")
-        pairs = staged(_block_pairs(over, components(links), sets, percent), "pairs")
-        links = links.union(_across(pairs, sets, docs, id_col, text_col, size, percent, n_parts))
+
+    def links_in(near: DataFrame) -> DataFrame:
+        # one leaf of those with the same members
+        same = near.groupBy("node").agg(F.count("*").alias("c"), F.sum(F.xxhash64("id", "k") % (1 << 40)).alias("s"), F.bit_xor(F.xxhash64("id", "k")).alias("x"))
+        once = same.where("c > 1").groupBy("c", "s", "x").agg(F.min("node").alias("node")).select("node")
+        near = staged(near.join(once, "node").select("id", "k", "node"), "compared")
+        full = _full_sets(docs, staged(near.select("id", "k").distinct(), "ids"), id_col, text_col, size)
+        return staged(_confirmed(dealt(near.join(looks, ["id", "k"]).join(full, ["id", "k"])), percent), "confirmed")
+
     # an id with several texts links their sets
     several = rows.where("fp is not null and _id is not null").groupBy("_id").agg(F.min("fp").alias("_a"), F.max("fp").alias("_b")).where("_a <> _b").select("_id")
-    found = components(links.union(rows.join(several, "_id").join(owners, "fp").select(F.col("_id").alias("u"), F.col("id").alias("v"))))
+    links = links_in(near.where("not late")).union(rows.join(several, "_id").join(owners, "fp").select(F.col("_id").alias("u"), F.col("id").alias("v")))
+    found = components(links if settled is None else links.union(settled))
+    # leaves of the other trees that hold documents which are still apart
+    later = near.where("late").join(found.select(F.col("u").alias("id"), F.col("v").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    apart = later.groupBy("node").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a <> _b").select("node")
+    more = links_in(near.where("late").join(apart, "node"))
+    found = found if more.isEmpty() else components(found.union(more))
+    if over is not None:
+        pairs = staged(_block_pairs(over, found, sets, percent), "pairs")
+        more = staged(_across(pairs, sets, docs, id_col, text_col, size, percent, n_parts), "across")
+        found = found if more.isEmpty() else components(found.union(more))
     of_set = owners.join(found.select(F.col("u").alias("id"), F.col("v").alias("_c")), "id", "left").select("fp", F.coalesce("_c", "id").alias("_c"))
     # a row without a set has a key of its own that no set has
     keyed = rows.select("_id", "n", F.coalesce("fp", F.concat(F.lit("-"), F.col("_id").cast("string")), F.lit("-")).alias("fp"))

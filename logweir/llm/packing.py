@@ -26,6 +26,14 @@ _RUN = re.compile(f"[{_WHITE}] (?:[{_WHITE}]|$)")
 
 
 def vocabulary_path() -> str:
+    """The tokenizer whose ids count."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def ranks_path() -> str:
+    """The same vocabulary in the form that the faster encoder reads."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -38,15 +46,21 @@ def split_pattern() -> str:
 
 
 class ByteEncoder(dict):
-    """Ids of a text as little-endian unsigned 32-bit bytes; remembers the ids of ' word' for each word."""
+    """Ids of a text as little-endian unsigned 32-bit bytes, as the tokenizer at `path` gives them without adding any of its
+    own; remembers the ids of ' word' for each word.
+
+    Texts without one of the tokenizer's special strings go through a faster encoder of the same vocabulary (`ranks`)."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, ranks: str, pattern: str):
         import tiktoken
+        from tokenizers import Tokenizer
 
         super().__init__()
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.coder = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(ranks, "rb") as f:
+            pairs = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.coder = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=pairs, special_tokens={})
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.coder.encode_ordinary(text), dtype="<u4").tobytes()
@@ -61,13 +75,15 @@ class ByteEncoder(dict):
 
     def encode(self, text: str) -> bytes:
         """A space before a character that is no white space always begins a token, so the text may be cut there."""
+        if any(x in text for x in self.special):
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if _RUN.search(text):
             return self.whole(text)
         first, *rest = text.split(" ")
         return self.whole(first) + b"".join(map(self.__getitem__, rest))
 
 
-def token_pieces(docs: DataFrame, id_col: str, text_col: str, path: str, pattern: str, capacity: int, with_ids: bool) -> DataFrame:
+def token_pieces(docs: DataFrame, id_col: str, text_col: str, path: str, ranks: str, pattern: str, capacity: int, with_ids: bool) -> DataFrame:
     """Documents as pieces of at most `capacity` ids: _id, piece, start, length, ids_crc32 and, if asked for, ids.
 
     Each document ends with id 0. Only longer ones are cut; all pieces but the first are full."""
@@ -75,7 +91,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, path: str, pattern
     schema = f"_id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = ByteEncoder(path, pattern)
+        encoder = ByteEncoder(path, ranks, pattern)
         for batch in batches:
             out = []
             for i, text in zip(batch["_id"].tolist(), batch["_text"].tolist(), strict=True):
@@ -187,18 +203,18 @@ def _pack_group(capacity: int):
     return run
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, path: str | None = None, pattern: str | None = None, group_pieces: int = GROUP_PIECES, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, path: str | None = None, ranks: str | None = None, pattern: str | None = None, group_pieces: int = GROUP_PIECES, with_ids: bool = False) -> DataFrame:
     """One row for each piece: the id column, piece, start, length, ids_crc32, [ids,] sequence_id and offset.
 
     Every document has at least the id 0 at its end, so a null or empty text is a piece of length 1. An empty table
-    gives no rows. Rows that share an id are packed as documents of their own. Ids are those of the vocabulary file
-    `path`; special tokens' strings in a text are ordinary text.
+    gives no rows. Rows that share an id are packed as documents of their own; further columns are ignored. Ids are
+    those of the tokenizer in the file `path`, to whose special tokens their strings in a text belong.
 
     Pieces are dealt by hash into groups of about `group_pieces`, each packed in a task of its own: memory stays the
     same at any size, one very long document spreads over many groups, and each group wastes less than a bin or two
     of some thousands."""
-    path, pattern = path or vocabulary_path(), pattern or split_pattern()
-    pieces = staged(token_pieces(docs, id_col, text_col, path, pattern, capacity, with_ids), "pieces")
+    path, ranks, pattern = path or vocabulary_path(), ranks or ranks_path(), pattern or split_pattern()
+    pieces = staged(token_pieces(docs, id_col, text_col, path, ranks, pattern, capacity, with_ids), "pieces")
     groups = max(1, round(pieces.count() / group_pieces))
     grouped = pieces.withColumn("_group", F.pmod(F.xxhash64("_id", "piece"), F.lit(groups)).cast("int"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id bigint, offset bigint"

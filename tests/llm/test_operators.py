@@ -13,7 +13,7 @@ from logweir.llm.exact_dedup import exact_dedup
 from logweir.llm.language import identify_language
 from logweir.llm.licenses import NOTICES, NoticeFinder, scan_licenses, seeds
 from logweir.llm.near_dedup import near_dedup
-from logweir.llm.packing import ByteEncoder, best_fit, local_search, pack_documents, split_pattern, vocabulary_path
+from logweir.llm.packing import ByteEncoder, best_fit, local_search, pack_documents, ranks_path, split_pattern, vocabulary_path
 from logweir.llm.quality import _isotonic, quality_scores, row_id
 from logweir.llm.secrets import scan_secrets
 from logweir.llm.suffix_dedup import suffix_dedup
@@ -126,6 +126,7 @@ def test_near_in_large_nodes(spark, monkeypatch):
         rows.append((i, " ".join(w)))
     monkeypatch.setattr(module, "LEAF", 12)
     monkeypatch.setattr(module, "LEVELS", 2)
+    monkeypatch.setattr(module, "MANY_PAIRS", 3)
     same(near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")), brute.near(rows))
 
 
@@ -195,9 +196,8 @@ def test_encoder_is_exact():
     import public_tokenizers
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    e = ByteEncoder(vocabulary_path(), split_pattern())
-    for text in ("", " ", "  a", "a  b", "a   b ", " \n x", "a \n", "x\n y", "<|endoftext|> it's", "a\xa0 b", "１２ ３", *(t or "" for _, t in DOCS)):
+    e = ByteEncoder(vocabulary_path(), ranks_path(), split_pattern())
+    for text in ("", " ", "  a", "a  b", "a   b ", " \n x", "a \n", "x\n y", "<|endoftext|> it's", "a <|endoftext|> b", " <|endoftext|>", "x<|endoftext|><|endoftext|> y", "<|endof",  "a\xa0 b", "１２ ３", *(t or "" for _, t in DOCS)):
         ids = t.encode(text, add_special_tokens=False).ids
         assert e.encode(text) == b"".join(i.to_bytes(4, "little") for i in ids), repr(text)
 
