@@ -227,3 +227,12 @@ def status(found: list[tuple[str, str, bool]]) -> str:
 
 def coverage(totals: DataFrame) -> DataFrame:
     return totals.select(F.expr(f"CASE WHEN observed_requests > 0 THEN {ratio_ppm('path_actionable', 'observed_requests')} ELSE 1000000L END").alias("path_policy_ppm"))
+
+
+def rate_coverage(totals: DataFrame, modeled: DataFrame) -> DataFrame:
+    """(rule_index, matched_requests, modeled_requests, coverage_ppm) of each rate rule, and of all of them under a null
+    index. `totals` has the requests that each rule matched, `modeled` those that the bucket model saw."""
+    both = totals.join(modeled.select("rule_index", "modeled_requests"), "rule_index", "left").select("rule_index", "matched_requests", F.coalesce("modeled_requests", F.lit(0)).alias("modeled_requests"))
+    whole = both.agg(F.sum("matched_requests").alias("matched_requests"), F.sum("modeled_requests").alias("modeled_requests")).select(F.lit(None).cast("int").alias("rule_index"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("matched_requests", "modeled_requests")))
+    ppm = F.expr(f"CASE WHEN matched_requests > 0 THEN {ratio_ppm('modeled_requests', 'matched_requests')} ELSE 1000000L END")
+    return both.unionByName(whole).withColumn("coverage_ppm", ppm)

@@ -142,6 +142,30 @@ def src03_caddy_json(spark, sf_dir):
     return p.select("seq", "line_code", *map(ok, ("ts_us", "client_ip", "method", "request_uri", "status", "bytes_sent", "request_duration_us", "user_agent", "referer")), F.when(F.col("line_code").isNull(), F.col("flag")).alias("multiple_headers"))
 
 
+_CANON_BAD = """CASE WHEN seq % 199 = 0 THEN replace(l, '"route"', '"rout"') WHEN seq % 197 = 0 THEN replace(l, '"schema_version":1', '"schema_version":1,"zone":0') WHEN seq % 193 = 0 THEN regexp_replace(l, '(?<="timestamp":"[^"]{26})Z', '+03:00')
+  WHEN seq % 191 = 0 THEN replace(l, '"claimed_protected_default":true', '"claimed_protected_default":false') WHEN seq % 189 = 0 THEN regexp_replace(l, '(?<="timestamp":"[^"]{26})Z', '789Z') WHEN seq % 187 = 0 THEN replace(l, '"status":', '"status":"x') WHEN seq % 185 = 0 THEN replace(l, '"claimed_category":"', '"claimed_category":null,"claimed_category":"') ELSE l END"""
+
+
+@query("SELECT seq, line_code, CASE WHEN line_code IS NULL THEN seq % 189 = 0 END AS precision_cut, " + _ONLY({"ts_us": "ts_us", "route": "route", "query_keys": "array_to_string(query_keys, ',')", "status": "status", "crawler": "crawler", "primary_class": "primary_class", "upstream_duration_us": "upstream_duration_us", "ua_hash": "ua_hash"})
+  + """ FROM (SELECT *, CASE WHEN seq % 199 = 0 THEN 'invalid_json' WHEN seq % 197 = 0 THEN 'unknown_field' WHEN seq % 193 = 0 THEN 'invalid_timestamp' WHEN seq % 191 = 0 THEN CASE WHEN protected_default THEN 'invalid_claim' END WHEN seq % 189 = 0 THEN NULL
+  WHEN seq % 187 = 0 OR seq % 185 = 0 AND crawler IS NOT NULL THEN 'invalid_json' END AS line_code FROM ev)""")
+def src04_canonical(spark, sf_dir):
+    l = parsers.canonical_line(ev(spark, sf_dir)).withColumnRenamed("line", "l").select("seq", F.expr(_CANON_BAD).alias("line"))
+    p = parsers.canonical_json(l).select("*", F.array_join("query_keys", ",").alias("keys"), F.col("claim.name").alias("crawler"))
+    ok = lambda c, name=None: F.when(F.col("line_code").isNull(), F.col(c)).alias(name or c)
+    return p.select("seq", "line_code", ok("flag", "precision_cut"), ok("keys", "query_keys"), *map(ok, ("ts_us", "route", "status", "crawler", "primary_class", "upstream_duration_us", "ua_hash")))
+
+
+@query("SELECT seq, line_code, CASE WHEN line_code = 'invalid_json' THEN 'sensor_structure' WHEN line_code IS NOT NULL THEN 'record_content' END AS error_class, " + _ONLY({"ts_us": "ts_us", "limit_req_status": "lim", "nginx_uri": "'/' || CAST(seq AS VARCHAR)", "bytes_sent": "bytes_sent"})
+  + """ FROM (SELECT *, CASE WHEN seq % 199 = 0 OR seq % 197 = 0 OR seq % 193 = 0 OR seq % 17 = 0 THEN 'invalid_json' WHEN seq % 191 = 0 THEN 'invalid_duration' WHEN seq % 7 = 0 THEN 'invalid_nginx_uri' WHEN lim = 'BAD' OR lim = 'REJECTED' AND status <> 429 THEN 'invalid_limit_req_status' END AS line_code
+  FROM (SELECT *, CASE WHEN seq % 13 = 0 THEN 'BAD' WHEN seq % 11 = 0 THEN 'REJECTED' ELSE 'DELAYED' END AS lim FROM rec))""", RAW)
+def src05_protection(spark, sf_dir):
+    more = "concat('{\"nginx_uri\":\"', CASE WHEN seq % 7 = 0 THEN 'x' ELSE '/' END, seq, '\",\"', CASE WHEN seq % 17 = 0 THEN 'limit' ELSE 'limit_req_status' END, '\":\"', CASE WHEN seq % 13 = 0 THEN 'BAD' WHEN seq % 11 = 0 THEN 'REJECTED' ELSE 'DELAYED' END, '\",', substr(line, 2))"
+    p = parsers.nginx_json(json_lines(spark, sf_dir, "nginx").select("seq", F.expr(more).alias("line")), protection=True)
+    ok = lambda c: F.when(F.col("line_code").isNull(), F.col(c)).alias(c)
+    return p.select("seq", "line_code", "error_class", *map(ok, ("ts_us", "limit_req_status", "nginx_uri", "bytes_sent")))
+
+
 @query("SELECT source_ordinal, count(*) AS n, count_if(method = 'GET') AS gets, CAST(sum(bytes_sent) AS BIGINT) AS bytes_sent FROM (SELECT *, CAST(seq % 2 AS INT) AS source_ordinal FROM rec) GROUP BY 1", RAW)
 def src08_ordered_sources(spark, sf_dir):
     r = records(spark, sf_dir)
@@ -404,6 +428,13 @@ def ag16_bounded_uas(spark, sf_dir):
     return b.groupBy("ua_key").agg(F.count("*").alias("requests"), F.expr("count_if(overflow)").alias("overflow"))
 
 
+@query("SELECT r <= 30 AS kept, count(*) AS requests, count(DISTINCT subject) AS subjects FROM (SELECT *, client_key || ua_key AS subject FROM ev) JOIN (SELECT client_key || ua_key AS subject, row_number() OVER (ORDER BY min(seq)) AS r FROM ev GROUP BY 1) USING (subject) GROUP BY 1")
+def ag16_bounded_subjects(spark, sf_dir):
+    e = ev(spark, sf_dir).withColumn("subject", F.concat("client_key", "ua_key"))
+    b = ag.bounded(e.withColumn("_own", F.col("subject")), "subject", 30, "")
+    return b.groupBy((~F.col("overflow")).alias("kept")).agg(F.count("*").alias("requests"), F.countDistinct("_own").alias("subjects"))
+
+
 @query("SELECT route, actionable_prefix, status, CAST(sum(requests) AS BIGINT) AS requests, CAST(sum(upstream_duration_us) AS BIGINT) AS upstream_duration_us FROM cube GROUP BY 1, 2, 3", _CUBE)
 def ag18_partial_final(spark, sf_dir):
     e = facts(spark, sf_dir)
@@ -531,6 +562,17 @@ def ag31_coverage(spark, sf_dir):
     return policy.coverage(policy.simulation_totals(c, c, POLICY))
 
 
+_MATCHED = "matched AS (SELECT CAST(sum(requests) AS BIGINT) AS m FROM hit WHERE rule_index = 2), seen AS (SELECT CAST(sum(modeled_requests) AS BIGINT) AS s FROM impacts WHERE profile = 'strict' AND category = 'claimed_ai_crawler')"
+
+
+@query(f"SELECT i AS rule_index, coalesce(m, 0) AS matched_requests, coalesce(s, 0) AS modeled_requests, CASE WHEN coalesce(m, 0) > 0 THEN {o.ppm('coalesce(s, 0)', 'm')} ELSE 1000000 END AS coverage_ppm FROM matched, seen, (VALUES (2), (NULL)) v(i)", f"{_POLICY.replace('norm WHERE', 'norm WHERE')}, {o.rate()}, {_MATCHED}")
+def ag31_rate_coverage(spark, sf_dir):
+    e = facts(spark, sf_dir)
+    agents = ag.user_agents(e)
+    matched = policy.rule_impacts(ag.cells(e).join(agents, "ua_key"), POLICY).where("kind = 'rate_limit'").select("rule_index", "matched_requests")
+    return policy.rate_coverage(matched, policy.rate_rule_impacts(rate.rate_impacts(e).join(agents, "ua_key"), POLICY))
+
+
 @query("SELECT rule_index, route, requests, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY rule_index ORDER BY requests DESC, route) AS INT) AS rank FROM (SELECT rule_index, route, CAST(sum(requests) AS BIGINT) AS requests FROM hit WHERE rule_index IS NOT NULL GROUP BY 1, 2)) WHERE rank <= 20", _POLICY)
 def wn07_top_routes(spark, sf_dir):
     return policy.top_routes(named_cells(spark, sf_dir), POLICY)
@@ -615,10 +657,10 @@ def jn16_active_rules(spark, sf_dir):
     return e.join(F.broadcast(rules), (F.col("method") == F.col("m")) & F.expr(urls.rule_prefix("actionable_prefix", "path_prefix"))).groupBy("method", "path_prefix").agg(F.count("*").alias("n"))
 
 
-@query("SELECT route, count(*) AS n FROM ev e WHERE NOT EXISTS (SELECT 1 FROM ev p WHERE p.route = e.route AND p.method = 'POST') GROUP BY 1")
+@query("SELECT route, count(*) AS n FROM ev e WHERE NOT EXISTS (SELECT 1 FROM ev p WHERE p.route = e.route AND p.status = 404) GROUP BY 1")
 def jn19_anti(spark, sf_dir):
     e = facts(spark, sf_dir)
-    return e.join(e.where("method = 'POST'").select("route").distinct(), "route", "left_anti").groupBy("route").agg(F.count("*").alias("n"))
+    return e.join(e.where("status = 404").select("route").distinct(), "route", "left_anti").groupBy("route").agg(F.count("*").alias("n"))
 
 
 @query("SELECT name, rank FROM cat WHERE EXISTS (SELECT 1 FROM ev WHERE crawler = name)", f"{o.EVENTS}")
@@ -686,10 +728,10 @@ def set06_union(spark, sf_dir):
     return ev(spark, sf_dir).groupBy("client_key").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("security_probe_ids")))), ",").alias("reasons"))
 
 
-@query("SELECT DISTINCT route FROM ev WHERE method = 'GET' EXCEPT SELECT DISTINCT route FROM ev WHERE method = 'HEAD'")
+@query("SELECT DISTINCT client_key FROM ev WHERE method = 'GET' EXCEPT SELECT DISTINCT client_key FROM ev WHERE method = 'POST'")
 def set05_except(spark, sf_dir):
     e = facts(spark, sf_dir)
-    return e.where("method = 'GET'").select("route").subtract(e.where("method = 'HEAD'").select("route"))
+    return e.where("method = 'GET'").select("client_key").subtract(e.where("method = 'POST'").select("client_key"))
 
 
 @query(f"SELECT route, {o.ppm('status_404', 'requests')} AS ppm FROM routes", _ROUTES)
@@ -781,6 +823,37 @@ def str11_proposals(spark, sf_dir):
     return detector.proposals(judged(spark, sf_dir), DETECT)
 
 
+FEW_GROUPS = detector.Detection(window_s=3600, interval_s=600, max_groups=3)
+
+
+@query("SELECT eval_us, kind, method, path, rank, overflow FROM (SELECT *, CAST(row_number() OVER (PARTITION BY eval_us ORDER BY first_seq, o, kind, method, path) AS INT) AS rank, greatest(count(*) OVER (PARTITION BY eval_us) - 3, 0) AS overflow FROM (SELECT eval_us, kind, method, path, min(seq) AS first_seq, min(o) AS o FROM (SELECT bucket_us + off AS eval_us, seq, kind, o, method, CASE WHEN kind = 'volume' THEN actionable_prefix ELSE route END AS path FROM det, offs, (VALUES ('volume', 1), ('shape', 2)) k(kind, o) WHERE candidate AND actionable_prefix IS NOT NULL AND actionable_prefix <> '/') GROUP BY 1, 2, 3, 4)) WHERE rank <= 3", _DETECT)
+def str05_tracked_groups(spark, sf_dir):
+    return detector.tracked(observed(spark, sf_dir), FEW_GROUPS)
+
+
+_RECEIVED = "ts_us + (seq % 100 - 20 + CASE WHEN ts_us {div} 600000000 % 3 = 0 THEN 100 ELSE 0 END) * 30000000"
+
+
+@query(f"""SELECT (receipt - 1) // {_IV} * {_IV} + {_IV} AS eval_us, count(*) AS records, count_if(gate IS NULL) AS fresh, count(*) FILTER (gate = 'future') AS rejected_future, count(*) FILTER (gate = 'stale') AS rejected_stale, count(*) FILTER (gate = 'invalid-time') AS rejected_invalid_time,
+  coalesce(max(CASE WHEN gate IS NULL THEN receipt - ts_us END), 0) AS max_lag_us, count_if(gate IS NULL) = 0 AS suspended
+  FROM (SELECT *, CASE WHEN ts_us > receipt THEN 'future' WHEN receipt - ts_us > 1800000000 OR receipt - ts_us >= 3600000000 THEN 'stale' END AS gate FROM (SELECT ts_us, {_RECEIVED.format(div="//")} AS receipt FROM rec)) GROUP BY 1""", RAW)
+def str14_intake(spark, sf_dir):
+    r = records(spark, sf_dir).withColumn("receipt_us", F.expr(_RECEIVED.format(div="div")))
+    return detector.intake(detector.lateness(r, DETECT), DETECT)
+
+
+@query(f"""SELECT kind, method, path, eval_us, CAST(greatest(2, coalesce(p99, 0) * 60) AS BIGINT) AS request_threshold, requests >= greatest(2, coalesce(p99, 0) * 60) AND requests * 1000000 >= site_requests * 50000 AS qualified
+  FROM qual LEFT JOIN (SELECT method, path, p99 FROM base) USING (method, path) WHERE kind = 'volume'""", f"{_BASE}, base AS ({_p99_sql('actionable_prefix', 'requests')}), late AS (SELECT * FROM ev), {_STREAM.replace('FROM ev)', 'FROM (SELECT * REPLACE (ts_us * 3600 AS ts_us) FROM late))')}")
+def jn17_baseline(spark, sf_dir):
+    """Volume groups against a history of their own: each series' p99 of its minutes raises its threshold."""
+    e = once(fast(spark, sf_dir), "events")
+    hist, minutes = baseline.history(ag.cells(e)), baseline.complete_minutes(ag.summary(e))
+    p99 = [baseline.p99(hist, minutes, path, value) for path, value in (("actionable_prefix", "requests"), ("route", "requests"), ("route", "upstream_us"))]
+    r = detector.accounting(e.withColumn("ts_us", F.expr("ts_us * 3600")).withColumn("limit_req_status", F.expr(_LIMITER)))
+    out = detector.qualified(detector.groups(r, DETECT), detector.site_counts(r, DETECT), *p99, DETECT)
+    return out.where("kind = 'volume'").select("kind", "method", "path", "eval_us", F.col("request_threshold").cast("bigint").alias("request_threshold"), "qualified")
+
+
 @query("SELECT method, path_prefix, bucket_us + off AS eval_us, count(*) AS attempts FROM det JOIN (VALUES ('GET', '/en/'), ('POST', '/fr/')) r(m, path_prefix) ON method = m AND starts_with(actionable_prefix, path_prefix), offs WHERE refresh GROUP BY 1, 2, 3", _DETECT)
 def str13_attempts(spark, sf_dir):
     rules = spark.createDataFrame([("GET", "/en/"), ("POST", "/fr/")], "method string, path_prefix string")
@@ -808,9 +881,9 @@ FD = {
       route="NULL", subject="left(client_key, 12) || '…'", confidence="CASE WHEN score < 4 THEN 'low' WHEN p >= 1 THEN 'high' ELSE 'medium' END", id_subject="client_key"),
     "fd06": _fd("robots_violation", _VOL, "(SELECT crawler, route, count(*) AS requests FROM ev WHERE robots_allowed = false GROUP BY 1, 2)", subject="crawler"),
     "fd07": _fd("security_probe", _VOL, "(SELECT probe_id, route, count(*) AS requests FROM (SELECT unnest(probes) AS probe_id, coalesce(actionable_prefix, route) AS route FROM ev) GROUP BY 1, 2)", subject="probe_id"),
-    "fd08": _fd("metrics_missing", "'info'", "(SELECT m AS metric FROM (SELECT unnest(['request_duration', 'upstream_duration', 'cache_state']) AS m, unnest([count(request_duration_us), count(upstream_duration_us), count_if(cache_state <> 'unknown')]) AS n, count(*) AS c FROM ev WHERE primary_class = 'none') WHERE n = 0 AND c > 0)", route="NULL", subject="metric", requests="0"),
+    "fd08": _fd("metrics_missing", "'info'", "(SELECT m AS metric FROM (SELECT unnest(['request_duration', 'upstream_duration', 'cache_state']) AS m, unnest([count(request_duration_us), count(upstream_duration_us), count_if(cache_state <> 'unknown')]) AS n, count(*) AS c FROM ev WHERE seq % 5 = 0 AND upstream_duration_us IS NULL) WHERE n = 0 AND c > 0)", route="NULL", subject="metric", requests="0"),
     "fd09": _fd("cardinality_overflow", "'medium'", "(SELECT 1 FROM (SELECT count(DISTINCT route) AS n FROM ev) WHERE n > 40)", route="NULL", subject="'bounded_dimensions'", requests="0"),
-    "fd10": _fd("input_order_degraded", "'medium'", "(SELECT 1 FROM (SELECT bool_or(back) AS b FROM (SELECT ts_us < lag(ts_us) OVER (PARTITION BY client_key, ua_key ORDER BY seq) AS back FROM ev)) WHERE b)", route="NULL", subject="'rate_model'", requests="0"),
+    "fd10": _fd("input_order_degraded", "'medium'", "(SELECT 1 FROM (SELECT bool_or(back) AS b FROM (SELECT t < lag(t) OVER (PARTITION BY client_key, ua_key ORDER BY seq) AS back FROM (SELECT *, CASE WHEN seq % 501 = 0 THEN ts_us - 200000000000 ELSE ts_us END AS t FROM ev))) WHERE b)", route="NULL", subject="'rate_model'", requests="0"),
 }
 _FD = f"{o.EVENTS}, {o.ROUTES}, {o.SUBJECTS}"
 
@@ -819,10 +892,10 @@ def all_findings(spark: SparkSession, sf_dir: str, t: findings.Thresholds = LOW)
     e = facts(spark, sf_dir)
     routes, subjects, total = ag.route_report(ag.route_stats(e)), ag.subject_stats(e), ag.summary(e)
     over = ag.bounded(e, "route", 40, ag.OVERFLOW_ROUTE).agg(F.expr("count_if(overflow)").alias("overflow"))
-    late = rate.unordered(e).agg(F.expr("bool_or(unordered)").alias("order_degraded"))
+    late = rate.unordered(e.withColumn("ts_us", F.expr("CASE WHEN seq % 501 = 0 THEN ts_us - 200000000000 ELSE ts_us END"))).agg(F.expr("bool_or(unordered)").alias("order_degraded"))
     return {
         "fd01": findings.crawl_traps(routes, total, t), "fd02": findings.query_explosions(routes, t), "fd03": findings.expensive_404s(routes, t), "fd04": findings.cache_busting(routes, t), "fd05": findings.automation(subjects, t),
-        "fd06": findings.robots(ag.robots_violations(e)), "fd07": findings.probes(ag.probe_hits(e)), "fd08": findings.missing_metrics(ag.summary(e.where("primary_class = 'none'"))), "fd09": findings.overflow(over), "fd10": findings.order_degraded(late),
+        "fd06": findings.robots(ag.robots_violations(e)), "fd07": findings.probes(ag.probe_hits(e)), "fd08": findings.missing_metrics(ag.summary(e.where("seq % 5 = 0 AND upstream_duration_us IS NULL"))), "fd09": findings.overflow(over), "fd10": findings.order_degraded(late),
     }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gzip
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -12,60 +12,130 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 MAX_LINE = 1_048_576
-#: A source's lines take this many numbers.
-SOURCE_STEP = 1 << 52
+#: A file's lines take this many numbers.
+SOURCE_STEP = 1 << 42
+#: Bytes that are expanded at a time, and up to which an expansion's ratio doesn't count.
+BLOCK, FREE = 1 << 20, 1 << 20
+
+
+def _coded(df: DataFrame, max_line: int) -> DataFrame:
+    long_ = F.octet_length("line") > max_line
+    return df.withColumn("line_code", F.when(long_, "line_too_long").when(F.col("line") == "", "empty_line")).withColumn("line", F.when(long_, "").otherwise(F.col("line")))
 
 
 def read_lines(spark: SparkSession, paths: list[str], max_line: int = MAX_LINE) -> DataFrame:
-    """(seq, source_ordinal, line, line_code) of plain text files in the order given.
+    """(seq, source_ordinal, line, line_code) of plain text files in the order given; a folder or pattern gives its files
+    in the order of their names, each a source of its own.
 
     Lines end with LF; one CR before it goes. seq grows with source and place: a line's number within its file split is
     added to the byte at which the split begins, so splits need no common counter and large files stay splittable."""
-    parts = []
-    for ordinal, path in enumerate(paths):
-        raw = spark.read.option("lineSep", "\n").text(path)
-        raw = raw.select(F.regexp_replace("value", "\r\\z", "").alias("line"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_n"))
-        first = raw.groupBy("_at").agg(F.min("_n").alias("_first"))  # one row for each split
-        placed = raw.join(F.broadcast(first), "_at")
-        parts.append(placed.select((F.lit(ordinal * SOURCE_STEP) + F.col("_at") + F.col("_n") - F.col("_first")).alias("seq"), F.lit(ordinal).alias("source_ordinal"), "line"))
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    long_ = F.octet_length("line") > max_line
-    return out.select("seq", "source_ordinal", F.when(long_, "").otherwise(F.col("line")).alias("line"), F.when(long_, "line_too_long").when(F.col("line") == "", "empty_line").alias("line_code"))
+    files: dict[str, int] = {}
+    for path in paths:
+        for name in sorted(spark.read.text(path).inputFiles()):
+            files.setdefault(name, len(files))
+    # the two ways in which Spark writes a file's name differ in the slashes behind the scheme
+    plain = lambda c: F.regexp_replace(c, "^([^:/]+):/+", "$1:/")
+    sources = spark.createDataFrame(list(files.items()), "_file string, source_ordinal int").withColumn("_file", plain("_file"))
+    raw = spark.read.option("lineSep", "\n").text(list(paths))
+    raw = raw.select(F.regexp_replace("value", "\r\\z", "").alias("line"), plain("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_n"))
+    first = raw.groupBy("_file", "_at").agg(F.min("_n").alias("_first")).join(sources, "_file")  # one row for each split
+    placed = raw.join(first, ["_file", "_at"])
+    return _coded(placed.select((F.col("source_ordinal") * F.lit(SOURCE_STEP) + F.col("_at") + F.col("_n") - F.col("_first")).alias("seq"), "source_ordinal", "line"), max_line)
+
+
+class ExpansionError(ValueError):
+    """A compressed source grows beyond what is allowed."""
+
+
+def _expanded(content: bytes, max_bytes: int, max_ratio: int) -> Iterator[bytes]:
+    """The content in blocks; gzip streams, one after another, are known by their first two bytes. Limits are checked
+    before a block is handed on, so nothing expands beyond them."""
+    if content[:2] != b"\x1f\x8b":
+        if len(content) > max_bytes:
+            raise ExpansionError("expansion limit exceeded")
+        yield content
+        return
+    total, left = 0, content
+    while left:
+        stream = zlib.decompressobj(31)
+        try:
+            while not stream.eof:
+                block = stream.decompress(left, BLOCK)
+                left = stream.unconsumed_tail
+                total += len(block)
+                if total > max_bytes or total > max(FREE, max_ratio * len(content)):
+                    raise ExpansionError("expansion limit exceeded")
+                if not block and not left and not stream.eof:
+                    raise ValueError("invalid gzip stream")
+                yield block
+        except zlib.error:
+            raise ValueError("invalid gzip stream") from None
+        left = stream.unused_data
 
 
-def read_compressed(spark: SparkSession, path: str, max_bytes: int = 1 << 34, max_ratio: int = 200) -> DataFrame:
-    """Like read_lines for one file that is gzip by its first two bytes, whatever its name; multistream, with guards
-    against expansion. Such a file can't be split, so it is streamed in one task."""
+def read_compressed(spark: SparkSession, path: str, max_bytes: int = 1 << 34, max_ratio: int = 200, max_line: int = MAX_LINE) -> DataFrame:
+    """(seq, line, line_code) of one file that is gzip by its first two bytes, whatever its name. Such a file can't be
+    split; it is expanded block by block in one task, and its lines are dealt out behind it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
-                plain = content[:2] != b"\x1f\x8b"
+                seq, rest, skipping = 0, b"", False
+                for block in _expanded(content, max_bytes, max_ratio):
+                    *whole, rest = (rest + block).split(b"\n")
+                    if skipping and whole:  # the end of a line that was given up
+                        whole, skipping = whole[1:], False
+                    out = [x.removesuffix(b"\r") for x in whole]
+                    if len(rest) > max_line + 1:
+                        if not skipping:
+                            out.append(b"x" * (max_line + 1))
+                        rest, skipping = b"", True
+                    if out:
+                        yield pd.DataFrame({"seq": range(seq, seq + len(out)), "line": [x.decode("utf-8", "replace") for x in out]})
+                        seq += len(out)
+                if rest and not skipping:
+                    yield pd.DataFrame({"seq": [seq], "line": [rest.removesuffix(b"\r").decode("utf-8", "replace")]})
+
+    lines = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "seq bigint, line string")
+    return _coded(lines.repartition(spark.sparkContext.defaultParallelism), max_line)
+
+
+def source_facts(spark: SparkSession, paths: list[str], max_bytes: int = 1 << 34, max_ratio: int = 200) -> DataFrame:
+    """(path, compressed, bytes, expanded_bytes, sha256, error) of each file, from one pass in blocks; error names a source
+    that can't be read to its end. The sum of expanded_bytes is what a limit over all sources is held against."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                n, error = 0, None
                 try:
-                    data = content if plain else gzip.decompress(content)
-                except (OSError, EOFError, zlib.error):
-                    raise ValueError("invalid gzip stream") from None
-                if len(data) > max_bytes or not plain and len(data) > max(1 << 20, max_ratio * len(content)):
-                    raise ValueError("expansion limit exceeded")
-                lines = data.split(b"\n")
-                lines = lines[:-1] if lines[-1] == b"" else lines
-                yield pd.DataFrame({"seq": range(len(lines)), "line": [x.removesuffix(b"\r").decode("utf-8", "replace") for x in lines]})
+                    for block in _expanded(content, max_bytes, max_ratio):
+                        n += len(block)
+                except ValueError as e:
+                    error = str(e)
+                out.append((path, content[:2] == b"\x1f\x8b", len(content), n, hashlib.sha256(content).hexdigest(), error))
+            yield pd.DataFrame(out, columns=["path", "compressed", "bytes", "expanded_bytes", "sha256", "error"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "seq bigint, line string")
+    return spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInPandas(run, "path string, compressed boolean, bytes bigint, expanded_bytes bigint, sha256 string, error string")
 
 
 def parse_abort(lines: DataFrame) -> DataFrame:
     """From (seq, rejected) of non-empty lines: total, rejected, abort_seq of the first line at which too many were
-    rejected (or null), and whether the final rule fails."""
-    # running counts by block first, so that the ordered window sees one row for a block
-    blocked = lines.withColumn("_b", F.expr("seq div 4096"))
-    sums = blocked.groupBy("_b").agg(F.count("*").alias("n"), F.sum(F.col("rejected").cast("long")).alias("r"))
-    before = sums.withColumn("n0", F.sum("n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))).withColumn("r0", F.sum("r").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)))
+    rejected (or null), and whether the final rule fails.
+
+    Running counts are summed in two levels of blocks, so that a window sees at most 4096 rows of a block and the one over
+    all blocks a row for 16 million numbers."""
+    sizes = {"_b": 12, "_c": 24}
+    blocked = lines.withColumns({k: F.shiftright("seq", n) for k, n in sizes.items()}).withColumn("bad", F.col("rejected").cast("long"))
+    small = blocked.groupBy("_c", "_b").agg(F.count("*").alias("n"), F.sum("bad").alias("r"))
+    large = small.groupBy("_c").agg(F.sum("n").alias("n"), F.sum("r").alias("r"))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    over, inside = Window.orderBy("_c"), Window.partitionBy("_c").orderBy("_b")
+    large = large.select("_c", before("n", over).alias("n0"), before("r", over).alias("r0"))
+    small = small.select("_c", "_b", before("n", inside).alias("n1"), before("r", inside).alias("r1")).join(large, "_c")
     own = Window.partitionBy("_b").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    run = blocked.join(before.select("_b", "n0", "r0"), "_b")
-    run = run.withColumn("total", F.coalesce("n0", F.lit(0)) + F.count("*").over(own)).withColumn("bad", F.coalesce("r0", F.lit(0)) + F.sum(F.col("rejected").cast("long")).over(own))
+    run = blocked.join(small.drop("_c"), "_b").select("seq", "rejected", (F.col("n0") + F.col("n1") + F.count("*").over(own)).alias("total"), (F.col("r0") + F.col("r1") + F.sum("bad").over(own)).alias("bad"))
     hit = run.where("rejected AND CASE WHEN total < 10000 THEN bad > 100 ELSE bad >= (total * 50001 + 999999) div 1000000 END")
     whole = lines.agg(F.count("*").alias("total"), F.coalesce(F.sum(F.col("rejected").cast("long")), F.lit(0)).alias("rejected"))
     final = F.expr("rejected > greatest(100, total div 1000)").alias("final_abort")

@@ -130,8 +130,42 @@ def attempts(records: DataFrame, rules: DataFrame, d: Detection) -> DataFrame:
     return evaluations(by_bucket, d).groupBy("method", "path_prefix", "eval_us").agg(F.sum("n").alias("attempts"))
 
 
-def sensor_health(lines: DataFrame) -> DataFrame:
-    """Adds suspended: more than 10 structural errors among the last 100 lines of a site. Needs site, seq, structure_error."""
-    w = Window.partitionBy("site").orderBy("seq").rowsBetween(-99, 0)
+def tracked(records: DataFrame, d: Detection) -> DataFrame:
+    """Groups (kind, method, path) that each evaluation keeps: the first `max_groups` by their first request (seq) in its
+    window, volume before shape. overflow tells how many it had to leave out.
+
+    Counts are bounded before the rank: only as many rows of an evaluation as it may keep leave a task."""
+    safe = records.where(f"candidate AND {action_safe()}").withColumn("bucket_us", F.expr(bucket_end(d.interval_s)))
+    two = F.explode(F.array(F.struct(F.lit(1).alias("o"), F.lit("volume").alias("kind"), F.col("actionable_prefix").alias("path")), F.struct(F.lit(2).alias("o"), F.lit("shape").alias("kind"), F.col("route").alias("path"))))
+    keyed = safe.select("seq", "bucket_us", "method", two.alias("g")).groupBy("g.kind", "method", "g.path", "bucket_us").agg(F.min(F.struct("seq", "g.o")).alias("first"))
+    each = evaluations(keyed, d).groupBy("kind", "method", "path", "eval_us").agg(F.min("first").alias("first"))
+    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("eval_us").orderBy("first", "kind", "method", "path"))).where(F.col("rank") <= d.max_groups)
+    total = each.groupBy("eval_us").agg(F.greatest(F.count("*") - d.max_groups, F.lit(0)).alias("overflow"))
+    return ranked.join(total, "eval_us").select("eval_us", "kind", "method", "path", "rank", "overflow")
+
+
+def intake(gated: DataFrame, d: Detection) -> DataFrame:
+    """What came in before each evaluation: records, fresh ones, the counts by reason of those left out, the largest lag of
+    a fresh one, and suspended: data came, but none of it was fresh. Needs receipt_us, ts_us and gate (see `lateness`)."""
+    by = {f"rejected_{r.replace('-', '_')}": f"count_if(gate = '{r}')" for r in ("future", "stale", "invalid-time")}
+    sums = {"records": "count(1)", "fresh": "count_if(gate IS NULL)"} | by | {"max_lag_us": "coalesce(max(CASE WHEN gate IS NULL THEN receipt_us - ts_us END), 0)", "suspended": "count_if(gate IS NULL) = 0"}
+    return gated.groupBy(F.expr(bucket_end(d.interval_s, "receipt_us")).alias("eval_us")).agg(*(F.expr(v).alias(k) for k, v in sums.items()))
+
+
+def sensor_health(lines: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """Adds suspended: more than 10 structural errors among the last 100 lines of a site. Needs site, seq, structure_error.
+
+    A site's lines are windowed in blocks of consecutive numbers, so that a busy site is many tasks; each block brings the
+    last 99 lines before it, which are at most the last 99 of the block before where numbers have no gaps, else of the
+    nearest earlier ones that have lines."""
+    rows = lines.withColumn("_b", F.expr(f"seq div {block}"))
+    last = Window.partitionBy("site", "_b").orderBy(F.desc("seq"))
+    tails = rows.withColumn("_r", F.row_number().over(last)).where("_r <= 99").select("site", "seq", "_b", "structure_error")
+    # what each block takes over: the 99 nearest of the tails before it, folded over the few blocks of the site
+    ends = tails.groupBy("site", "_b").agg(F.array_sort(F.collect_list(F.struct("seq", "structure_error"))).alias("own"))
+    held = ends.withColumn("before", F.collect_list("own").over(Window.partitionBy("site").orderBy("_b").rowsBetween(-99, -1)))
+    near = held.select("site", "_b", F.explode(F.expr("slice(reverse(array_sort(flatten(before))), 1, 99)")).alias("x")).select("site", "_b", "x.seq", "x.structure_error", F.lit(True).alias("_carried"))
+    both = rows.withColumn("_carried", F.lit(False)).unionByName(near, allowMissingColumns=True)
+    w = Window.partitionBy("site", "_b").orderBy("seq").rowsBetween(-99, 0)
     errors, n = F.sum(F.col("structure_error").cast("int")).over(w), F.count("*").over(w)
-    return lines.withColumn("suspended", (n == 100) & (errors > 10))
+    return both.withColumn("suspended", (n == 100) & (errors > 10)).where("NOT _carried").drop("_b", "_carried")
