@@ -13,6 +13,8 @@ from .common import staged
 
 #: Byte trigrams are hashed to so many buckets: the model has this many numbers a language, whatever the corpus.
 BUCKETS = 1 << 15
+#: A model of more languages (256 KB each, in every worker) is refused rather than cut.
+MAX_LANGUAGES = 1000
 #: Bytes of text that are handled as one array with a model of up to 16 languages; with more languages, fewer.
 CHUNK = 1 << 18
 
@@ -70,6 +72,8 @@ def fit_languages(docs: DataFrame, text_col: str, lang_col: str, train: Column)
     sums = rows.mapInPandas(count, "_lang string, _bucket int, _n bigint").groupBy("_lang", "_bucket").agg(F.sum("_n").alias("_n"))
     sums = staged(sums, "trigrams")
     langs = sorted(r["_lang"] for r in sums.select("_lang").distinct().collect())
+    if len(langs) > MAX_LANGUAGES:
+        raise ValueError(f"{len(langs)} languages; a model of more than {MAX_LANGUAGES} is too large for a worker")
     table = np.full((len(langs), BUCKETS), 0.5)
     if langs:
         model = sums.toPandas()  # at most BUCKETS rows a language
@@ -138,7 +142,8 @@ def identify_language(docs: DataFrame, train: Column, id_col: str = "doc_id", te
 
     `train` marks the rows to learn from; of those, rows with null text or language are left out. A text that is null
     or has no letter is `und` with score 0 and no languages, as are all texts when nothing could be learned. Ties go to
-    the language that sorts first. Repeated rows are judged alike and further columns are ignored. Learning shuffles
+    the language that sorts first. Repeated rows are judged alike, very long texts are judged whole, an empty
+    table gives no rows and further columns are ignored. More than MAX_LANGUAGES languages are refused. Learning shuffles
     sums of hashed trigrams alone; prediction is one pass without a shuffle."""
     langs, table = fit_languages(docs, text_col, lang_col, train)
     id_type = docs.schema[id_col].dataType.simpleString()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,7 +91,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Texts are lower-cased in A-Z and read as words; base phrases are counted at every place where their words stand
     consecutively. A notice may differ by its number of errors and may span word ends. The score is 1 with a base
     phrase, else the largest 1 - errors / length of a notice, 0 without any. Null and empty texts have no words.
-    Repeated rows are scanned alike, further columns are ignored, and every row is judged by itself: no shuffle."""
+    Repeated rows are scanned alike, very long texts whole; an empty table gives no rows; further columns are ignored, and
+    every row is judged by itself: no shuffle."""
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"_id {id_type}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels array<string>, labels array<string>, score double, spans array<struct<start:bigint,end:bigint,label:string,errors:int>>"
     phrases = [(label, f" {p} ".encode()) for label, p in PHRASES]
@@ -106,12 +108,16 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 for label, p in phrases:
                     at = padded.find(p)
                     while at >= 0:
-                        places.append(padded.count(b" ", 0, at))
+                        places.append(at)
                         base.add(label)
                         at = padded.find(p, at + 1)
+                gaps = np.flatnonzero(np.frombuffer(padded, dtype=np.uint8) == 32)
+                places = np.searchsorted(gaps, places).tolist()  # spaces before a byte are words before it
                 joined = padded.decode("utf-8", "surrogatepass")
                 hits = finder.find(joined)
-                spans = [{"start": joined.count(" ", 0, s + 1) - 1, "end": joined.count(" ", 0, e), "label": x, "errors": k} for s, e, x, k, _ in hits]
+                gaps = gaps if len(joined) == len(padded) else np.flatnonzero(np.array([c == " " for c in joined])) if hits else gaps
+                before = lambda at: int(np.searchsorted(gaps, at))  # noqa: E731, B023
+                spans = [{"start": before(s + 1) - 1, "end": before(e), "label": x, "errors": k} for s, e, x, k, _ in hits]
                 score = 1.0 if base else max((1 - k / n for *_, k, n in hits), default=0.0)
                 labels = sorted(base | {x["label"] for x in spans})
                 out.append((i, len(found), len(places), min(places, default=None), max(places, default=None), sorted(base), labels, score, spans))

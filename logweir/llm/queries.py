@@ -47,7 +47,7 @@ def op5_best_fit_packing(spark, sf_dir):
 def op6_license_scan(spark, sf_dir):
     out = scan_licenses(table(spark, sf_dir, "documents"))
     joined = [F.array_join(c, ",").alias(c) for c in ("base_labels", "labels")]
-    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", *joined, "score")
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", *joined, "score", "spans")
 
 
 def op7_language(spark, sf_dir):

@@ -114,8 +114,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Base kinds are found leftmost and without overlap for each kind, on whole texts. Entropy kinds are added for
     candidate strings with letters and digits, unless `allow` matches them; base spans are never suppressed. A null or
-    empty text has no spans. Repeated rows are scanned alike; further columns are ignored. All work stays in the row,
-    so nothing is shuffled."""
+    empty text has no spans. Repeated rows are scanned alike, very long texts whole; an empty table gives no rows;
+    further columns are ignored. All work stays in the row, so nothing is shuffled."""
     text = F.col("_text")
     base = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     found = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "entropy": CANDIDATE}

@@ -193,3 +193,95 @@ def repeats(docs, size=400):
         spans = sum(1 for k in range(len(gone)) if gone[k] and (k == 0 or not gone[k - 1]))
         out.append({"doc_id": i, "n_bytes": len(d), "n_removed": sum(gone), "n_spans": spans, "kept_sha256": sha(kept)})
     return out
+
+
+def crc(i):
+    import zlib
+
+    return zlib.crc32(str(i).encode())
+
+
+def quality(rows, labels, halves, ridge=0.05, width=8.0):
+    """Scores by id (a list, for ids that several rows share): one dense ridge, isotonic steps by their min-max formula."""
+    import numpy as np
+
+    from logweir.llm.quality import BINS, _Map, statistics
+
+    marks = defaultdict(list)
+    for i, y in labels:
+        if y is not None:
+            marks[i].append(y)
+    x = {k: np.array(statistics(t or "")) for k, (_, t) in enumerate(rows)}
+    known = [k for k, (i, _) in enumerate(rows) if i in marks and crc(i) % 4 != 2]
+    y = np.array([np.mean(marks[rows[k][0]]) for k in known])
+    all_x = np.stack([x[k] for k in known])
+    features = _Map(all_x.mean(axis=0), all_x.std(axis=0), width)
+    z = features(all_x)
+    half = np.array([halves[rows[k][0]] for k in known])
+
+    def fit(keep):
+        penalty = np.diag([ridge] * (z.shape[1] - 1) + [1e-6])
+        return np.linalg.solve(z[keep].T @ z[keep] + penalty, z[keep].T @ y[keep])
+
+    cross = [fit(half == 1), fit(half == 0)]
+    raw = np.array([z[k] @ cross[half[k]] for k in range(len(z))])
+    at = np.clip(((raw + 0.5) / 2 * BINS).astype(int), 0, BINS - 1)
+    bins = sorted(set(at.tolist()))
+    n, s = [int((at == b).sum()) for b in bins], [float(y[at == b].sum()) for b in bins]
+    mean = lambda a, b: sum(s[a : b + 1]) / sum(n[a : b + 1])
+    level = [max(min(mean(a, b) for b in range(k, len(bins))) for a in range(k + 1)) for k in range(len(bins))]
+    xs, ys = [], []
+    for v in sorted(set(round(v, 12) for v in level)):
+        own = [k for k in range(len(bins)) if round(level[k], 12) == v]
+        xs.append(sum(n[k] * ((bins[k] + 0.5) / BINS * 2 - 0.5) for k in own) / sum(n[k] for k in own))
+        ys.append(v)
+    whole, out = fit(half >= 0), defaultdict(list)
+    for k, (i, _) in enumerate(rows):
+        r = float((features(x[k][None, :]) @ whole)[0])
+        out[i].append(float(np.clip(0.98 * np.interp(r, xs, ys) + 0.02 * min(1, max(0, r)), 0, 1)))
+    return out
+
+
+def languages(rows, penalty=4.0, steps=10):
+    """(language, share) by id: counts in dictionaries, every set size tried."""
+    from logweir.llm.language import BUCKETS, trigram_counts
+
+    def counts(text):
+        _, bucket, n = trigram_counts([text])
+        return dict(zip(bucket.tolist(), n.tolist(), strict=True))
+
+    model = defaultdict(Counter)
+    for i, t, lang in rows:
+        if t is not None and lang is not None and crc(i) % 5 != 0:
+            model[lang].update(counts(t))
+    langs = sorted(model)
+    chance = lambda k, b: (model[k][b] + 0.5) / (sum(model[k].values()) + 0.5 * BUCKETS)
+
+    def em(own, share, times):
+        p = {b: [chance(k, b) for k in langs] for b in own}
+        for _ in range(times):
+            got = [0.0] * len(langs)
+            for b, n in own.items():
+                whole = sum(x * y for x, y in zip(p[b], share, strict=True))
+                for k in range(len(langs)):
+                    got[k] += n * p[b][k] * share[k] / whole
+            share = [g / sum(own.values()) for g in got]
+        return share, sum(n * math.log(sum(x * y for x, y in zip(p[b], share, strict=True))) for b, n in own.items())
+
+    out = {}
+    for i, t, _ in rows:
+        own = counts(t or "")
+        if not any(c.isalpha() for c in t or ""):
+            out[i] = ("und", 0.0)
+            continue
+        share, _ = em(own, [1 / len(langs)] * len(langs), steps)
+        ranked = sorted(range(len(langs)), key=lambda k: -share[k])
+        found = []
+        for s in range(1, len(langs) + 1):
+            start = [max(share[k], 1e-3) if k in ranked[:s] else 0.0 for k in range(len(langs))]
+            fitted, like = em(own, [x / sum(start) for x in start], 0 if s == 1 else steps // 2)
+            found.append((like - (s - 1) * penalty * math.log(max(2.0, sum(own.values()))), -s, fitted))
+        best = max(found)[2]
+        k = max(range(len(langs)), key=lambda k: best[k])
+        out[i] = (langs[k], best[k])
+    return out

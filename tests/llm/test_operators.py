@@ -17,7 +17,7 @@ from logweir.llm.packing import ByteEncoder, best_fit, local_search, pack_docume
 from logweir.llm.quality import _isotonic, quality_scores, row_id
 from logweir.llm.secrets import scan_secrets
 from logweir.llm.suffix_dedup import suffix_dedup
-from logweir.llm.url_filter import Rule, build_index, url_filter
+from logweir.llm.url_filter import BASE_RULES, PATTERN_RULES, build_index, pattern_rule, prefix_rule, url_filter
 
 from . import brute
 
@@ -289,6 +289,38 @@ def test_quality(spark):
     assert {r["score"] for r in quality_scores(df, labels.limit(0), train=F.lit(True)).collect()} == {0.5}
 
 
+def test_quality_is_dense_ridge_and_pooling(spark, monkeypatch):
+    """The registered query against the same model without Spark: one matrix of all rows, pooled steps by definition."""
+    rng = random.Random(6)
+    rows = [(i, prose(rng, rng.randint(1, 80)) + (" | " * rng.randint(0, 9) if i % 3 else ".")) for i in range(160)] + [(500, None), (501, "long " * 40_000), (500, "twice")]
+    labels = [(i, int(i % 3 == 0)) for i in range(150)] + [(7, 1), (8, None), (501, 1)]
+    df = spark.createDataFrame([(*r, 0.5, 3) for r in rows], "doc_id bigint, text string, score double, predicted int").repartition(3)
+    tables = {"documents": df, "labels": spark.createDataFrame([(*x, 0) for x in labels], "doc_id bigint, quality int, toxic int")}
+    monkeypatch.setattr(q, "table", lambda s, d, name: tables[name])
+    halves = {r["doc_id"]: r["h"] for r in df.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("h")).collect()}
+    want = brute.quality(rows, labels, halves)
+    got = q.op4_quality(spark, "").collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(i for i, _ in rows)
+    for r in got:
+        assert any(abs(r["score"] - x) < 2e-6 for x in want[r["doc_id"]]), r
+        assert r["predicted"] == int(r["score"] >= 0.7) and r["held_out"] == (brute.crc(r["doc_id"]) % 4 == 2)
+
+
+def test_language_is_plain_em(spark, monkeypatch):
+    """The registered query against an expectation-maximisation over dictionaries."""
+    rng = random.Random(12)
+    words = {"aa": ("tok", "rem", "sul", "vok"), "bb": ("łan", "ńez", "tok", "zół"), "cc": ("the", "and", "ren", "sul"), "dd": ("ø", "på", "til", "ren")}
+    text = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    rows = [(i, text(k, rng.randint(3, 40)), k) for i, k in enumerate(sorted(words) * 12)]
+    rows += [(200 + i, text(a, 30) + " " + text(b, 30), None) for i, (a, b) in enumerate([("aa", "bb"), ("cc", "dd"), ("aa", "dd")])] + [(300, None, "aa"), (301, "12 !", None), (302, "x" * 70_000, None), (303, "", "bb")]
+    df = spark.createDataFrame([(*r, "z", 0.0) for r in rows], "doc_id bigint, text string, lang string, lang_pred string, score double").repartition(3)
+    monkeypatch.setattr(q, "table", lambda *a: df)
+    want = brute.languages(rows)
+    for r in q.op7_language(spark, "").collect():
+        lang, score = want[r["doc_id"]]
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-4 and r["held_out"] == (brute.crc(r["doc_id"]) % 5 == 0), (r, lang, score)
+
+
 def test_isotonic():
     import numpy as np
 
@@ -306,7 +338,23 @@ def test_urls(spark):
     same(url_filter(df), want, "page_id", skip=("verdict",))
     got = {r["page_id"]: r["verdict"] for r in url_filter(df).collect()}
     assert all(got[w["page_id"]] == w["verdict"] for w in want if w["rule"]) and got[10] == "block" and got[0] == "allow"
-    assert all(re.search("[a-z0-9]", t) for t in build_index([Rule("r", "block", "x", "x")]))
+
+
+def test_url_index(spark):
+    """Rules stand under the token that fewest of them have; what they judge is what trying all of them gives."""
+    rules = [pattern_rule("block", f"@w{i % 7}^x{i % 11}^y{i}^") for i in range(300)] + [pattern_rule("allow", "|a.b^c*d^"), prefix_rule("block", r"h.i/p\Eq.+/")] + PATTERN_RULES + BASE_RULES
+    index = build_index(rules)
+    assert max(len(v) for v in index.values()) <= 2 and all(t in r.tokens for t, rs in index.items() for r in rs) and sum(map(len, index.values())) == len(rules)
+    rng = random.Random(2)
+    urls = [f"http://w{rng.randrange(7)}.x{rng.randrange(11)}-y{rng.randrange(300)}.org/a" for _ in range(2000)]
+    urls += ["http://A.b/C/zzD/", "http://a.b/cd", "http://h.i/p\\Eq.+/r", "http://h.i/pEq.+/r", "http://x.com/Login", "http://x.com/logins", "http://casino-x.fr", "http://x/" + "very/long/" * 20_000 + "login", "http://x.fr/tag/z/page/2"]
+    out = url_filter(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string"), rules=rules).collect()
+    for r in out:
+        text = r["host"] + r["path"]
+        fits = [(len(x.name), x.name, x.verdict) for x in rules if not x.is_prefix and re.search(x.pattern, text)]
+        assert r["pattern_rule"] == (max(fits)[1] if fits else None), text[:80]
+    got = [r["pattern_rule"] or r["rule"] for r in sorted(out, key=lambda r: r["page_id"])[2000:]]
+    assert got == ["|a.b^c*d^", "|a.b^c*d^", r"h.i/p\Eq.+/", None, "/login^", None, "@casino^", "/login^", "/tag/*/page/"]
 
 
 def test_empty_tables(spark):
