@@ -525,6 +525,7 @@ _FIRST = """hit AS (SELECT *, CASE WHEN crawler = 'Googlebot' THEN 0
   WHEN category = 'claimed_ai_crawler' THEN 2 WHEN method IN ('GET', 'HEAD') AND (actionable_prefix = '/en' OR starts_with(actionable_prefix, '/en/')) THEN 3
   WHEN actionable_prefix = '/fr' OR starts_with(actionable_prefix, '/fr/') THEN 4 END AS rule_index FROM cube)"""
 _POLICY = f"{_CUBE}, {_FIRST}"
+_MATCHED = "matched AS (SELECT CAST(sum(requests) AS BIGINT) AS m FROM hit WHERE rule_index = 2), seen AS (SELECT CAST(sum(modeled_requests) AS BIGINT) AS s FROM impacts WHERE profile = 'strict' AND category = 'claimed_ai_crawler')"
 _DENY, _CACHED = "rule_index IN (1, 4)", "rule_index = 3 AND cache_state IN ('miss', 'bypass', 'expired')"
 
 
@@ -562,10 +563,9 @@ def ag31_coverage(spark, sf_dir):
     return policy.coverage(policy.simulation_totals(c, c, POLICY))
 
 
-_MATCHED = "matched AS (SELECT CAST(sum(requests) AS BIGINT) AS m FROM hit WHERE rule_index = 2), seen AS (SELECT CAST(sum(modeled_requests) AS BIGINT) AS s FROM impacts WHERE profile = 'strict' AND category = 'claimed_ai_crawler')"
 
 
-@query(f"SELECT i AS rule_index, coalesce(m, 0) AS matched_requests, coalesce(s, 0) AS modeled_requests, CASE WHEN coalesce(m, 0) > 0 THEN {o.ppm('coalesce(s, 0)', 'm')} ELSE 1000000 END AS coverage_ppm FROM matched, seen, (VALUES (2), (NULL)) v(i)", f"{_POLICY.replace('norm WHERE', 'norm WHERE')}, {o.rate()}, {_MATCHED}")
+@query(f"SELECT i AS rule_index, coalesce(m, 0) AS matched_requests, coalesce(s, 0) AS modeled_requests, CASE WHEN coalesce(m, 0) > 0 THEN {o.ppm('coalesce(s, 0)', 'm')} ELSE 1000000 END AS coverage_ppm FROM matched, seen, (VALUES (2), (NULL)) v(i)", f"{_POLICY}, {o.rate()}, {_MATCHED}")
 def ag31_rate_coverage(spark, sf_dir):
     e = facts(spark, sf_dir)
     agents = ag.user_agents(e)
@@ -591,7 +591,22 @@ def rk07_ambiguous(spark, sf_dir):
     return policy.ambiguous_paths(named_cells(spark, sf_dir), POLICY)
 
 
-@query(None)
+_RISKS = """rules(i, id) AS (VALUES (1, 'deny-probes'), (2, 'rate-ai'), (3, 'cache-en'), (4, 'deny-fr')),
+ambiguous AS (SELECT 1 AS i FROM hit WHERE route LIKE '/archive/{%' AND actionable_prefix = '/archive/' AND method IN ('GET', 'POST') AND coalesce(rule_index, 99) >= 1 LIMIT 1),
+all_of AS (SELECT sum(requests) AS n, sum(requests) FILTER (actionable_prefix IS NOT NULL) AS actionable FROM hit),
+zone AS (SELECT greatest(1, (count(*) * 512 + 1048575) // 1048576) AS mib FROM subjects WHERE category = 'claimed_ai_crawler' HAVING count(*) > 0),
+found(risk, severity, acknowledgeable) AS (
+SELECT DISTINCT 'protected-crawler:' || crawler, 'high', true FROM hit WHERE protected_default AND crawler IS NOT NULL AND rule_index IN (1, 2, 4)
+UNION ALL SELECT 'path-deny-unclassified:' || id, 'high', true FROM rules WHERE i IN (SELECT rule_index FROM hit WHERE rule_index IN (1, 4) AND crawler IS NULL AND primary_class = 'unclassified')
+UNION ALL SELECT 'high-impact:' || id, 'high', true FROM rules JOIN (SELECT rule_index, sum(requests) AS m FROM hit GROUP BY 1) ON i = rule_index, all_of WHERE i <> 3 AND m > n // 2
+UNION ALL SELECT 'claimed-allow-bypass:allow-googlebot', 'medium', true
+UNION ALL SELECT 'path-normalization-drift:' || id, CASE WHEN a.i IS NULL THEN 'medium' ELSE 'high' END, a.i IS NULL FROM rules r LEFT JOIN ambiguous a USING (i), all_of WHERE i <> 2 AND (a.i IS NOT NULL OR actionable < n)
+UNION ALL SELECT 'rate-coverage-incomplete:rate-ai', 'high', false FROM matched, seen WHERE coalesce(m, 0) <> coalesce(s, 0)
+UNION ALL SELECT 'analysis-only-cache:cache-en', 'info', false
+UNION ALL SELECT CASE WHEN mib > 256 THEN 'nginx-zone-too-large:strict' ELSE 'nginx-zone-memory:strict:' || mib END, 'high', mib <= 256 FROM zone WHERE mib > 32)"""
+
+
+@query("SELECT risk, severity, acknowledgeable, CASE WHEN (SELECT bool_or(NOT acknowledgeable AND severity <> 'info') FROM found) THEN 'blocked' ELSE 'analysis_only' END AS status FROM found", f"{_POLICY}, {o.SUBJECTS}, {o.rate()}, {_MATCHED}, {_RISKS}")
 def rk_risks(spark, sf_dir):
     """All risks of the policy with its status: bounded results meet on the driver."""
     e = facts(spark, sf_dir)
