@@ -40,3 +40,9 @@ def zone_mib(states: str) -> str:
 def threshold(p99: str, floor: int, multiplier: int, window_s: int) -> str:
     """Baseline per minute scaled to the window, rounded up, times the multiplier; never under the floor."""
     return f"greatest({floor}L, (({p99} * {window_s} + 59) div 60) * {multiplier})"
+
+
+def rfc3339(us: str) -> str:
+    """Microseconds as a UTC time in RFC 3339 form, without zeros at the end of its fraction."""
+    text = f"date_format(timestamp_micros({us}), \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\")"
+    return f"concat(CASE WHEN {us} % 1000000 = 0 THEN substr({text}, 1, 19) ELSE regexp_replace({text}, '0+\\\\z', '') END, 'Z')"

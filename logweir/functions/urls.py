@@ -46,6 +46,14 @@ def split_target(df: DataFrame, uri: str = "request_uri") -> DataFrame:
     )
 
 
+def escaped_path(path: str = "path", decoded: str = "decoded_path") -> str:
+    """A path in its escaped form: as it stands where it is validly encoded, else its decoded form encoded anew."""
+    out = f"replace(url_encode({decoded}), '+', '%20')"
+    for code, char in (("*", "%2A"), ("%7E", "~"), ("%24", "$"), ("%26", "&"), ("%2B", "+"), ("%2C", ","), ("%2F", "/"), ("%3A", ":"), ("%3B", ";"), ("%3D", "="), ("%40", "@")):
+        out = f"replace({out}, '{code}', '{char}')"
+    return f"(CASE WHEN {path} RLIKE '^[A-Za-z0-9!$&\\'()*+,;=:@\\\\[\\\\]%._~/-]*\\\\z' THEN {path} ELSE {out} END)"
+
+
 def normalise_route(df: DataFrame, key: bytes) -> DataFrame:
     """Adds route, actionable_prefix, decoded_path and path_ok to rows with `path`."""
     cut = MAX_ROUTE - 42 - len("/{truncated-0123456789abcdef}")
@@ -55,8 +63,10 @@ def normalise_route(df: DataFrame, key: bytes) -> DataFrame:
     out = out.withColumn("_first", F.expr("array_position(transform(zip_with(_d, _s, (d, s) -> d <> s), b -> CAST(b AS INT)), 1)"))
     out = out.withColumn("_route", F.expr("concat('/', array_join(_s, '/'))")).withColumn("decoded_path", F.expr("concat('/', array_join(_d, '/'))"))
     long_ = f"octet_length(_route) > {MAX_ROUTE}"
-    head = f"substr(_route, 1, greatest(1, {cut} - locate('/', reverse(substr(_route, 1, {cut})))))"
-    out = out.withColumn("route", F.expr(f"CASE WHEN {long_} THEN concat({head}, '/{{truncated-', {hmac_hex(key, 'url', 'path', 16)}, '}}') ELSE _route END"))
+    # cut at the last slash of the first bytes, so no character is split
+    kept = f"regexp_extract(decode(substr(encode(_route, 'UTF-8'), 1, {cut}), 'UTF-8'), '(?s)^(.+)/', 1)"
+    head = f"CASE WHEN {kept} = '' THEN '/' ELSE {kept} END"
+    out = out.withColumn("route", F.expr(f"CASE WHEN {long_} THEN concat({head}, '/{{truncated-', {hmac_hex(key, 'url', escaped_path(), 16)}, '}}') ELSE _route END"))
     plain = "path RLIKE '^[A-Za-z0-9!$&\\'()*+,;=:@\\\\[\\\\]._~/-]*\\\\z' AND NOT contains(path, '//')"
     closed = "exists(_s, s -> s IN ('{encoded-separator}', '{dot-segment}'))"
     prefix = "CASE WHEN _first = 0 THEN _route WHEN _first = 1 THEN '/' ELSE concat('/', array_join(slice(_s, 1, CAST(_first AS INT) - 1), '/'), '/') END"

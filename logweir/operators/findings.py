@@ -114,3 +114,32 @@ def ranked(findings: DataFrame, n: int = 10_000) -> DataFrame:
     """Gravest first, then kind, route and subject."""
     rank = F.expr("CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 ELSE 1 END")
     return findings.orderBy(rank.desc(), "kind", F.coalesce("route", F.lit("")), F.coalesce("subject", F.lit(""))).limit(n)
+
+
+#: What each kind of route finding rests on: names of columns of the route report.
+EVIDENCE = {
+    "crawl_trap_path_cardinality": ("requests", "distinct_urls", "query_requests", "upstream_duration_us"),
+    "query_space_explosion": ("query_requests", "distinct_queries", "distinct_urls"),
+    "expensive_404": ("requests", "status_404", "upstream_duration_us", "upstream_samples"),
+    "cache_busting": ("cache_eligible", "cache_samples", "cache_misses", "distinct_queries"),
+}
+
+
+def with_evidence(findings: DataFrame, routes: DataFrame) -> DataFrame:
+    """Adds evidence: for findings about routes, structs (metric, value) by metric; null for others."""
+    names = sorted({m for ms in EVIDENCE.values() for m in ms})
+    own = routes.select(F.col("route").alias("_route"), *(F.col(m).cast("bigint").alias(f"_{m}") for m in names))
+    each = lambda ms: F.array_sort(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(f"_{m}").alias("value")) for m in ms)))
+    evidence = F.coalesce(*(F.when(F.col("kind") == k, each(ms)) for k, ms in EVIDENCE.items()))
+    return findings.join(own, findings["route"] == own["_route"], "left").select(*findings.columns, F.when(F.col("_route").isNotNull(), evidence).alias("evidence"))
+
+
+def route_ids(events: DataFrame) -> DataFrame:
+    """The route dimension: (route, actionable_prefix, id); ids grow with first arrival and never change."""
+    return events.groupBy("route", "actionable_prefix").agg(F.min("seq").alias("id"))
+
+
+def with_route_id(findings: DataFrame, dimension: DataFrame) -> DataFrame:
+    """Adds route_id: the lowest id of the variants of the finding's route, null without such a route."""
+    lowest = dimension.groupBy(F.col("route").alias("_route")).agg(F.min("id").alias("route_id"))
+    return findings.join(lowest, findings["route"] == lowest["_route"], "left").drop("_route")

@@ -236,3 +236,8 @@ def rate_coverage(totals: DataFrame, modeled: DataFrame) -> DataFrame:
     whole = both.agg(F.sum("matched_requests").alias("matched_requests"), F.sum("modeled_requests").alias("modeled_requests")).select(F.lit(None).cast("int").alias("rule_index"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("matched_requests", "modeled_requests")))
     ppm = F.expr(f"CASE WHEN matched_requests > 0 THEN {ratio_ppm('modeled_requests', 'matched_requests')} ELSE 1000000L END")
     return both.unionByName(whole).withColumn("coverage_ppm", ppm)
+
+
+def acknowledged(found: list[tuple[str, str, bool]], acks: list[str]) -> bool:
+    """Whether the acknowledgements given are exactly the risks that can be acknowledged, each once."""
+    return len(set(acks)) == len(acks) and set(acks) == {risk for risk, _, ok in found if ok}

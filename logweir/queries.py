@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions import kmv, numbers, probes, urls
 from .functions.crawlers import catalog_frame
@@ -929,6 +930,66 @@ def st04_findings_ranked(spark, sf_dir):
     return findings.ranked(findings.united(*all_findings(spark, sf_dir).values()), 60)
 
 
+_EV = lambda ms: "array_to_string(list_sort([" + ", ".join(f"'{m}=' || coalesce(CAST(r.{m} AS VARCHAR), '-')" for m in ms) + "]), ',')"
+
+
+@query("SELECT f.id, f.kind, f.route, CASE f.kind " + " ".join(f"WHEN '{k}' THEN {_EV(ms)}" for k, ms in findings.EVIDENCE.items()) + " END AS evidence FROM (" + "\nUNION ALL ".join(FD[k] for k in ("fd01", "fd02", "fd03", "fd04", "fd06")) + ") f LEFT JOIN routes r ON r.route = f.route", _FD)
+def st05_evidence(spark, sf_dir):
+    e = facts(spark, sf_dir)
+    routes, total = ag.route_report(ag.route_stats(e)), ag.summary(e)
+    found = findings.united(findings.crawl_traps(routes, total, LOW), findings.query_explosions(routes, LOW), findings.expensive_404s(routes, LOW), findings.cache_busting(routes, LOW), findings.robots(ag.robots_violations(e)))
+    text = F.array_join(F.transform("evidence", lambda x: F.concat_ws("=", x["metric"], F.coalesce(x["value"].cast("string"), F.lit("-")))), ",")
+    return findings.with_evidence(found, routes).select("id", "kind", "route", text.alias("evidence"))
+
+
+@query(f"SELECT f.id, f.route, CAST(route_id AS BIGINT) AS route_id FROM ({FD['fd06']} UNION ALL {FD['fd07']} UNION ALL {FD['fd10']}) f LEFT JOIN (SELECT route, min(seq) AS route_id FROM ev GROUP BY 1) r ON r.route = f.route", _FD)
+def snk11_findings_routes(spark, sf_dir):
+    e = facts(spark, sf_dir)
+    late = rate.unordered(e.withColumn("ts_us", F.expr("CASE WHEN seq % 501 = 0 THEN ts_us - 200000000000 ELSE ts_us END"))).agg(F.expr("bool_or(unordered)").alias("order_degraded"))
+    found = findings.united(findings.robots(ag.robots_violations(e)), findings.probes(ag.probe_hits(e)), findings.order_degraded(late))
+    return findings.with_route_id(found, findings.route_ids(e)).select("id", "route", "route_id")
+
+
+@query("SELECT primary_class, requests, row_number() OVER (ORDER BY requests DESC, primary_class) AS rank FROM (SELECT primary_class, count(*) AS requests FROM ev GROUP BY 1)")
+def st01_classes(spark, sf_dir):
+    """Classes in the order of a report; there are five of them at most."""
+    ranked = ag.classes(ag.cells(ev(spark, sf_dir))).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("requests"), "primary_class")))
+    return ranked.select("primary_class", "requests", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("SELECT method, path_prefix, row_number() OVER (ORDER BY strlen(path_prefix) DESC, method, path_prefix) AS place FROM (SELECT DISTINCT method, path_prefix FROM st WHERE streak >= 2) QUALIFY place <= 64", _DETECT)
+def st09_active_map(spark, sf_dir):
+    """Rules in the order of the server's map, longest prefix first; bounded by max_rules."""
+    rules = detector.proposals(judged(spark, sf_dir), DETECT).select("method", "path_prefix").distinct().orderBy(F.desc(F.octet_length("path_prefix")), "method", "path_prefix").limit(DETECT.max_rules)
+    place = F.row_number().over(Window.orderBy(F.desc(F.octet_length("path_prefix")), "method", "path_prefix"))
+    return rules.withColumn("place", place.cast("bigint"))
+
+
+@query("SELECT (SELECT count(*) FROM ev) AS events, CAST((SELECT sum(requests) FROM cube) AS BIGINT) AS cell_requests, CAST((SELECT sum(requests) FROM routes) AS BIGINT) AS route_requests, (SELECT count(*) FROM cube WHERE request_duration_samples > requests OR upstream_samples > requests OR (upstream_samples = 0) <> (upstream_duration_us IS NULL)) AS violations", f"{o.EVENTS}, {o.CELLS}, {o.ROUTES}")
+def ag30_conservation(spark, sf_dir):
+    """Every level of the schema adds up to the events it was made of."""
+    e = facts(spark, sf_dir)
+    cube = ag.cells(e)
+    bad = "request_duration_samples > requests OR upstream_samples > requests OR (upstream_samples = 0) <> (upstream_duration_us IS NULL)"
+    one = e.agg(F.count("*").alias("events")).crossJoin(cube.agg(F.sum("requests").alias("cell_requests"), F.expr(f"count_if({bad})").alias("violations")))
+    return one.crossJoin(ag.route_report(ag.route_stats(e)).agg(F.sum("requests").alias("route_requests"))).select("events", "cell_requests", "route_requests", "violations")
+
+
+@query("SELECT seq, regexp_replace(regexp_replace(strftime(make_timestamp(t), '%Y-%m-%dT%H:%M:%S.%f'), '0+$', ''), '[.]$', '') || 'Z' AS text FROM (SELECT seq, ts_us + CASE seq % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 500000 ELSE 120300 END AS t FROM rec)", RAW)
+def fn06_rfc3339(spark, sf_dir):
+    r = records(spark, sf_dir).withColumn("t", F.expr("ts_us + CASE seq % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 500000 ELSE 120300 END"))
+    return r.select("seq", F.expr(numbers.rfc3339("t")).alias("text"))
+
+
+_LONG = "concat('/', CASE WHEN seq % 2 = 0 THEN 'é' ELSE 'e' END, repeat(concat('/part', CAST(seq % 7 AS {text})), 100))"
+
+
+@query(f"""SELECT seq, regexp_extract(left(p, 441 - CASE WHEN seq % 2 = 0 THEN 1 ELSE 0 END), '^(.+)/', 1) || '/{{truncated-' || {o.hm("url", "replace(p, 'é', '%C3%A9')", 16)} || '}}' AS route, CAST(NULL AS VARCHAR) AS actionable_prefix FROM (SELECT seq, {_LONG.format(text="VARCHAR")} AS p FROM rec)""", RAW)
+def prj10_truncated(spark, sf_dir):
+    r = urls.split_target(records(spark, sf_dir).withColumn("request_uri", F.expr(_LONG.format(text="STRING"))))
+    return urls.normalise_route(r, TEST_KEY).select("seq", "route", "actionable_prefix")
+
+
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: classes, most expensive crawlers and findings of a log in one table of sections."""
     e = facts(spark, sf_dir)

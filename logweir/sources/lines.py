@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 MAX_LINE = 1_048_576
+#: Fixed value: paths that one analysis takes.
+MAX_INPUTS = 64
 #: A file's lines take this many numbers.
 SOURCE_STEP = 1 << 42
 #: Bytes that are expanded at a time, and up to which an expansion's ratio doesn't count.
@@ -29,6 +31,8 @@ def read_lines(spark: SparkSession, paths: list[str], max_line: int = MAX_LINE)
 
     Lines end with LF; one CR before it goes. seq grows with source and place: a line's number within its file split is
     added to the byte at which the split begins, so splits need no common counter and large files stay splittable."""
+    if not 1 <= len(paths) <= MAX_INPUTS:
+        raise ValueError(f"{len(paths)} inputs; 1 to {MAX_INPUTS} are read at a time")
     files: dict[str, int] = {}
     for path in paths:
         for name in sorted(spark.read.text(path).inputFiles()):

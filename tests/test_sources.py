@@ -131,6 +131,25 @@ def test_policy_hash_and_rules():
             policy.parse_policy(bad)
 
 
+def test_acknowledgements():
+    found = [("a", "high", True), ("b", "high", False), ("c", "medium", True)]
+    assert policy.acknowledged(found, ["c", "a"]) and not any(policy.acknowledged(found, x) for x in (["a"], ["a", "c", "b"], ["a", "a", "c"], []))
+
+
+def test_windows_of_a_stream_end(spark, tmp_path):
+    """Windows close behind the watermark; what comes for a closed one is left out."""
+    d = Detection(window_s=20, interval_s=10, max_lag_s=5)
+    schema = "ts_us bigint, method string, actionable_prefix string, candidate boolean, upstream_duration_us bigint"
+    src, out = tmp_path / "in", []
+    src.mkdir()
+    stream = live.windowed(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src / "*")), d)
+    for i, times in enumerate(((10, 12), (100,), (11, 101), (300,))):
+        spark.createDataFrame([(t * 1_000_000, "GET", "/a/", True, 5) for t in times], schema).coalesce(1).write.parquet(str(src / f"p{i}"))
+        run = stream.writeStream.foreachBatch(lambda df, _: out.extend(tuple(r) for r in df.collect())).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+        run.awaitTermination(120)
+    assert sorted((x[0] // 1_000_000, x[3]) for x in out) == [(10, 1), (20, 2), (30, 1), (100, 1), (110, 2), (120, 1)]
+
+
 def test_robots_text():
     rules = probes.parse_robots("User-agent: a\nUser-agent: b\nDisallow: /x # no\nAllow:\n\nUser-agent: *\nDisallow: /*.gif$")
     assert [(r.agent, r.allow, r.path) for r in rules] == [("a", False, "/x"), ("b", False, "/x"), ("*", False, "/*.gif$")]
