@@ -514,11 +514,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     later = near.where("late").join(found.select(F.col("u").alias("id"), F.col("v").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     apart = later.groupBy("node").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a <> _b").select("node")
     more = links_in(near.where("late").join(apart, "node"))
-    found = found if more.isEmpty() else components(found.union(more))
     if over is not None:
         pairs = staged(_block_pairs(over, found, sets, percent), "pairs")
-        more = staged(_across(pairs, sets, docs, id_col, text_col, size, percent, n_parts), "across")
-        found = found if more.isEmpty() else components(found.union(more))
+        more = more.union(staged(_across(pairs, sets, docs, id_col, text_col, size, percent, n_parts), "across"))
+    found = found if more.isEmpty() else components(found.union(more))
     of_set = owners.join(found.select(F.col("u").alias("id"), F.col("v").alias("_c")), "id", "left").select("fp", F.coalesce("_c", "id").alias("_c"))
     # a row without a set has a key of its own that no set has
     keyed = rows.select("_id", "n", F.coalesce("fp", F.concat(F.lit("-"), F.col("_id").cast("string")), F.lit("-")).alias("fp"))

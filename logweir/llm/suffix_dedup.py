@@ -207,7 +207,10 @@ def _bucketed(df: DataFrame, key: str, parts: int) -> DataFrame:
     catalog holds it only for as long as it takes to read its description."""
     spark, name = df.sparkSession, f"texts_{uuid.uuid4().hex}"
     df.repartition(parts, key).write.bucketBy(parts, key).sortBy(key).option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    out = spark.table(name)
+    out.schema  # resolved: from here on the files alone are needed
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
 
 def _bytes_covered(at, q: int):
