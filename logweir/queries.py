@@ -1005,3 +1005,21 @@ ORACLE["report"] = f"""WITH {_CUBE}
 SELECT 'class' AS section, primary_class AS name, CAST(sum(requests) AS BIGINT) AS requests FROM cube GROUP BY 2
 UNION ALL SELECT 'crawler', crawler, CAST(sum(requests) AS BIGINT) FROM cube WHERE crawler IS NOT NULL GROUP BY 2
 UNION ALL SELECT 'finding', id, requests FROM ({FD["fd06"]} UNION ALL {FD["fd07"]})"""
+
+_COVERED = ("accepted", "request_duration_ppm", "upstream_ppm", "cache_ppm", "referer_ppm", "robots_ppm")
+
+
+@query(f"""SELECT 'coverage' AS section, unnest([{", ".join(f"'{c}'" for c in _COVERED)}]) AS name, unnest([{", ".join(_COVERED)}]) AS value FROM ({ORACLE["ag11_coverage"]})
+UNION ALL SELECT 'class_cost', primary_class, total_kopecks FROM ({ORACLE["ag28_cost_uncovered"]})
+UNION ALL SELECT 'route_requests', route, requests FROM ({ORACLE["st03_routes_top"]})
+UNION ALL SELECT 'finding', kind || ' ' || severity, count(*) FROM ({ORACLE["st04_findings_ranked"]}) GROUP BY 2""", ctes="")
+def snk02_report(spark, sf_dir):
+    """The body of a report: coverage, cost of classes, most expensive routes and the gravest findings by kind."""
+    e = facts(spark, sf_dir)
+    stats = ag.summary(e)
+    routes = ag.route_report(ag.route_stats(e))
+    rows = lambda df, section, name, value: df.select(F.lit(section).alias("section"), F.expr(name).alias("name"), F.expr(value).cast("bigint").alias("value"))
+    covered = ag.coverage(e).select(F.expr(f"stack({len(_COVERED)}, " + ", ".join(f"'{c}', {c}" for c in _COVERED) + ") AS (name, value)"))
+    costs = cost.allocate(ag.classes(ag.cells(e)), stats, 500_000, 12_300)
+    found = findings.ranked(findings.united(*all_findings(spark, sf_dir).values()), 60).groupBy("kind", "severity").agg(F.count("*").alias("n"))
+    return rows(covered, "coverage", "name", "value").unionByName(rows(costs, "class_cost", "primary_class", "total_kopecks")).unionByName(rows(ag.top_expensive(routes, "route", 50), "route_requests", "route", "requests")).unionByName(rows(found, "finding", "concat(kind, ' ', severity)", "n"))
