@@ -33,6 +33,8 @@ LEVELS, KEPT = 5, 1 / 2
 PIVOTS = 8
 #: Shingles in a block of an exact comparison (8 bytes each); long documents make smaller blocks.
 BLOCK_SHINGLES = 1 << 20
+#: Leaves are looked at together up to about this many rows' pairs.
+MANY_ROWS = 1024
 #: A leaf with more pairs to confirm than this has them counted all at once.
 MANY_PAIRS = 256
 #: A pair of just the similarity that is asked for has so low a sketch estimate that it is left out less often than this;
@@ -48,7 +50,7 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -198,7 +200,18 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def _by_node(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Whole nodes of rows that come sorted by node; a node is never longer than a leaf."""
+    """Whole nodes of rows that come sorted by node, so many at a time as have about MANY_ROWS squared pairs; a node is
+    never longer than a leaf, or two blocks."""
+
+    def bounded(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        node = rows["node"].to_numpy()
+        first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+        cost = np.diff(np.append(first, len(node))).astype(np.int64) ** 2
+        part = (np.cumsum(cost) - cost) // MANY_ROWS**2
+        for k in np.flatnonzero(np.append(True, part[1:] != part[:-1])):
+            ends = np.flatnonzero(part > part[k])
+            yield rows.iloc[first[k] : first[ends[0]] if len(ends) else len(node)]
+
     rest: pd.DataFrame | None = None
     for batch in batches:
         batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
@@ -206,9 +219,9 @@ def _by_node(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cut = int(np.searchsorted(node, node[-1])) if len(node) else 0
         rest = batch.iloc[cut:].reset_index(drop=True)
         if cut:
-            yield batch.iloc[:cut]
+            yield from bounded(batch.iloc[:cut])
     if rest is not None and len(rest):
-        yield rest
+        yield from bounded(rest)
 
 
 def _pairs(node: np.ndarray, n: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -317,13 +330,12 @@ def _confirmed(members: DataFrame, percent: int) -> DataFrame:
             node, n, ids = batch["node"].to_numpy(), batch["n"].to_numpy(), batch["id"].to_numpy()
             sketch = np.frombuffer(b"".join(batch["sketch"]), dtype=np.uint8).reshape(-1, MINWISE)
             sets = [np.frombuffer(s, dtype="<u8") for s in batch["hashes"]]
-            maybe, out = [], []
+            maybe, out = [(np.zeros(0, np.float32), np.zeros(0, np.int32), np.zeros(0, np.int32))], []
             for a, b in _pairs(node, n, threshold):
                 e = _estimated(sketch, a, sketch, b)
                 ok = e >= least
-                maybe.append(np.stack([e[ok], a[ok], b[ok]]))
-            e, a, b = np.concatenate(maybe, axis=1) if maybe else np.zeros((3, 0))
-            a, b = a.astype(int), b.astype(int)
+                maybe.append((e[ok].astype(np.float32), a[ok].astype(np.int32), b[ok].astype(np.int32)))
+            e, a, b = (np.concatenate(x) for x in zip(*maybe, strict=True))
             order = np.lexsort((-e, node[a]))
             a, b = a[order], b[order]
             for own in np.split(np.arange(len(a)), np.flatnonzero(np.diff(node[a])) + 1):

@@ -158,6 +158,49 @@ def test_sketches_miss_less_than_trees():
     assert 60 < len(left_out) < 75 and sum(math.comb(128, k) * p**k * (1 - p) ** (128 - k) for k in left_out) < 2 * trees
 
 
+def test_leaves_come_whole_and_bounded():
+    import numpy as np
+    import pandas as pd
+
+    import logweir.llm.near_dedup as module
+
+    rng = np.random.default_rng(0)
+    node = np.concatenate([np.sort(rng.integers(0, 400, 20_000)), np.repeat([1000, 1001, 1002], [1024, 1024, 900])])
+    rows = pd.DataFrame({"node": node, "id": np.arange(len(node))})
+    out = list(module._by_node(rows.iloc[i : i + 3000].reset_index(drop=True) for i in range(0, len(rows), 3000)))
+    assert np.array_equal(np.concatenate([x["id"] for x in out]), rows["id"])
+    nodes = [set(x["node"]) for x in out]
+    assert sum(map(len, nodes)) == len(set(node.tolist()))
+    assert max(float((x.groupby("node").size() ** 2).sum()) for x in out) <= 3 * module.MANY_ROWS**2
+
+
+def test_links_connect_what_all_pairs_connect(monkeypatch):
+    import itertools
+
+    import numpy as np
+
+    import logweir.llm.near_dedup as module
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, 55)).astype(np.uint64) for _ in range(40)]
+    pairs = list(itertools.combinations(range(40), 2))
+    linked = [(a, b) for a, b in pairs if 100 * len(np.intersect1d(sets[a], sets[b])) >= 55 * len(np.union1d(sets[a], sets[b]))]
+
+    def connected(links):
+        root = list(range(40))
+        for a, b in links:
+            old, new = root[a], root[b]
+            root = [new if x == old else x for x in root]
+        return {(a, b) for a, b in pairs if root[a] == root[b]}
+
+    for many in (0, 3, 1 << 30):
+        monkeypatch.setattr(module, "MANY_PAIRS", many)
+        got = module._links_of([a for a, _ in pairs], [b for _, b in pairs], sets, 55)
+        stars = module._star(got)
+        assert set(got) <= set(linked) and connected(got) == connected(stars) == connected(linked) != set()
+        assert all(u > v for u, v in stars) and len({u for u, _ in stars}) == len(stars)
+
+
 def test_roots_pick_apart(spark):
     from logweir.llm.near_dedup import MINWISE, PICKS, ROOTS
 
