@@ -744,10 +744,10 @@ def set06_union(spark, sf_dir):
     return ev(spark, sf_dir).groupBy("client_key").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("security_probe_ids")))), ",").alias("reasons"))
 
 
-@query("SELECT DISTINCT client_key FROM ev WHERE method = 'GET' EXCEPT SELECT DISTINCT client_key FROM ev WHERE method = 'POST'")
+@query("SELECT DISTINCT minute_us FROM ev WHERE method = 'GET' EXCEPT SELECT DISTINCT minute_us FROM ev WHERE method = 'POST'")
 def set05_except(spark, sf_dir):
     e = facts(spark, sf_dir)
-    return e.where("method = 'GET'").select("client_key").subtract(e.where("method = 'POST'").select("client_key"))
+    return e.where("method = 'GET'").select("minute_us").subtract(e.where("method = 'POST'").select("minute_us"))
 
 
 @query(f"SELECT route, {o.ppm('status_404', 'requests')} AS ppm FROM routes", _ROUTES)
