@@ -19,7 +19,7 @@ from .url_filter import PATTERN_RULES, url_filter
 
 def op1_exact_dedup(spark, sf_dir):
     out = exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
-    return out.withColumnRenamed("digest", "text_sha256")
+    return out.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
 def op2_suffix_dedup(spark, sf_dir):

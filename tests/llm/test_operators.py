@@ -60,6 +60,21 @@ def test_exact(docs):
     same(exact_dedup(docs, salts=2), [{k: v for k, v in r.items() if k != "text_sha256"} for r in brute.exact(DOCS)])
 
 
+def test_queries_have_the_columns_of_their_sql(spark):
+    import duckdb
+
+    c, path = duckdb.connect(), "/root/testdata/sf0.001"
+    for name in ("documents", "benchmark", "pages"):
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path}/{name}.parquet'")
+    for name, sql in q.ORACLE.items():
+        out = c.execute(sql)
+        names = sorted(d[0] for d in out.description)
+        df = q.QUERIES[name](spark, path)
+        assert sorted(df.columns) == names
+        order = [[d[0] for d in out.description].index(n) for n in names]
+        assert sorted((tuple(r[n] for n in names) for r in df.collect()), key=repr) == sorted((tuple(r[k] for k in order) for r in out.fetchall()), key=repr), name
+
+
 def test_exact_beyond_broadcasts(docs, monkeypatch):
     import logweir.llm.exact_dedup as module
 
