@@ -42,6 +42,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """`df` written in buckets by `key` to the shared folder, so that later joins on it move the other side only. The
+    catalog holds it only for as long as it takes to read its description."""
+    spark, name = df.sparkSession, f"texts_{uuid.uuid4().hex}"
+    df.repartition(parts, key).write.bucketBy(parts, key).sortBy(key).option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # resolved: from here on the files alone are needed
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

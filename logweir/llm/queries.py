@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .alignment import align_tokens
 from .common import WORD, crc, table
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .language import identify_language
 from .licenses import scan_licenses
+from .merkle import merkle_manifest, tampered
 from .near_dedup import near_dedup
 from .packing import pack_documents
 from .quality import quality_scores, row_id
 from .secrets import scan_secrets
+from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .url_filter import PATTERN_RULES, url_filter
 
@@ -70,7 +73,19 @@ def op10_url_filter(spark, sf_dir):
     return url_filter(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_secrets, op4_quality, op5_best_fit_packing, op6_license_scan, op7_language, op8_decontaminate, op9_near_dedup, op10_url_filter)}
+def op11_substring_dedup(spark, sf_dir):
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle_manifest(table(spark, sf_dir, "documents"), now=tampered()).drop("proof")
+
+
+def op13_alignment(spark, sf_dir):
+    return align_tokens(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_secrets, op4_quality, op5_best_fit_packing, op6_license_scan, op7_language, op8_decontaminate, op9_near_dedup, op10_url_filter, op11_substring_dedup, op12_merkle_manifest, op13_alignment)}
 
 _LOW = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), {_LOW}), '{WORD}')"

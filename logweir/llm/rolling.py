@@ -91,3 +91,17 @@ def chained(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(ids) + 1, dtype=np.uint64)
     np.cumsum(ids * up[: len(ids)], out=sums[1:])
     return mix((sums[j] - sums[i]) * down[i] + (j - i).astype(np.uint64))
+
+
+def ints(x) -> np.ndarray:
+    return np.zeros(0, dtype=np.int64) if x is None else np.asarray(x, dtype=np.int64)
+
+
+def packed(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Runs as single numbers that sort by start."""
+    return (start.astype(np.int64) << 32) | end.astype(np.int64)
+
+
+def unpacked(x) -> tuple[np.ndarray, np.ndarray]:
+    x = ints(x)
+    return x >> 32, x & 0xFFFFFFFF

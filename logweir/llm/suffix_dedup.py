@@ -16,7 +16,6 @@ its identifiers:
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,8 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import salted_lookup, shared_dir, staged
-from .rolling import Hashed, chained, covered, leftmost_minima, mix, runs
+from .common import bucketed, salted_lookup, staged
+from .rolling import Hashed, chained, covered, ints, leftmost_minima, mix, packed, runs, unpacked
 
 #: Rows that are looked through for repeats before they are shuffled.
 LOCAL_ROWS = 1_000_000
@@ -51,20 +50,6 @@ class Shape:
         self.inner = size - self.window
 
 
-def _ints(x) -> np.ndarray:
-    return np.zeros(0, dtype=np.int64) if x is None else np.asarray(x, dtype=np.int64)
-
-
-def _packed(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Runs as single numbers that sort by start."""
-    return (start.astype(np.int64) << 32) | end.astype(np.int64)
-
-
-def _unpacked(x) -> tuple[np.ndarray, np.ndarray]:
-    x = _ints(x)
-    return x >> 32, x & 0xFFFFFFFF
-
-
 def _anchors(text: str, shape: Shape) -> tuple[np.ndarray, np.ndarray] | None:
     """Buckets of a text's anchors, and their places with how far before them the first and last window that chooses
     them start."""
@@ -81,7 +66,7 @@ class _Chain:
     """What is known of a text's repeated anchors, without the text."""
 
     def __init__(self, at, bucket, shape: Shape):
-        at, bucket = _ints(at), _ints(bucket).view(np.uint64)
+        at, bucket = ints(at), ints(bucket).view(np.uint64)
         self.shape, self.bucket, self.at = shape, bucket, at >> 24
         self.lo, self.hi = self.at - ((at >> 12) & 0xFFF), self.at - (at & 0xFFF)
         gap = np.diff(self.at)
@@ -93,7 +78,7 @@ class _Chain:
 
     def links(self, pairs) -> np.ndarray:
         """Which anchors' pairs repeat."""
-        return self.near & np.isin(self.at[:-1], _ints(pairs))
+        return self.near & np.isin(self.at[:-1], ints(pairs))
 
     def stretches(self, pairs) -> tuple[np.ndarray, np.ndarray]:
         """From each anchor over repeated pairs: the shortest stretch that holds a string, and the one that holds all
@@ -105,7 +90,7 @@ class _Chain:
         j = np.concatenate([np.searchsorted(self.at, self.at[i] + size - q), np.searchsorted(self.at, self.at[i + 1] - 1 + size - q)])
         i = np.concatenate([i, i])
         keep = (j <= last[i]) & (j > i)
-        pos, first = np.unique(_packed(self.at[i[keep]], self.at[np.minimum(j[keep], k - 1)] + q), return_index=True)
+        pos, first = np.unique(packed(self.at[i[keep]], self.at[np.minimum(j[keep], k - 1)] + q), return_index=True)
         i, j = i[keep][first], j[keep][first]
         return chained(mix(self.pair + np.diff(self.at).astype(np.uint64)), i, j), pos
 
@@ -127,17 +112,17 @@ class _Chain:
         able = (a[s + shape.inner + 1] == a[s]) & (b[s + shape.inner] == b[s])
 
         def inside(packed: np.ndarray) -> np.ndarray:
-            start, end = _unpacked(packed)
+            start, end = unpacked(packed)
             return covered(start, end - shape.size + 1, m)
 
-        part = able & ~inside(np.setdiff1d(_ints(stretches), _ints(firsts)))
+        part = able & ~inside(np.setdiff1d(ints(stretches), ints(firsts)))
         open_ = part & ~inside(stretches) & (not copied)
         first = np.where(part, np.searchsorted(self.lo, s, side="right") - 1, -1)
         start = np.flatnonzero(np.append(True, first[1:] != first[:-1]) & (first >= 0))
         edge = np.flatnonzero(np.append(first[1:] != first[:-1], True) & (first >= 0)) + 1
         opens = np.cumsum(np.append(0, open_))
         state = np.where(opens[edge] > opens[start], FIRST, ALONE)
-        return self.pair[first[start]], _packed(start, edge), state
+        return self.pair[first[start]], packed(start, edge), state
 
 
 def _local_repeats(h: np.ndarray, key: np.ndarray, pos: np.ndarray) -> pd.DataFrame:
@@ -202,17 +187,6 @@ def _lists(found: DataFrame, name: str, *cols: str) -> DataFrame:
     return staged(found.groupBy("key").agg(F.array_sort(F.collect_set(value)).alias(name)), f"found-{name}")
 
 
-def _bucketed(df: DataFrame, key: str, parts: int) -> DataFrame:
-    """`df` written in buckets by `key` to the shared folder, so that later joins on it move the other side only. The
-    catalog holds it only for as long as it takes to read its description."""
-    spark, name = df.sparkSession, f"texts_{uuid.uuid4().hex}"
-    df.repartition(parts, key).write.bucketBy(parts, key).sortBy(key).option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
-    out = spark.table(name)
-    out.schema  # resolved: from here on the files alone are needed
-    spark.sql(f"DROP TABLE {name}")
-    return out
-
-
 def _bytes_covered(at, q: int):
     """How many bytes the grams at the sorted places `at` cover."""
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to"))
@@ -259,11 +233,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     keys = staged(repeated.select("key").union(runs_left.select("key")).distinct(), "keys")
     keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-    texts = _bucketed(base.select("key", "text").join(keys, "key", "left_semi").dropDuplicates(["key"]), "key", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    texts = bucketed(base.select("key", "text").join(keys, "key", "left_semi").dropDuplicates(["key"]), "key", int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def strings(text: str, left) -> tuple[np.ndarray, np.ndarray]:
         data = text.encode("utf-8", "surrogatepass")
-        at = np.flatnonzero(covered(*_unpacked(left), len(data) - size + 1))
+        at = np.flatnonzero(covered(*unpacked(left), len(data) - size + 1))
         return Hashed(data).at(at, at + size), at
 
     strings_found = _lists(_repeated(_rows(texts.join(runs_left, "key"), strings, "strings"))[0], "strings")
@@ -274,7 +248,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out = []
             for key, text, stretches, found in zip(*(batch[c].tolist() for c in ("key", "text", "stretches", "strings")), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
-                (start, end), at = _unpacked(stretches), _ints(found)
+                (start, end), at = unpacked(stretches), ints(found)
                 gone = covered(np.concatenate([start, at]), np.concatenate([end, at + size]), len(data))
                 first, last = runs(gone)
                 kept = np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()

@@ -285,3 +285,111 @@ def languages(rows, penalty=4.0, steps=10):
         k = max(range(len(langs)), key=lambda k: best[k])
         out[i] = (langs[k], best[k])
     return out
+
+
+def substrings(docs, size=50):
+    """Removed words by comparing word lists of all documents."""
+    cut = [(i, (t or "").encode().split()) for i, t in docs]
+    least = {}
+    for i, w in cut:
+        for s in range(len(w) - size + 1) if i is not None else ():
+            k = tuple(w[s : s + size])
+            least[k] = min(least.get(k, i), i)
+    out = []
+    for i, w in cut:
+        gone = [False] * len(w)
+        for s in range(len(w) - size + 1) if i is not None else ():
+            if least[tuple(w[s : s + size])] < i:
+                gone[s : s + size] = [True] * size
+        kept = b" ".join(x for x, g in zip(w, gone, strict=True) if not g)
+        out.append({"doc_id": i, "n_words": len(w), "n_removed": sum(gone), "kept_sha256": hashlib.sha256(kept).hexdigest()})
+    return out
+
+
+def _leaf(row):
+    return sha("".join("-" if x is None else f"{len(str(x).encode())}:{x}" for x in row))
+
+
+def _tree(hashes):
+    """Levels of a tree from the leaves up."""
+    levels = [hashes]
+    while len(levels[-1]) > 1:
+        levels.append([sha("".join(levels[-1][i : i + 8])) for i in range(0, len(levels[-1]), 8)])
+    return levels
+
+
+def merkle(rows):
+    """Rows are (doc_id, source, lang, n_chars, text)."""
+    groups = {}
+    for r in rows:
+        groups.setdefault(r[2], []).append(r)
+    langs = sorted(groups, key=lambda x: (x is not None, (x or "").encode()))
+    for x in langs:
+        groups[x].sort(key=lambda r: (r[0] is not None, r[0] or 0, _leaf(r)))
+    trees = {x: _tree([_leaf(r) for r in groups[x]]) for x in langs}
+    top = _tree([trees[x][-1][0] for x in langs])
+    out = []
+    for k, x in enumerate(langs):
+        for i, r in enumerate(groups[x]):
+            now, proof = r[4], ""
+            if r[0] is not None and crc(r[0]) % 3 == 0 and now is not None:
+                now = ascii_lower(now)
+            folded = _leaf((*r[:4], now))
+            for levels, at in ((trees[x], i), (top, k)):
+                for level in levels[:-1]:
+                    a = at // 8 * 8
+                    run = level[a : a + 8]
+                    proof += "".join(run[: at - a] + run[at - a + 1 :])
+                    folded = sha("".join([*run[: at - a], folded, *run[at - a + 1 :]]))
+                    at //= 8
+            out.append({"doc_id": r[0], "leaf": trees[x][0][i], "subroot": trees[x][-1][0], "root": top[-1][0], "proof_sha256": sha(proof), "folded_root": folded, "verified": folded == top[-1][0]})
+    return out
+
+
+def alignment(docs):
+    """Groups from the offsets where both tokenizers' tokens end, links by comparing all intervals of a text."""
+    import json
+
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    with open(path) as f:
+        names = {i: x for x, i in json.load(f)["model"]["vocab"].items()}
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    piece = lambda i: bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace("▁", " ").encode()
+    each = []
+    for i, text in docs:
+        a = t.encode(" " + (text or ""), add_special_tokens=False).ids
+        b = sp.encode(text or "")
+        data = [[bytes(letters[c] for c in names[x]) for x in a], [piece(x) for x in b]]
+        if not text or not b"".join(data[0]) == b"".join(data[1]) == (" " + text).encode():
+            each.append((i, [], [], "", 0, []))
+            continue
+        spans = []
+        for ids, parts in zip((a, b), data, strict=True):
+            at, out = 0, []
+            for x, p in zip(ids, parts, strict=True):
+                out.append((x, at, at + len(p)))
+                at += len(p)
+            spans.append(out)
+        both = sorted({e for _, _, e in spans[0]} & {e for _, _, e in spans[1]})
+        groups = [[], []]
+        for side in (0, 1):
+            groups[side] = [[] for _ in both]
+            for x, s, _ in spans[side]:
+                groups[side][sum(c <= s for c in both)].append(str(x))
+        links = [(x, y) for x, s, e in spans[0] for y, s2, e2 in spans[1] if s < e2 and s2 < e]
+        each.append((i, a, b, ";".join(",".join(x) + "|" + ",".join(y) for x, y in zip(*groups, strict=True)), len(both), links))
+    count, top = {}, {}
+    for *_, links in each:
+        for p in set(links):
+            count[p] = count.get(p, 0) + 1
+    for (x, _), n in count.items():
+        top[x] = max(top.get(x, 0), n)
+    return [{"doc_id": i, "n_a": len(a), "n_b": len(b), "n_groups": n, "n_links": len(links), "n_best": sum(count[p] == top[p[0]] for p in links), "count_sum": sum(count[p] for p in links), "groups_sha256": sha(g) if a else ""} for i, a, b, g, n, links in each]
