@@ -14,6 +14,8 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,7 +29,7 @@ SHIFT = 15
 #: Pairs that come back in a broadcast, at most (about 100 bytes each); the others are joined in a shuffle.
 HEADS = 1_000_000
 #: Segments that a worker remembers, and characters of texts that it takes up together.
-CACHE_SEGMENTS, STRETCH = 150_000, 2_000_000
+CACHE_SEGMENTS, STRETCH = 250_000, 2_000_000
 
 _CUT = re.compile(r"(?<=[^\s\u180e])(?= )")
 
@@ -48,14 +50,9 @@ def installed() -> Tokenizers:
     return Tokenizers(p.path("byte_bpe_50k.json"), p.path("byte_bpe_50k.tiktoken"), p.PATTERN, p.path("piece_bpe_32k.model"))
 
 
-@dataclass(frozen=True)
-class Segment:
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: str
-    links: bytes
-    exact: bool
+#: What is known of a segment: n_a, n_b, n_groups, its groups with a ";" behind each, its links as packed id pairs, and
+#: whether the tokens give it back byte for byte.
+Segment = tuple[int, int, int, str, bytes, bool]
 
 
 def coalesce(len_a: np.ndarray, len_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -92,60 +89,90 @@ class Aligner(dict):
         self.tokenizer = Tokenizer.from_file(files.a)
         self.tokenizer.encode_special_tokens = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.bytes_a = {i: x for x, i in ranks.items()}
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=files.b)
         names = [self.pieces.id_to_piece(i) for i in range(self.pieces.get_piece_size())]
-        self.bytes_b = [bytes([int(x[3:5], 16)]) if self.pieces.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
-        self.size_a = np.array([len(self.bytes_a.get(i, b"")) for i in range(max(self.bytes_a) + 1)])
-        self.size_b = np.array([len(x) for x in self.bytes_b])
+        of_b = [bytes([int(x[3:5], 16)]) if self.pieces.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
+        self.bytes_a, self.bytes_b = np.full(max(ranks.values()) + 1, b"", dtype=object), np.array(of_b, dtype=object)
+        for x, i in ranks.items():
+            self.bytes_a[i] = x
+        self.size_a, self.size_b = (np.array([len(x) for x in xs]) for xs in (self.bytes_a, self.bytes_b))
+        ids = range(max(len(self.bytes_a), len(self.bytes_b)))
+        self.shown = np.array([[f"{i}{mark}" for i in ids] for mark in ",|;"], dtype=object)
         self.space = self.pieces.piece_to_id("▁")
         #: no piece goes on past a space that follows other characters, so texts may be cut there
         self.cut = not any(re.search("[^▁]▁", x) for x in names)
 
-    def ids_a(self, text: str) -> list[int]:
-        if any(x in text for x in self.special):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        return self.coder.encode_ordinary(text)
-
     def segments(self, text: str) -> list[str]:
         return _CUT.split(" " + text) if self.cut else [" " + text]
 
-    def learn(self, new: list[str]) -> dict[str, Segment]:
-        """Aligned segments of the strings `new`, all in one pass."""
-        a, b = [self.ids_a(x) for x in new], self.pieces.encode([x[1:] for x in new], num_threads=1)
-        b = [i or [self.space] for i in b]  # a last space stands alone; nothing is put before an empty string
-        good = [b"".join(map(self.bytes_a.__getitem__, i)) == (d := x.encode("utf-8", "surrogatepass")) == b"".join(map(self.bytes_b.__getitem__, j)) and len(d) > 0 for x, i, j in zip(new, a, b, strict=True)]
-        out = {x: Segment(0, 0, 0, "", b"", False) for x, ok in zip(new, good, strict=True) if not ok}
-        new, a, b = ([x for x, ok in zip(xs, good, strict=True) if ok] for xs in (new, a, b))
+    def ids_a(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and how many each segment has. Segments without white space at their end are encoded as one text: A begins
+        a token at the space that the next one begins with."""
+        plain, out = [k for k, x in enumerate(new) if not x[-1].isspace() and not any(t in x for t in self.special)], {}
+        ids = np.array(self.coder.encode_ordinary("".join([new[k] for k in plain])), dtype=np.int64)
+        ends = np.searchsorted(np.cumsum(self.size_a[ids]), np.cumsum([len(new[k].encode()) for k in plain])) + 1
+        if len(plain) == len(new):
+            return ids, np.diff(ends, prepend=0)
+        out = dict(zip(plain, np.split(ids, ends[:-1]), strict=True)) if plain else {}
+        for k, x in enumerate(new):
+            if k not in out:
+                out[k] = np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, dtype=np.int64)
+        each = [out[k] for k in range(len(new))]
+        return np.concatenate(each), np.array([len(x) for x in each])
+
+    def ids_b(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        each = [x or [self.space] for x in self.pieces.encode([x[1:] for x in new], num_threads=1)]  # nothing is put before an empty string
+        n = np.array([len(x) for x in each])
+        return np.fromiter(chain.from_iterable(each), dtype=np.int64, count=int(n.sum())), n
+
+    def learn(self, new: list[str]) -> None:
+        """Align the segments `new`, all in one pass, and remember them."""
+        all_a, n_a = self.ids_a(new)
+        all_b, n_b = self.ids_b(new)
+        if b"".join(self.bytes_a[all_a]) != "".join(new).encode() or b"".join(self.bytes_b[all_b]) != "".join(new).encode():
+            to_a, to_b = np.cumsum(n_a)[:-1], np.cumsum(n_b)[:-1]
+            each = zip(new, np.split(all_a, to_a), np.split(all_b, to_b), strict=True)
+            good = np.array([b"".join(self.bytes_a[i]) == x.encode() == b"".join(self.bytes_b[j]) for x, i, j in each])
+            self.update((x, (0, 0, 0, "", b"", False)) for x, ok in zip(new, good, strict=True) if not ok)
+            new = [x for x, ok in zip(new, good, strict=True) if ok]
+            all_a, all_b, n_a, n_b = all_a[np.repeat(good, n_a)], all_b[np.repeat(good, n_b)], n_a[good], n_b[good]
         if not new:
-            return out
-        all_a, all_b = np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64)
+            return
         of_a, of_b, link_a, link_b = coalesce(self.size_a[all_a], self.size_b[all_b])
-        to_a, to_b = np.cumsum([len(x) for x in a]), np.cumsum([len(x) for x in b])
-        pairs = ((all_a[link_a] << SHIFT) | all_b[link_b]).astype(np.int32)
-        to_link = np.searchsorted(link_a, to_a)
-        name_a, name_b = list(map(str, all_a.tolist())), list(map(str, all_b.tolist()))
-        cuts_a, cuts_b = ([0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)] for g in (of_a, of_b))
-        groups = [",".join(name_a[i:j]) + "|" + ",".join(name_b[k:n]) for i, j, k, n in zip(cuts_a[:-1], cuts_a[1:], cuts_b[:-1], cuts_b[1:], strict=True)]
-        to_group = of_a[to_a - 1] + 1
+        to_a, to_b = np.cumsum(n_a), np.cumsum(n_b)
+        links = ((all_a[link_a] << SHIFT) | all_b[link_b]).astype(np.int32).tobytes()
+        ids, of, side = np.concatenate([all_a, all_b]), np.concatenate([of_a, of_b]), np.repeat([0, 1], [len(all_a), len(all_b)])
+        order = np.lexsort((side, of))  # stable: ids of a side stay in order
+        last = np.append((of[order][1:] != of[order][:-1]) | (side[order][1:] != side[order][:-1]), True)
+        shown = self.shown[np.where(last, side[order] + 1, 0), ids[order]].tolist()
+        to_link, to_group = np.searchsorted(link_a, to_a) * 4, of_a[to_a - 1] + 1
         i = j = g = k = 0
         for x, i2, j2, g2, k2 in zip(new, to_a.tolist(), to_b.tolist(), to_group.tolist(), to_link.tolist(), strict=True):
-            out[x] = Segment(i2 - i, j2 - j, g2 - g, ";".join(groups[g:g2]), pairs[k:k2].tobytes(), True)
+            self[x] = (i2 - i, j2 - j, g2 - g, "".join(shown[i + j : i2 + j2]), links[k:k2], True)
             i, j, g, k = i2, j2, g2, k2
-        return out
 
     def align(self, texts: list[str]) -> Iterator[list[Segment]]:
         """Segments of each text; none for a text that is empty or that the tokenizers don't give back byte for byte."""
         cut = [self.segments(x) if x else [] for x in texts]
-        new = list({s: None for x in cut for s in x if s not in self})
+        every = set(chain.from_iterable(cut))
+        new = sorted(every.difference(self))
         if len(self) + len(new) > CACHE_SEGMENTS:
             self.clear()
-            new = list({s: None for x in cut for s in x})
-        found = self.learn(new)
+            new = sorted(every)
+        if new:
+            self.learn(new)
         for x in cut:
-            of = [found[s] if s in found else self[s] for s in x]
-            yield of if all(s.exact for s in of) else []
-        self.update((s, x) for s, x in found.items() if len(s) < 64)
+            of = [self[s] for s in x]
+            yield of if all([s[5] for s in of]) else []
+        for s in new:
+            if len(s) >= 64:
+                del self[s]
+
+
+@lru_cache(maxsize=1)
+def aligner(files: Tokenizers) -> Aligner:
+    """One for all tasks of a worker."""
+    return Aligner(files)
 
 
 def token_links(docs: DataFrame, id_col: str, text_col: str, files: Tokenizers, with_groups: bool) -> DataFrame:
@@ -153,18 +180,17 @@ def token_links(docs: DataFrame, id_col: str, text_col: str, files: Tokenizers,
     how often it has them."""
     schema = f"_id {docs.schema[id_col].dataType.simpleString()}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string" + ", groups string" * with_groups + ", pairs array<int>, times array<int>"
 
-    def rows(aligner: Aligner, ids: list, texts: list[str]) -> pd.DataFrame:
+    def rows(ids: list, texts: list[str]) -> pd.DataFrame:
         out = []
-        for i, found in zip(ids, aligner.align(texts), strict=True):
-            groups = ";".join([s.groups for s in found])
-            links = np.frombuffer(b"".join([s.links for s in found]), dtype=np.int32)
+        for i, found in zip(ids, aligner(files).align(texts), strict=True):
+            n_a, n_b, n_groups, parts, packed, _ = zip(*found, strict=True) if found else ((), (), (), (), (), ())
+            groups, links = "".join(parts)[:-1], np.frombuffer(b"".join(packed), dtype=np.int32)
             pairs, times = np.unique(links, return_counts=True)
-            counts = (sum(s.n_a for s in found), sum(s.n_b for s in found), sum(s.n_groups for s in found), len(links))
+            counts = (sum(n_a), sum(n_b), sum(n_groups), len(links))
             out.append((i, *counts, hashlib.sha256(groups.encode()).hexdigest() if found else "", *((groups,) if with_groups else ()), pairs, times.astype(np.int32)))
         return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        aligner = Aligner(files)
         for batch in batches:
             ids, texts, n = [], [], 0
             for i, text in zip(batch["_id"].tolist(), batch["_text"].tolist(), strict=True):
@@ -172,10 +198,10 @@ def token_links(docs: DataFrame, id_col: str, text_col: str, files: Tokenizers,
                 texts.append(text)
                 n += len(text)
                 if n >= STRETCH:
-                    yield rows(aligner, ids, texts)
+                    yield rows(ids, texts)
                     ids, texts, n = [], [], 0
             if ids:
-                yield rows(aligner, ids, texts)
+                yield rows(ids, texts)
 
     base = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     return base.mapInPandas(run, schema)
