@@ -34,9 +34,11 @@ def _window_shingles(windows: DataFrame, shingle: int) -> DataFrame:
     return one.withColumn("key", key)
 
 
-def _occurrences(docs: DataFrame, id_col: str, text_col: str, ks: list[int], known: DataFrame) -> DataFrame:
-    """Where shingles of `known` (key, k) stand in documents, from one reading of every text: rows (_id, _fp, n_words, at,
-    key, k), and one for each document itself with `at` -1. Rows are told apart by id and a hash of the text."""
+def _occurrences(docs: DataFrame, id_col: str, text_col: str, ks: list[int], known: DataFrame, local: bool) -> DataFrame:
+    """Where shingles of `known` (key, k) stand in documents: rows (_id, _fp, n_words, at,
+    key, k), and one for each document itself with `at` -1, which meets nothing. Rows are told apart by id and a hash of
+    the text. With few keys (`local`) all comes from one reading of the texts without a shuffle; else shingles meet the
+    keys in a join whose large partitions Spark splits, and documents don't take part in it."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_fp"), words(text).alias("_w")).withColumn("n_words", F.size("_w"))
     w, none = F.col("_w"), F.array().cast("array<int>")
@@ -51,9 +53,12 @@ def _occurrences(docs: DataFrame, id_col: str, text_col: str, ks: list[int], kno
         own = [F.transform(s, placed(k)) for k, s in zip(ks, starts, strict=True)]
         itself = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).cast("long").alias("key"), F.lit(ks[0]).alias("k")))
         each = base.select("_id", "_fp", "n_words", F.inline(F.concat(itself, *own)))
-    itself = docs.sparkSession.range(1).select(F.lit(0).cast("long").alias("key"), F.lit(ks[0]).alias("k"))
-    known = known.select("key", "k").union(itself).distinct()
-    return each.join(known, ["key", "k"])
+    known = known.select("key", "k").distinct()
+    if local:
+        met = each.join(F.broadcast(known.withColumn("_known", F.lit(True))), ["key", "k"], "left")
+        return met.where("at < 0 OR _known").drop("_known")
+    alone = base.select(F.lit(0).cast("long").alias("key"), F.lit(ks[0]).alias("k"), "_id", "_fp", "n_words", F.lit(-1).alias("at"))
+    return each.where("at >= 0").join(known, ["key", "k"]).unionByName(alone)
 
 
 def find_windows(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, size: int, shingle: int) -> DataFrame:
@@ -66,9 +71,8 @@ def find_windows(docs: DataFrame, items: DataFrame, id_col: str, text_col: str,
     windows = staged(item_windows(items, item_id, item_text, size), "windows")
     ks = sorted(r[0] for r in windows.select(F.least(F.lit(shingle), F.col("n"))).distinct().collect())  # at most `shingle` values
     local = windows.count() <= BROADCAST_WINDOWS
-    hint = F.broadcast if local else (lambda df: df)
     of_windows = _window_shingles(windows, shingle)
-    occurs = staged(_occurrences(docs, id_col, text_col, ks or [shingle], hint(of_windows.select("key", "k").distinct())), "occurrences")
+    occurs = staged(_occurrences(docs, id_col, text_col, ks or [shingle], of_windows.select("key", "k"), local), "occurrences")
     found = occurs.where("at >= 0")
     # rarity: how often each shingle of any window occurs in the whole corpus
     counts = found.groupBy("key", "k").agg(F.count("*").alias("_c"))
@@ -81,7 +85,8 @@ def find_windows(docs: DataFrame, items: DataFrame, id_col: str, text_col: str,
         pairs = found.join(F.broadcast(chosen), ["key", "k"])
     else:
         salted = found.withColumn("_salt", salt_of(F.struct("_id", "at"), 64))
-        pairs = salted.join(chosen.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(63)))), ["key", "k", "_salt"])
+        dealt = salted.select("key", "k", "_salt").distinct().join(chosen, ["key", "k"])  # only salts that occur
+        pairs = salted.join(dealt, ["key", "k", "_salt"])
     start = F.col("at") - F.col("off")
     place = F.struct(start.alias("start"), (start + F.col("n")).alias("end"), "win", "items")
     maybe = staged(pairs.where(fits).groupBy("_id", "_fp").agg(F.collect_set(place).alias("maybe")), "maybe")

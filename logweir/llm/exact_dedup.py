@@ -14,12 +14,13 @@ BROADCAST_KEYS = 1_000_000
 def _flagged(rows: DataFrame, keys: list[str], salts: int) -> DataFrame:
     """`rows` with _in: whether more than one of those that are in so far has the row's keys."""
     inside = rows.where("_in").withColumn("_s", salt_of(F.col("_id"), salts))
-    found = inside.groupBy(*keys, "_s").agg(F.count("*").alias("_n")).groupBy(*keys).agg(F.sum("_n").alias("_n")).where("_n > 1").select(*keys, F.lit(True).alias("_hit"))
+    counted = inside.groupBy(*keys, "_s").agg(F.count("*").alias("_n"))
+    found = counted.groupBy(*keys).agg(F.sum("_n").alias("_n")).where("_n > 1").select(*keys, F.lit(True).alias("_hit"))
     found = staged(found, "exact-keys")
     if found.count() <= BROADCAST_KEYS:
         met = rows.join(F.broadcast(found), keys, "left")
     else:
-        dealt = found.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        dealt = counted.select(*keys, "_s").join(found, keys)  # only salts that occur
         met = rows.withColumn("_s", salt_of(F.col("_id"), salts)).join(dealt, [*keys, "_s"], "left").drop("_s")
     return met.withColumn("_in", F.col("_in") & F.coalesce("_hit", F.lit(False))).drop("_hit")
 

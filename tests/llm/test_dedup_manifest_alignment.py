@@ -142,3 +142,25 @@ def test_coalesce():
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], MERKLE)
     assert substring_dedup.substring_dedup(empty).count() == merkle_manifest(empty).count() == align_tokens(empty).count() == 0
+
+
+def test_large_paths_copy_no_keys(spark, monkeypatch):
+    """Beyond broadcasts, a repeated key is copied to the salts that occur, and no key holds every document."""
+    from logweir.llm import decontaminate as de
+    from logweir.llm import exact_dedup as ex
+
+    monkeypatch.setattr(ex, "BROADCAST_KEYS", 0)
+    copied, of = [], ex.salt_of
+    monkeypatch.setattr(ex, "salt_of", lambda c, n: copied.append(n) or of(c, n))
+    rows = spark.createDataFrame([(i, "same") for i in range(6)] + [(9, "other")], "doc_id bigint, text string")
+    found = ex._flagged(rows.select(F.col("doc_id").alias("_id"), F.length("text").alias("_len"), F.lit(True).alias("_in")), ["_len"], 256)
+    assert found.where("_in").count() == 6 and copied and "explode" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+    item = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(i, item if i % 2 else "a b c d") for i in range(40)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    monkeypatch.setattr(de, "BROADCAST_WINDOWS", 0)
+    shingles = de._window_shingles(de.item_windows(items, "item_id", "text", 10), 3).select("key", "k")
+    plan = de._occurrences(docs, "doc_id", "text", [3], shingles, False)
+    assert plan.where("at < 0").count() == 40 and plan.where("at >= 0").groupBy("key").count().agg({"count": "max"}).first()[0] == 20
+    assert de.decontaminate(docs, items).where("contaminated").count() == 20
