@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +17,10 @@ from .operators import aggregates as ag
 from .operators import cost, findings, policy, rate
 from .plans import events as pe
 from .plans import oracle as o
-from .plans.stage import once
+from .plans.stage import once, shared_folder
 from .sources import lines, parsers
 from .sources.adapter import records
-from .streaming import baseline, detector
+from .streaming import baseline, detector, stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -785,6 +787,11 @@ q AS (SELECT *, 2 AS request_threshold, NOT unsafe AND CASE WHEN kind = 'volume'
   ELSE requests >= 2 AND clients >= 2 AND clients * 1000000 >= requests * 100000 AND upstream_samples * 1000000 >= requests * 500000 AND upstream_us >= 1000 AND upstream_us >= upstream_samples * 500 END AS qualified FROM qual),
 st AS (SELECT *, row_number() OVER (PARTITION BY kind, method, path, isl ORDER BY eval_us) AS streak FROM (SELECT *, eval_us // {_IV} - row_number() OVER (PARTITION BY kind, method, path ORDER BY eval_us) AS isl FROM q WHERE qualified))"""
 _DETECT = f"{o.EVENTS}, {_STREAM}"
+#: For replays in a stream: a window of three days that is evaluated daily.
+LIVE = replace(DETECT, window_s=259_200, interval_s=86_400, max_lag_s=43_200)
+_LIVE = _DETECT.replace(str(_W), str(LIVE.window_s * 1_000_000)).replace(str(_IV), str(LIVE.interval_s * 1_000_000))
+#: Nothing is activated, and streaks end, where an interval had no fresh record.
+_LIVE_STREAKS = _LIVE.replace("FROM q WHERE qualified", "FROM q WHERE qualified AND eval_us IN (SELECT bucket_us FROM det)")
 
 
 def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -847,6 +854,70 @@ def str05_tracked_groups(spark, sf_dir):
     return detector.tracked(observed(spark, sf_dir), FEW_GROUPS)
 
 
+def replayed(spark: SparkSession, sf_dir: str, of: Callable[[DataFrame], DataFrame], steps: int = 3) -> DataFrame:
+    """The log as a stream of `steps` files by receipt, run through `of` to its end; a last line that is no record lets all
+    windows end."""
+    folder = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
+    names = [c.split()[0] for c in stateful.RECORDS.split(", ")]
+    seen = observed(spark, sf_dir).withColumns({"site": F.lit("s"), "receipt_us": F.col("ts_us"), "structure_error": F.lit(False)}).select(*names)
+    seen = once(seen, "observed")
+    first, last = seen.agg(F.min("receipt_us"), F.max("receipt_us")).first()
+    first, last = first or 1, last or 1
+    cuts = [first + (last + 1 - first) * i // steps for i in range(steps + 1)]
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        seen.where(F.col("receipt_us").between(a, b - 1)).coalesce(1).write.parquet(f"{folder}/in/{i}")
+    close = spark.range(1).select(F.lit("s").alias("site"), F.lit(-1).cast("bigint").alias("seq"), F.lit(last + 3 * LIVE.window_s * 1_000_000).cast("bigint").alias("receipt_us"), F.lit(True).alias("structure_error"))
+    seen.limit(0).unionByName(close, allowMissingColumns=True).coalesce(1).write.parquet(f"{folder}/in/{steps}")
+    stream = spark.readStream.schema(stateful.RECORDS).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+    found = of(stream)
+    stateful.start(found, f"{folder}/out", f"{folder}/state", once=True).awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{folder}/out")
+
+
+def spoken(spark: SparkSession, sf_dir: str, event: str, d: detector.Detection = LIVE) -> DataFrame:
+    """Events of one name that the streaming detector gives for the log, with an empty baseline."""
+    none = spark.createDataFrame([], "method string, path string, p99 bigint")
+    return replayed(spark, sf_dir, lambda records: stateful.events(records, d, (none,) * 3)).where(F.col("event") == event)
+
+
+@query("SELECT kind, method, path, eval_us, requests, upstream_samples, upstream_us, path_prefix, unsafe, clients FROM qual", _LIVE)
+def live07_groups(spark, sf_dir):
+    """`str07_groups` as a stream, with sketches as state."""
+    return replayed(spark, sf_dir, lambda records: stateful.group_windows(records, LIVE)).drop("site", "at", "first_seq")
+
+
+@query("SELECT method, path, eval_us, requests, clients, upstream_us FROM q WHERE kind = 'shape' AND able", _LIVE.replace(" AS qualified FROM qual)", " AS able FROM qual)").split(",\nst AS")[0])
+def live09_distributed(spark, sf_dir):
+    """`str09_distributed` as a stream."""
+    none = spark.createDataFrame([], "method string, path string, p99 bigint")
+    judged = lambda records: detector.thresholds(stateful.group_windows(records, LIVE), none, none, none, LIVE)
+    return replayed(spark, sf_dir, judged).where("kind = 'shape' AND able").select("method", "path", "eval_us", "requests", "clients", "upstream_us")
+
+
+@query("SELECT kind, method, path, eval_us, streak FROM st", _LIVE_STREAKS)
+def live10_streaks(spark, sf_dir):
+    """`wn06_streaks` as a stream: what has qualified, and how often in a row."""
+    return spoken(spark, sf_dir, "qualified").select("kind", "method", "path", "eval_us", F.col("n").alias("streak"))
+
+
+@query("SELECT eval_us, method, path_prefix, CAST(min(request_threshold) AS BIGINT) AS request_threshold, array_to_string(list_sort(list(DISTINCT CASE WHEN kind = 'volume' THEN 'extreme-volume' ELSE 'distributed-expense' END)), ',') AS reasons FROM st WHERE streak >= 2 GROUP BY 1, 2, 3", _LIVE_STREAKS)
+def live11_proposals(spark, sf_dir):
+    """`str11_proposals` as a stream."""
+    return spoken(spark, sf_dir, "proposal").select("eval_us", "method", "path_prefix", "request_threshold", "reasons")
+
+
+@query("SELECT eval_us, kind, method, path, rank FROM (SELECT *, row_number() OVER (PARTITION BY eval_us ORDER BY first_seq, o, kind, method, path) AS rank FROM (SELECT eval_us, kind, method, path, min(seq) AS first_seq, min(o) AS o FROM (SELECT bucket_us + off AS eval_us, seq, kind, o, method, CASE WHEN kind = 'volume' THEN actionable_prefix ELSE route END AS path FROM det, offs, (VALUES ('volume', 1), ('shape', 2)) k(kind, o) WHERE candidate AND actionable_prefix IS NOT NULL AND actionable_prefix <> '/') GROUP BY 1, 2, 3, 4)) WHERE rank <= 3", _LIVE)
+def live05_tracked(spark, sf_dir):
+    """`str05_tracked_groups` as a stream: the first three groups of each evaluation."""
+    return spoken(spark, sf_dir, "tracked", replace(LIVE, max_groups=3)).select("eval_us", "kind", "method", "path", F.col("n").alias("rank"))
+
+
+@query("SELECT bucket_us AS eval_us, count(*) AS fresh FROM det GROUP BY 1", _LIVE)
+def live18_intake(spark, sf_dir):
+    """Fresh records before each evaluation, as the stream counts them."""
+    return spoken(spark, sf_dir, "intake").where("kind = 'fresh'").select("eval_us", F.col("n").alias("fresh"))
+
+
 _RECEIVED = "ts_us + (seq % 100 - 20 + CASE WHEN ts_us {div} 600000000 % 3 = 0 THEN 100 ELSE 0 END) * 30000000"
 
 

@@ -94,18 +94,24 @@ def at_least(n: str, denominator: str, ppm: int) -> str:
     return f"({denominator} > 0 AND CAST({n} AS DECIMAL(20,0)) * 1000000 >= CAST({denominator} AS DECIMAL(20,0)) * {ppm})"
 
 
-def qualified(windows: DataFrame, site: DataFrame, prefix_p99: DataFrame, route_p99: DataFrame, route_upstream_p99: DataFrame, d: Detection) -> DataFrame:
-    """Adds thresholds from the baseline and qualified. A series without a baseline has the floor."""
+def thresholds(windows: DataFrame, prefix_p99: DataFrame, route_p99: DataFrame, route_upstream_p99: DataFrame, d: Detection) -> DataFrame:
+    """Adds thresholds from the baseline and able: whether all holds but the share of the site. A series without a baseline
+    has the floor. Baselines are static, so streams may be judged as well."""
     named = lambda df, kind, name: df.select(F.lit(kind).alias("kind"), "method", "path", F.col("p99").alias(name))
     base = named(prefix_p99, "volume", "p99").unionByName(named(route_p99, "shape", "p99"))
-    out = windows.join(base, ["kind", "method", "path"], "left").join(named(route_upstream_p99, "shape", "up99"), ["kind", "method", "path"], "left").join(site, "eval_us", "left").na.fill(0, ["p99", "up99", "site_requests"])
+    out = windows.join(base, ["kind", "method", "path"], "left").join(named(route_upstream_p99, "shape", "up99"), ["kind", "method", "path"], "left").na.fill(0, ["p99", "up99"])
     volume, shape = (threshold("p99", f, d.multiplier, d.window_s) for f in (d.volume_min_requests, d.distributed_min_requests))
     out = out.withColumn("request_threshold", F.expr(f"CASE WHEN kind = 'volume' THEN {volume} ELSE {shape} END"))
     out = out.withColumn("upstream_threshold", F.expr(f"CASE WHEN kind = 'shape' THEN {threshold('up99', d.distributed_min_upstream_us, d.multiplier, d.window_s)} END"))
-    by_volume = f"requests >= request_threshold AND {at_least('requests', 'site_requests', d.volume_min_share_ppm)}"
-    by_shape = f"""requests >= request_threshold AND clients >= {d.distributed_min_clients} AND {at_least("clients", "requests", d.distributed_min_client_ratio_ppm)}
+    by_shape = f"""clients >= {d.distributed_min_clients} AND {at_least("clients", "requests", d.distributed_min_client_ratio_ppm)}
       AND {at_least("upstream_samples", "requests", d.distributed_min_coverage_ppm)} AND upstream_us >= upstream_threshold AND upstream_us >= CAST(upstream_samples AS DECIMAL(20,0)) * {d.distributed_min_average_us}"""
-    return out.withColumn("qualified", F.expr(f"NOT unsafe AND CASE WHEN kind = 'volume' THEN {by_volume} ELSE {by_shape} END"))
+    return out.withColumn("able", F.expr(f"NOT unsafe AND requests >= request_threshold AND (kind = 'volume' OR {by_shape})"))
+
+
+def qualified(windows: DataFrame, site: DataFrame, prefix_p99: DataFrame, route_p99: DataFrame, route_upstream_p99: DataFrame, d: Detection) -> DataFrame:
+    """Adds thresholds from the baseline and qualified; the requests of the whole site come from `site`."""
+    out = thresholds(windows, prefix_p99, route_p99, route_upstream_p99, d).join(site, "eval_us", "left").na.fill(0, ["site_requests"])
+    return out.withColumn("qualified", F.expr(f"able AND (kind = 'shape' OR {at_least('requests', 'site_requests', d.volume_min_share_ppm)})")).drop("able")
 
 
 def streaks(rows: DataFrame, d: Detection) -> DataFrame:
