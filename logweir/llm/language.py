@@ -76,9 +76,10 @@ def fit_languages(docs: DataFrame, text_col: str, lang_col: str, train: Column)
         raise ValueError(f"{len(langs)} languages; a model of more than {MAX_LANGUAGES} is too large for a worker")
     table = np.full((len(langs), BUCKETS), 0.5)
     if langs:
-        model = sums.toPandas()  # at most BUCKETS rows a language
         place = {lang: k for k, lang in enumerate(langs)}
-        table[model["_lang"].map(place).to_numpy(), model["_bucket"].to_numpy()] += model["_n"].to_numpy()
+        packed = sums.groupBy("_lang").agg(F.collect_list("_bucket").alias("b"), F.collect_list("_n").alias("n"))  # at most BUCKETS each
+        for r in packed.toLocalIterator():  # beside the table, the driver holds one partition's languages
+            table[place[r["_lang"]], r["b"]] += np.array(r["n"], dtype=float)
         table /= table.sum(axis=1, keepdims=True)
     return langs, np.log(table)
 

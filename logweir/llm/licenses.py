@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -54,34 +55,56 @@ class NoticeFinder:
         self.notices = [(n, seeds(n), regex.compile(f"(?b)(?:{regex.escape(n.text, literal_spaces=True)}){{e<={n.errors}}}")) for n in notices]
 
     def find(self, text: str) -> list[tuple[int, int, str, int, int]]:
-        """(start, end, label, errors, length of the notice) of the best match of each stretch that holds a seed, then of what
-        is left before and behind it, until nothing matches."""
+        """(start, end, label, errors, length of the notice) of matches that don't overlap: the one with the fewest errors,
+        the leftmost of those, then the best of what is left before and behind it, until nothing matches.
+
+        Each seed is searched for in its own window only, the notice's length and errors around it. A window's best match
+        waits in a heap; what is left of a window beside a match that was taken is searched again, so the work is linear in
+        the seeds, however many notices stand side by side."""
         out = []
         for notice, parts, pattern in self.notices:
             size, e = len(notice.text), notice.errors
-            regions = []
+            windows = set()
             for off, part in parts:
                 at = text.find(part)
                 while at >= 0:
-                    regions.append((max(0, at - off - e), at - off + size + e))
+                    windows.add((max(0, at - off - e), min(len(text), at - off + size + e)))
                     at = text.find(part, at + 1)
-            left = [(a, min(b, len(text))) for a, b in _joined(sorted(regions))]
-            while left:
-                a, b = left.pop()
-                if b - a >= size - e and (m := pattern.search(text, a, b)):
-                    out.append((m.start(), m.end(), notice.label, sum(m.fuzzy_counts), size))
-                    left += [(a, m.start()), (m.end(), b)]
+            waiting: list[tuple[int, int, int, int, int]] = []
+            taken = _Taken(size)
+
+            def search(a: int, b: int) -> None:
+                if b - a >= size - e and (m := pattern.search(text, a, b)):  # noqa: B023
+                    heapq.heappush(waiting, (sum(m.fuzzy_counts), m.start(), m.end(), a, b))  # noqa: B023
+
+            for a, b in windows:
+                search(a, b)
+            while waiting:
+                errors, start, end, a, b = heapq.heappop(waiting)
+                if not taken.between(start, end):
+                    taken.add(start, end)
+                    out.append((start, end, notice.label, errors, size))
+                for x, y in taken.between(a, b):
+                    search(a, x)
+                    a = y
+                search(a, b)
         return sorted(out)
 
 
-def _joined(regions: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in regions:
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+class _Taken:
+    """Spans that don't overlap, by the cells of `size` characters that they touch."""
+
+    def __init__(self, size: int):
+        self.size, self.cells = size, {}
+
+    def add(self, a: int, b: int) -> None:
+        for cell in range(a // self.size, (b - 1) // self.size + 1):
+            self.cells.setdefault(cell, []).append((a, b))
+
+    def between(self, a: int, b: int) -> list[tuple[int, int]]:
+        """Spans that overlap [a, b), by start."""
+        near = {x for cell in range(a // self.size, (b - 1) // self.size + 1) for x in self.cells.get(cell, ())}
+        return sorted((x, y) for x, y in near if x < b and y > a)
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: tuple[Notice, ...] = NOTICES) -> DataFrame:
@@ -89,7 +112,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spans (start, end in words, end exclusive; label; errors), labels sorted and distinct.
 
     Texts are lower-cased in A-Z and read as words; base phrases are counted at every place where their words stand
-    consecutively. A notice may differ by its number of errors and may span word ends. The score is 1 with a base
+    consecutively. `notices` is the method's table, open to callers. A notice may differ by its number of errors and may span word ends. The score is 1 with a base
     phrase, else the largest 1 - errors / length of a notice, 0 without any. Null and empty texts have no words.
     Repeated rows are scanned alike, very long texts whole; an empty table gives no rows; further columns are ignored, and
     every row is judged by itself: no shuffle."""

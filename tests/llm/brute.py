@@ -393,3 +393,30 @@ def alignment(docs):
     for (x, _), n in count.items():
         top[x] = max(top.get(x, 0), n)
     return [{"doc_id": i, "n_a": len(a), "n_b": len(b), "n_groups": n, "n_links": len(links), "n_best": sum(count[p] == top[p[0]] for p in links), "count_sum": sum(count[p] for p in links), "groups_sha256": sha(g) if a else ""} for i, a, b, g, n, links in each]
+
+
+def notices(text, table):
+    """(start, label, errors) of the best matches that don't overlap, from the edit distance of every substring."""
+    out = []
+    for notice in table:
+        pattern, e = notice.text, notice.errors
+        found = {}
+        for a in range(len(text)):
+            row = list(range(len(pattern) + 1))
+            for b in range(a, min(len(text), a + len(pattern) + e)):
+                new = [row[0] + 1]
+                for k, c in enumerate(pattern):
+                    new.append(min(row[k] + (c != text[b]), row[k + 1] + 1, new[k] + 1))
+                row = new
+                if row[-1] <= e:
+                    found[a, b + 1] = row[-1]
+        left = [(0, len(text))]
+        while left:
+            a, b = left.pop()
+            inside = [(n, x, y) for (x, y), n in found.items() if a <= x and y <= b]
+            if inside:
+                n, x, _ = min(inside)
+                y = max(y for m, z, y in inside if (m, z) == (n, x))
+                out.append((x, notice.label, n))
+                left += [(a, x), (y, b)]
+    return sorted(out)

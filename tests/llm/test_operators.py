@@ -297,6 +297,42 @@ def test_adjacent_notices_with_errors():
     assert [(s, e, k) for s, e, _, k, _ in found] == [(1, 19, 1), (20, 39, 0), (40, 58, 1)]
 
 
+def test_notices_are_the_best_of_all_substrings(spark):
+    rng = random.Random(6)
+
+    def worn(text, errors):
+        for _ in range(errors):
+            at = rng.randrange(len(text))
+            text = text[:at] + rng.choice(["", "x", "x" + text[at]]) + text[at + 1 :]
+        return text
+
+    finder, rows = NoticeFinder(), []
+    for i in range(25):
+        some = [worn(n.text, rng.randint(0, n.errors + 1)) for n in rng.choices(NOTICES, k=rng.randint(1, 4))]
+        text = " " + " ".join(x for s in some for x in (*(rng.choice(["zu", "wo", "ka"]) for _ in range(rng.randint(0, 3))), *s.split())) + " "
+        assert [(s, x, k) for s, _, x, k, _ in sorted(finder.find(text), key=lambda h: (h[0], h[2]))] == brute.notices(text, NOTICES), text
+        rows.append((i, text))
+    got = scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    for r, (_, text) in zip(sorted(got, key=lambda r: r["doc_id"]), rows, strict=True):
+        found = brute.notices(text, NOTICES)
+        size = {n.label: [len(m.text) for m in NOTICES if m.label == n.label] for n in NOTICES}
+        base = bool(r["n_base"])
+        assert set(r["labels"]) == {x for _, x, _ in found} | set(r["base_labels"])
+        assert sorted((s["label"], s["errors"]) for s in r["spans"]) == sorted((x, k) for _, x, k in found)
+        assert base and r["score"] == 1 or any(abs(r["score"] - (1 - k / n)) < 1e-12 for _, x, k in found for n in size[x]) or not found and r["score"] == 0
+
+
+def test_a_long_text_of_adjacent_notices_takes_linear_time():
+    import time
+
+    took = []
+    for n in (5_000, 20_000):
+        start = time.time()
+        assert len(NoticeFinder().find(" " + "all rights reservd " * n)) == n
+        took.append(time.time() - start)
+    assert took[1] < 12 * max(took[0], 0.05)
+
+
 def test_language(spark):
     rng = random.Random(9)
     words = {"en": ("the", "and", "thing", "with"), "fr": ("le", "une", "être", "avec"), "de": ("der", "und", "nicht", "schön")}
