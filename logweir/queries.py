@@ -20,6 +20,7 @@ from .plans import oracle as o
 from .plans.stage import once, shared_folder
 from .sources import lines, parsers
 from .sources.adapter import records
+from .sources.streams import read_sources
 from .streaming import baseline, detector, stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,6 +177,30 @@ def src08_ordered_sources(spark, sf_dir):
     return parts[0].unionByName(parts[1]).groupBy("source_ordinal").agg(F.count("*").alias("n"), F.expr("count_if(method = 'GET')").alias("gets"), F.sum("bytes_sent").alias("bytes_sent"))
 
 
+#: Sources that the log is dealt over, and how many of them are written as gzip.
+SOURCES, ZIPPED = 32, 24
+
+
+@query(f"""SELECT CAST(s AS INT) AS source_ordinal, s < {ZIPPED} AS compressed, count(*) AS lines, CAST(sum(strlen(line) + 1) AS BIGINT) AS expanded_bytes,
+  CAST(sum(n * (bytes_sent + 1)) AS BIGINT) AS placed, min(seq) AS first_seq, max(seq) AS last_seq
+FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY seq) AS n FROM (SELECT seq, bytes_sent, seq % {SOURCES} AS s, concat_ws(' ', seq, bytes_sent, method, request_uri) AS line FROM rec)) GROUP BY 1, 2""", RAW)
+def src06_streamed_sources(spark, sf_dir):
+    """The log written to plain and gzip files and read again: counts of the pass, and places of lines within their file."""
+    folder = f"{shared_folder(spark)}/sources-{uuid.uuid4().hex}"
+    r = records(spark, sf_dir).select("seq", (F.col("seq") % SOURCES).alias("s"), F.concat_ws(" ", "seq", "bytes_sent", "method", "request_uri").alias("line"))
+    r = once(r, "dealt")
+    for name, rows, codec in (("a", f"s < {ZIPPED}", "gzip"), ("b", f"s >= {ZIPPED}", "none")):
+        own = r.where(rows).repartition(SOURCES, "s").sortWithinPartitions("s", "seq").select("s", "line")
+        own.write.option("compression", codec).partitionBy("s").text(f"{folder}/{name}")
+    place = lambda path: (path.rsplit("/", 3)[1], int(path.rsplit("s=", 1)[1].split("/", 1)[0]))
+    files = sorted((f for name in "ab" for f in spark.read.text(f"{folder}/{name}").inputFiles()), key=place)
+    found, per_file = read_sources(spark, files)
+    part = F.split("line", " ")
+    parsed = found.select("source_ordinal", (F.col("seq") % lines.SOURCE_STEP + 1).alias("n"), part[0].cast("long").alias("own"), part[1].cast("long").alias("bytes_sent"))
+    sums = parsed.groupBy("source_ordinal").agg(F.sum(F.expr("n * (bytes_sent + 1)")).alias("placed"), F.min("own").alias("first_seq"), F.max("own").alias("last_seq"))
+    return per_file.join(F.broadcast(sums), "source_ordinal").select("source_ordinal", "compressed", "lines", "expanded_bytes", "placed", "first_seq", "last_seq")
+
+
 # --- projections ---------------------------------------------------------------------------------------------------
 
 

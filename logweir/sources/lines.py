@@ -1,12 +1,7 @@
-"""Line sources: ordered files, over-long and empty lines, gzip by content, the running abort rule."""
+"""Line sources: ordered files, over-long and empty lines, the running abort rule. Compressed files: `streams`."""
 
 from __future__ import annotations
 
-import hashlib
-import zlib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -51,79 +46,6 @@ class ExpansionError(ValueError):
     """A compressed source grows beyond what is allowed."""
 
 
-def _expanded(content: bytes, max_bytes: int, max_ratio: int) -> Iterator[bytes]:
-    """The content in blocks; gzip streams, one after another, are known by their first two bytes. Limits are checked
-    before a block is handed on, so nothing expands beyond them."""
-    if content[:2] != b"\x1f\x8b":
-        if len(content) > max_bytes:
-            raise ExpansionError("expansion limit exceeded")
-        yield content
-        return
-    total, left = 0, content
-    while left:
-        stream = zlib.decompressobj(31)
-        try:
-            while not stream.eof:
-                block = stream.decompress(left, BLOCK)
-                left = stream.unconsumed_tail
-                total += len(block)
-                if total > max_bytes or total > max(FREE, max_ratio * len(content)):
-                    raise ExpansionError("expansion limit exceeded")
-                if not block and not left and not stream.eof:
-                    raise ValueError("invalid gzip stream")
-                yield block
-        except zlib.error:
-            raise ValueError("invalid gzip stream") from None
-        left = stream.unused_data
-
-
-def read_compressed(spark: SparkSession, path: str, max_bytes: int = 1 << 34, max_ratio: int = 200, max_line: int = MAX_LINE) -> DataFrame:
-    """(seq, line, line_code) of one file that is gzip by its first two bytes, whatever its name. Such a file can't be
-    split; it is expanded block by block in one task, and its lines are dealt out behind it."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                seq, rest, skipping = 0, b"", False
-                for block in _expanded(content, max_bytes, max_ratio):
-                    *whole, rest = (rest + block).split(b"\n")
-                    if skipping and whole:  # the end of a line that was given up
-                        whole, skipping = whole[1:], False
-                    out = [x.removesuffix(b"\r") for x in whole]
-                    if len(rest) > max_line + 1:
-                        if not skipping:
-                            out.append(b"x" * (max_line + 1))
-                        rest, skipping = b"", True
-                    if out:
-                        yield pd.DataFrame({"seq": range(seq, seq + len(out)), "line": [x.decode("utf-8", "replace") for x in out]})
-                        seq += len(out)
-                if rest and not skipping:
-                    yield pd.DataFrame({"seq": [seq], "line": [rest.removesuffix(b"\r").decode("utf-8", "replace")]})
-
-    lines = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "seq bigint, line string")
-    return _coded(lines.repartition(spark.sparkContext.defaultParallelism), max_line)
-
-
-def source_facts(spark: SparkSession, paths: list[str], max_bytes: int = 1 << 34, max_ratio: int = 200) -> DataFrame:
-    """(path, compressed, bytes, expanded_bytes, sha256, error) of each file, from one pass in blocks; error names a source
-    that can't be read to its end. The sum of expanded_bytes is what a limit over all sources is held against."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                n, error = 0, None
-                try:
-                    for block in _expanded(content, max_bytes, max_ratio):
-                        n += len(block)
-                except ValueError as e:
-                    error = str(e)
-                out.append((path, content[:2] == b"\x1f\x8b", len(content), n, hashlib.sha256(content).hexdigest(), error))
-            yield pd.DataFrame(out, columns=["path", "compressed", "bytes", "expanded_bytes", "sha256", "error"])
-
-    return spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInPandas(run, "path string, compressed boolean, bytes bigint, expanded_bytes bigint, sha256 string, error string")
-
-
 def parse_abort(lines: DataFrame) -> DataFrame:
     """From (seq, rejected) of non-empty lines: total, rejected, abort_seq of the first line at which too many were
     rejected (or null), and whether the final rule fails.

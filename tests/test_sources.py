@@ -3,14 +3,13 @@
 import gzip
 import hashlib
 import json
-import zlib
 
 import pytest
 
 from logweir.functions import numbers, probes
 from logweir.operators import policy
 from logweir.plans.events import normalised
-from logweir.sources import lines, parsers
+from logweir.sources import lines, parsers, streams
 from logweir.streaming import live
 from logweir.streaming.detector import Detection
 
@@ -76,7 +75,7 @@ def test_lines_keep_their_order(spark, tmp_path):
 
 def test_gzip_is_known_by_its_bytes(spark, tmp_path):
     (tmp_path / "x.log").write_bytes(gzip.compress(b"a\n\n") + gzip.compress(b"b\r\n" + b"z" * 3_000_000 + b"\nend"))
-    got = lines.read_compressed(spark, str(tmp_path / "x.log"), max_bytes=1 << 24, max_ratio=10_000).orderBy("seq").collect()
+    got = streams.read_sources(spark, [str(tmp_path / "x.log")], max_bytes=1 << 24, max_ratio=10_000)[0].orderBy("seq").collect()
     assert [(r["line"], r["line_code"]) for r in got] == [("a", None), ("", "empty_line"), ("b", None), ("", "line_too_long"), ("end", None)]
 
 
@@ -84,11 +83,47 @@ def test_expansion_is_bounded(spark, tmp_path):
     made = {"bomb": gzip.compress(bytes(1 << 26)), "cut": gzip.compress(b"abc" * 99)[:-9], "plain": b"x\n", "good": gzip.compress(b"y\n" * 10)}
     for name, content in made.items():
         (tmp_path / name).write_bytes(content)
-    facts = {r["path"].rsplit("/", 1)[1]: r for r in lines.source_facts(spark, [str(tmp_path)]).collect()}
+    facts = {r["path"].rsplit("/", 1)[1]: r for r in streams.source_facts(spark, [str(tmp_path)]).collect()}
     assert {k: r["error"] for k, r in facts.items()} == {"bomb": "expansion limit exceeded", "cut": "invalid gzip stream", "plain": None, "good": None}
     assert facts["good"]["expanded_bytes"] == 20 and facts["good"]["sha256"] == hashlib.sha256(made["good"]).hexdigest() and facts["bomb"]["expanded_bytes"] <= 200 * len(made["bomb"])
     with pytest.raises(ValueError, match="expansion limit"):
-        sum(map(len, lines._expanded(zlib.compress(bytes(100), wbits=31), 50, 200)))
+        streams.read_sources(spark, [str(tmp_path / "good")], max_bytes=19)
+
+
+def test_sources_share_one_cap(spark, tmp_path):
+    made = {"0.log": b"a\nb\n", "1.gz": gzip.compress(b"c\n" * 500), "2.log": gzip.compress(b"d\r\n" * 300) + gzip.compress(b"last"), "3.gz": b"", "4.gz": b"\x1f"}
+    for name, content in made.items():
+        (tmp_path / name).write_bytes(content)
+    size = 4 + 1000 + 904 + 0 + 1
+    rows, facts = streams.read_sources(spark, [str(tmp_path)], max_bytes=size)
+    got = facts.orderBy("source_ordinal").collect()
+    assert [(r["compressed"], r["bytes"], r["expanded_bytes"], r["lines"]) for r in got] == [(n in (1, 2), len(c), e, k) for n, (c, e, k) in enumerate(zip(made.values(), (4, 1000, 904, 0, 1), (2, 500, 301, 0, 1), strict=True))]
+    assert [r["sha256"] for r in got] == [hashlib.sha256(c).hexdigest() for c in made.values()]
+    assert [r["line"] for r in rows.orderBy("seq").collect()] == ["a", "b"] + ["c"] * 500 + ["d"] * 300 + ["last", "\x1f"]
+    for cap, message in ((size - 1, "source 4: expansion"), (1200, "source 2: expansion"), (4, "expansion limit")):
+        with pytest.raises(ValueError, match=message):
+            streams.read_sources(spark, [str(tmp_path)], max_bytes=cap)
+
+
+def test_what_is_no_source(spark, tmp_path):
+    (tmp_path / "cut").write_bytes(gzip.compress(b"abc\n" * 9999)[:-9])
+    (tmp_path / "tail").write_bytes(gzip.compress(b"abc\n") + b"more")
+    (tmp_path / "link").symlink_to(tmp_path / "cut")
+    for names, message in ((["cut"], "source 0: invalid gzip"), (["tail"], "source 0: invalid gzip"), (["link"], "regular file"), (["none"], "regular file"), (["cut"] * 65, "65 inputs"), ([], "0 inputs")):
+        with pytest.raises(Exception, match=message):
+            streams.read_sources(spark, [str(tmp_path / n) for n in names])
+
+
+def test_expansion_takes_flat_memory(tmp_path):
+    import resource
+
+    with gzip.open(tmp_path / "x", "wb", compresslevel=1) as f:
+        for _ in range(300):
+            f.write((b"0123456789" * 10 + b"\n") * 10_000)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    stream = streams.Stream(str(tmp_path / "x"), 1 << 34, 10_000)
+    assert sum(1 for _ in streams.split_lines(stream.blocks(), 1000)) == 3_000_000
+    assert stream.expanded == 303_000_000 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 60_000
 
 
 def test_routes(spark):
