@@ -96,17 +96,44 @@ def query_keys(df: DataFrame, key: bytes) -> DataFrame:
     return out.drop("_p", "_kv", "_keys")
 
 
+_OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+
+
+def canonical_ipv6(ip: str) -> str:
+    """Plain text of an IPv6 address, null for anything else: lower case, no leading zeros, the first of the longest runs of
+    two or more zero groups as `::`; an address that maps an IPv4 one is that one. Addresses with a zone are null."""
+    let = lambda value, name, body: f"transform(array({value}), {name} -> {body})[0]"
+    dotted = f"^(.*:){_OCTET}[.]{_OCTET}[.]{_OCTET}[.]{_OCTET}\\\\z"
+    octet = lambda i: f"CAST(regexp_extract(x, '{dotted}', {i}) AS INT)"
+    pair = lambda i: f"lower(hex({octet(i)} * 256 + {octet(i + 1)}))"
+    hex_only = f"CASE WHEN NOT contains(x, '.') THEN x WHEN x RLIKE '{dotted}' THEN concat(regexp_extract(x, '{dotted}', 1), {pair(2)}, ':', {pair(4)}) END"
+    side = lambda i: f"CASE WHEN coalesce(get(h, {i}), '') = '' THEN CAST(array() AS ARRAY<STRING>) ELSE split(h[{i}], ':') END"
+    # a is what stands before `::`, b what stands behind it
+    sides = f"named_struct('n', size(h), 'a', {side(0)}, 'b', {side(1)})"
+    valid = "forall(concat(p.a, p.b), g -> g RLIKE '^[0-9a-f]{1,4}\\\\z') AND (p.n = 1 AND size(p.a) = 8 OR p.n = 2 AND size(p.a) + size(p.b) <= 7)"
+    groups = f"CASE WHEN {valid} THEN transform(concat(p.a, array_repeat('0', 8 - size(p.a) - size(p.b)), p.b), g -> regexp_replace(g, '^0+(?=.)', '')) END"
+    number = lambda i: f"CAST(conv(g[{i}], 16, 10) AS INT)"
+    ipv4 = "concat_ws('.', " + ", ".join(f"{number(i)} div 256, {number(i)} % 256" for i in (6, 7)) + ")"
+    run = "get(filter(transform(sequence(8, 2, -1), k -> concat(':', repeat('0:', k))), z -> contains(s, z)), 0)"
+    short = f"CASE WHEN z IS NULL THEN trim(':' FROM s) ELSE concat(ltrim(':', substring_index(s, z, 1)), '::', rtrim(':', substr(s, locate(z, s) + length(z)))) END"
+    text = f"CASE WHEN array_join(slice(g, 1, 6), ':') = '0:0:0:0:0:ffff' THEN {ipv4} WHEN g IS NOT NULL THEN {let("concat(':', array_join(g, ':'), ':')", 's', let(run, 'z', short))} END"
+    return let(f"lower({ip})", "x", let(hex_only, "y", let("split(y, '::')", "h", let(sides, "p", let(groups, "g", text)))))
+
+
 def referer_host(referer: str) -> str:
-    """Lower-cased host of an http(s) referer without user information, if its labels are those of a DNS name."""
-    host = f"lower(regexp_extract({referer}, '(?i)^https?://([^/?#@:\\\\[\\\\]]+)(:[0-9]*)?([/?#]|\\\\z)', 1))"
+    """Lower-cased host of an http(s) referer without user information, if its labels are those of a DNS name; an address in
+    brackets in its plain form."""
+    end = "(:[0-9]*)?([/?#]|\\\\z)"
+    host = f"lower(regexp_extract({referer}, '(?i)^https?://([^/?#@:\\\\[\\\\]]+){end}', 1))"
     label = "[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?"
-    return f"(CASE WHEN {host} RLIKE '^{label}([.]{label})*\\\\z' THEN {host} END)"
+    address = f"regexp_extract({referer}, '(?i)^https?://\\\\[([0-9a-f:.]+)\\\\]{end}', 1)"
+    return f"(CASE WHEN {host} RLIKE '^{label}([.]{label})*\\\\z' THEN {host} WHEN contains({referer}, '://[') THEN {canonical_ipv6(address)} END)"
 
 
 def segment_prefix(column: str, prefix: str) -> str:
     """Policy matching: the prefix itself or below it; a trailing slash does not matter. `prefix` is a literal."""
     p = prefix.rstrip("/")
-    return "true" if not p else f"({column} = '{p}' OR startswith({column}, '{p}/'))"
+    return f"{column} IS NOT NULL" if not p else f"({column} = '{p}' OR startswith({column}, '{p}/'))"
 
 
 def rule_prefix(column: str, prefix: str) -> str:

@@ -18,6 +18,8 @@ from .rate import PROFILES
 KINDS = ("allow", "deny", "rate_limit", "cache")
 CATEGORIES = ("claimed_ai_crawler", "claimed_search_crawler", "claimed_other_crawler")
 MAX_RULES = 100
+#: MiB of a rate zone beyond which it is to be acknowledged, and beyond which it is refused.
+ZONE_MIB = (32, 256)
 
 
 @dataclass(frozen=True)
@@ -185,7 +187,7 @@ def ambiguous_paths(cells: DataFrame, policy: Policy) -> DataFrame:
     return each.groupBy("rule_index").agg(F.sum("requests").alias("requests"))
 
 
-def risks(policy: Policy, impacts: list[dict], totals: dict, states: list[dict], ambiguous: set[int], modeled: dict[int, int], route_overflow: int = 0) -> list[tuple[str, str, bool]]:
+def risks(policy: Policy, impacts: list[dict], totals: dict, states: list[dict], ambiguous: set[int], modeled: dict[int, int], route_overflow: int = 0, zone_mib: tuple[int, int] = ZONE_MIB) -> list[tuple[str, str, bool]]:
     """(id, severity, acknowledgeable) from the bounded results of the simulation, sorted by id."""
     by_rule, out = {r["rule_index"]: r for r in impacts}, {}
     if route_overflow and any(r.path_prefixes for r in policy.rules):
@@ -209,9 +211,9 @@ def risks(policy: Policy, impacts: list[dict], totals: dict, states: list[dict],
         if r.kind == "cache":
             out[f"analysis-only-cache:{r.id}"] = ("info", False)
     for s in states:
-        if s["zone_mib"] > 256:
+        if s["zone_mib"] > zone_mib[1]:
             out[f"nginx-zone-too-large:{s['profile']}"] = ("high", False)
-        elif s["zone_mib"] > 32:
+        elif s["zone_mib"] > zone_mib[0]:
             out[f"nginx-zone-memory:{s['profile']}:{s['zone_mib']}"] = ("high", True)
     return sorted((k, *v) for k, v in out.items())
 

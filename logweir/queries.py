@@ -61,11 +61,14 @@ def compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev(spark, sf_dir).withColumn("ts_us", F.expr("ts_us div 100000"))
 
 
-def named_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = facts(spark, sf_dir)
+def named(e: DataFrame) -> DataFrame:
     return ag.cells(e).join(ag.user_agents(e), "ua_key")
 
 
+def named_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return named(facts(spark, sf_dir))
+
+
 def query(sql: str | None = None, ctes: str = o.EVENTS):
     """Registers the decorated function under its name; `sql` follows the shared CTEs."""
 
@@ -263,6 +266,24 @@ def prj15_referer_host(spark, sf_dir):
     return ev(spark, sf_dir).select("seq", "referer_host")
 
 
+_hex = lambda g: f"array_to_string(list_transform({g}, lambda x: format('{{:x}}', x)), ':')"
+_GROUPS = "list_transform(range(8), lambda i: CASE WHEN seq % 4 = 2 AND i < 6 THEN CASE WHEN i = 5 THEN 65535 ELSE 0 END WHEN seq % 4 = 3 AND i BETWEEN 1 AND 6 OR (seq >> i) % 2 = 1 THEN 0 ELSE (seq * 37 + i * 1009) % 65536 END)"
+
+
+@query(f"""SELECT seq, CASE WHEN seq % 23 = 0 THEN NULL WHEN list_sum(g[1:5]) = 0 AND g[6] = 65535 THEN concat_ws('.', g[7] // 256, g[7] % 256, g[8] // 256, g[8] % 256)
+  WHEN longest < 2 THEN {_hex('g')} ELSE {_hex('g[1:list_position(runs, longest) - 1]')} || '::' || {_hex('g[list_position(runs, longest) + longest:]')} END AS referer_host
+  FROM (SELECT *, list_max(runs) AS longest FROM (SELECT *, list_transform(range(1, 9), lambda i: coalesce(list_position(list_transform(g[i:], lambda x: x <> 0), true) - 1, 9 - i)) AS runs FROM (SELECT seq, {_GROUPS} AS g FROM rec)))""", RAW)
+def prj15_referer_ip(spark, sf_dir):
+    """Referers with an IPv6 address in many spellings, some with a zone."""
+    group = "transform(sequence(0, 7), i -> CASE WHEN seq % 4 = 2 AND i < 6 THEN CASE WHEN i = 5 THEN 65535 ELSE 0 END WHEN seq % 4 = 3 AND i BETWEEN 1 AND 6 OR shiftright(seq, i) % 2 = 1 THEN 0 ELSE (seq * 37 + i * 1009) % 65536 END)"
+    spelled = "transform(g, x -> CASE WHEN seq % 4 = 0 THEN lpad(hex(x), 4, '0') ELSE lower(hex(x)) END)"
+    dotted = "concat('::FFFF:', g[6] div 256, '.', g[6] % 256, '.', g[7] div 256, '.', g[7] % 256)"
+    text = f"CASE WHEN seq % 4 = 2 THEN {dotted} WHEN seq % 4 = 3 THEN concat(h[0], '::', h[7]) ELSE array_join(h, ':') END"
+    r = records(spark, sf_dir).withColumn("g", F.expr(group)).withColumn("h", F.expr(spelled))
+    r = r.withColumn("referer", F.expr(f"concat('HTTPS://[', {text}, CASE WHEN seq % 23 = 0 THEN '%25eth0' ELSE '' END, ']', CASE WHEN seq % 3 = 0 THEN ':8443' ELSE '' END, '/p?q')"))
+    return r.select("seq", F.expr(urls.referer_host("referer")).alias("referer_host"))
+
+
 @query("SELECT seq, client_key, url_fingerprint, ua_hash, ua_key FROM ev")
 def prj16_pseudonyms(spark, sf_dir):
     return ev(spark, sf_dir).select("seq", "client_key", "url_fingerprint", "ua_hash", "ua_key")
@@ -490,7 +511,7 @@ _BASE = f"{_FAST}, {o.CELLS}, {_HIST}, {_BOUNDS}"
 
 def fast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events in a 3600th of their time: minutes hold what hours did."""
-    return ev(spark, sf_dir).withColumn("ts_us", F.expr("ts_us div 3600")).withColumn("minute_us", F.expr("ts_us - ts_us % 60000000"))
+    return facts(spark, sf_dir).withColumn("ts_us", F.expr("ts_us div 3600")).withColumn("minute_us", F.expr("ts_us - ts_us % 60000000"))
 
 
 def _p99_sql(path: str, value: str) -> str:
@@ -531,12 +552,13 @@ def _cost_sql(key: str, rows: str) -> str:
     return f"SELECT *, CAST(egress_kopecks + coalesce(hosting_kopecks, 0) AS BIGINT) AS total_kopecks FROM ({_COST.format(key=key, rows=rows)})"
 
 
-_SAMPLED = o.EVENTS.replace("WHERE reject_code IS NULL", "WHERE reject_code IS NULL AND upstream_duration_us IS NOT NULL")
+_SAMPLED = o.EVENTS.replace("ev AS (SELECT * FROM norm", "ev AS (SELECT * REPLACE (coalesce(upstream_duration_us, request_duration_us) AS upstream_duration_us) FROM norm")
 
 
 @query(_cost_sql("primary_class", f"(SELECT primary_class, {_CLASSES} GROUP BY 1) c"), f"{_SAMPLED}, {o.CELLS}")
 def ag28_cost(spark, sf_dir):
-    e = facts(spark, sf_dir).where("upstream_duration_us IS NOT NULL")
+    """Costs of a log that has upstream time for every request: without an own value it is the request's."""
+    e = facts(spark, sf_dir).withColumn("upstream_duration_us", F.coalesce("upstream_duration_us", "request_duration_us"))
     return cost.allocate(ag.classes(ag.cells(e)), ag.summary(e), 500_000, 12_300).select("primary_class", "egress_kopecks", "hosting_kopecks", "total_kopecks")
 
 
@@ -575,7 +597,7 @@ def ag26_totals(spark, sf_dir):
 
 @query("SELECT 2 AS rule_index, CAST(sum(modeled_requests) AS BIGINT) AS modeled_requests, CAST(sum(allowed_requests) AS BIGINT) AS allowed_requests, CAST(sum(limited_requests) AS BIGINT) AS limited_requests, CAST(sum(limited_bytes) AS BIGINT) AS limited_bytes FROM impacts WHERE profile = 'strict' AND category = 'claimed_ai_crawler' HAVING count(*) > 0", f"{o.EVENTS}, {o.rate('ts_us // 100000')}")
 def jn14_rate_rules(spark, sf_dir):
-    e = compressed(spark, sf_dir)
+    e = once(compressed(spark, sf_dir), "events")
     return policy.rate_rule_impacts(rate.rate_impacts(e).join(ag.user_agents(e), "ua_key"), POLICY)
 
 
@@ -608,8 +630,8 @@ def wn07_top_routes(spark, sf_dir):
 
 @query("SELECT rule_index, CAST(sum(bytes_sent) AS BIGINT) AS bytes_avoided, CAST((2 * CAST(sum(bytes_sent) AS HUGEINT) * 12300 + 1073741824) // 2147483648::HUGEINT AS BIGINT) AS avoided_kopecks FROM hit WHERE rule_index IN (1, 4) GROUP BY 1", _POLICY)
 def ag29_avoided(spark, sf_dir):
-    e = ev(spark, sf_dir)
-    rows = policy.rule_impacts(named_cells(spark, sf_dir), POLICY).where("kind = 'deny'")
+    e = facts(spark, sf_dir)
+    rows = policy.rule_impacts(named(e), POLICY).where("kind = 'deny'")
     rows = rows.select("rule_index", F.col("bytes_avoided").alias("bytes_sent"), F.col("upstream_us_avoided").alias("upstream_duration_us"))
     return cost.allocate(rows, ag.summary(e), 0, 12_300).select("rule_index", F.col("bytes_sent").alias("bytes_avoided"), F.col("egress_kopecks").alias("avoided_kopecks"))
 
@@ -636,15 +658,54 @@ UNION ALL SELECT CASE WHEN mib > 256 THEN 'nginx-zone-too-large:strict' ELSE 'ng
 
 @query("SELECT risk, severity, acknowledgeable, CASE WHEN (SELECT bool_or(NOT acknowledgeable AND severity <> 'info') FROM found) THEN 'blocked' ELSE 'analysis_only' END AS status FROM found", f"{_POLICY}, {o.SUBJECTS}, {o.rate()}, {_MATCHED}, {_RISKS}")
 def rk_risks(spark, sf_dir):
-    """All risks of the policy with its status: bounded results meet on the driver."""
-    e = facts(spark, sf_dir)
-    c = named_cells(spark, sf_dir)
+    return risks_of(facts(spark, sf_dir), POLICY)
+
+
+#: A policy of the risks that POLICY has not, and how much smaller its zones may be than those of a server.
+BROAD = policy.Policy(
+    "broad",
+    (
+        policy.Rule("deny-posts", "deny", path_prefixes=("/",), methods=("POST",)),
+        policy.Rule("rate-search", "rate_limit", categories=("claimed_search_crawler",), rate_profile="standard"),
+        policy.Rule("rate-ai", "rate_limit", categories=("claimed_ai_crawler",), rate_profile="strict"),
+        policy.Rule("cache-root", "cache", path_prefixes=("/en", "/"), methods=("GET",), cache_ttl_seconds=60),
+    ),
+)
+_BROAD = """hit AS (SELECT *, CASE WHEN method = 'POST' AND actionable_prefix IS NOT NULL THEN 0 WHEN category = 'claimed_search_crawler' THEN 1 WHEN category = 'claimed_ai_crawler' THEN 2 WHEN method = 'GET' AND actionable_prefix IS NOT NULL THEN 3 END AS rule_index FROM cube),
+rules(i, id, kind) AS (VALUES (0, 'deny-posts', 'deny'), (1, 'rate-search', 'rate_limit'), (2, 'rate-ai', 'rate_limit'), (3, 'cache-root', 'cache')),
+per_rule AS (SELECT i, id, kind, coalesce(sum(requests), 0) AS m FROM rules LEFT JOIN hit ON i = rule_index GROUP BY 1, 2, 3),
+all_of AS (SELECT sum(requests) AS n, sum(requests) FILTER (actionable_prefix IS NOT NULL) AS actionable FROM hit),
+dims AS (SELECT count(DISTINCT route) AS n_routes FROM ev),
+zones AS (SELECT CASE category WHEN 'claimed_ai_crawler' THEN 'strict' ELSE 'standard' END AS profile, greatest(1, (count(*) * 512 + 1048575) // 1048576) AS mib FROM subjects WHERE category IN ('claimed_ai_crawler', 'claimed_search_crawler') GROUP BY 1),
+modeled AS (SELECT CASE category WHEN 'claimed_ai_crawler' THEN 2 ELSE 1 END AS i, sum(modeled_requests) AS s FROM impacts WHERE (category, profile) IN (('claimed_ai_crawler', 'strict'), ('claimed_search_crawler', 'standard')) GROUP BY 1),
+found(risk, severity, acknowledgeable) AS (
+SELECT 'cardinality-overflow:route', 'high', false FROM dims WHERE n_routes > 40
+UNION ALL SELECT DISTINCT 'protected-crawler:' || crawler, 'high', true FROM hit WHERE protected_default AND rule_index IN (0, 1, 2)
+UNION ALL SELECT 'broad-root-match:' || id, 'high', true FROM rules WHERE i IN (0, 3)
+UNION ALL SELECT DISTINCT 'path-deny-unclassified:deny-posts', 'high', true FROM hit WHERE rule_index = 0 AND primary_class = 'unclassified'
+UNION ALL SELECT 'high-impact:' || id, 'high', true FROM per_rule, all_of WHERE kind <> 'cache' AND m > n // 2
+UNION ALL SELECT 'path-normalization-drift:' || id, 'medium', true FROM rules, all_of WHERE i IN (0, 3) AND actionable < n
+UNION ALL SELECT 'rate-coverage-incomplete:' || id, 'high', false FROM per_rule LEFT JOIN modeled USING (i) WHERE kind = 'rate_limit' AND coalesce(s, 0) <> m
+UNION ALL SELECT 'analysis-only-cache:cache-root', 'info', false
+UNION ALL SELECT CASE WHEN mib > 256 THEN 'nginx-zone-too-large:' || profile ELSE 'nginx-zone-memory:' || profile || ':' || mib END, 'high', mib <= 256 FROM zones)"""
+
+
+@query("SELECT risk, severity, acknowledgeable, CASE WHEN (SELECT bool_or(NOT acknowledgeable AND severity <> 'info') FROM found) THEN 'blocked' ELSE 'analysis_only' END AS status FROM found", f"{_CUBE}, {o.SUBJECTS}, {o.rate()}, {_BROAD}")
+def rk_broad(spark, sf_dir):
+    """Risks of a policy that reaches the root, over 40 routes, with zones reported whatever their size."""
+    return risks_of(facts(spark, sf_dir), BROAD, max_routes=40, zone_mib=(0, 256))
+
+
+def risks_of(e: DataFrame, p: policy.Policy, max_routes: int = 50_000, zone_mib: tuple[int, int] = policy.ZONE_MIB) -> DataFrame:
+    """All risks of a policy with its status: bounded results meet on the driver."""
+    c, agents = named(e), ag.user_agents(e)
     rows = lambda df: [r.asDict() for r in df.collect()]  # noqa: E731  at most one row for each rule or profile
-    modeled = {r["rule_index"]: r["modeled_requests"] for r in rows(policy.rate_rule_impacts(rate.rate_impacts(e).join(ag.user_agents(e), "ua_key"), POLICY))}
-    states = rows(policy.observed_states(ag.subject_stats(e).join(ag.user_agents(e), "ua_key"), POLICY))
-    ambiguous = {r["rule_index"] for r in rows(policy.ambiguous_paths(c, POLICY))}
-    found = policy.risks(POLICY, rows(policy.rule_impacts(c, POLICY)), rows(policy.simulation_totals(c, c, POLICY))[0], states, ambiguous, modeled)
-    return spark.createDataFrame([(*r, policy.status(found)) for r in found], "risk string, severity string, acknowledgeable boolean, status string")
+    modeled = {r["rule_index"]: r["modeled_requests"] for r in rows(policy.rate_rule_impacts(rate.rate_impacts(e).join(agents, "ua_key"), p))}
+    states = rows(policy.observed_states(ag.subject_stats(e).join(agents, "ua_key"), p))
+    ambiguous = {r["rule_index"] for r in rows(policy.ambiguous_paths(c, p))}
+    over = ag.bounded(e, "route", max_routes, ag.OVERFLOW_ROUTE).agg(F.expr("count_if(overflow)")).first()[0]
+    found = policy.risks(p, rows(policy.rule_impacts(c, p)), rows(policy.simulation_totals(c, c, p))[0], states, ambiguous, modeled, over, zone_mib)
+    return e.sparkSession.createDataFrame([(*r, policy.status(found)) for r in found], "risk string, severity string, acknowledgeable boolean, status string")
 
 
 # --- joins ---------------------------------------------------------------------------------------------------------
@@ -823,9 +884,18 @@ def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detector.accounting(ev(spark, sf_dir).withColumn("limit_req_status", F.expr(_LIMITER)))
 
 
+#: What the detector's windows are made of.
+_SEEN = ("seq", "ts_us", "method", "route", "actionable_prefix", "client_key", "upstream_duration_us", "denominator", "candidate", "refresh")
+
+
+def seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`observed`, written once, for queries that aggregate it more than once."""
+    return once(observed(spark, sf_dir).select(*_SEEN), "observed")
+
+
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Window groups judged against an empty baseline."""
-    r = observed(spark, sf_dir)
+    """Window groups judged against an empty baseline. The site, the groups and their clients read what was written once."""
+    r = seen(spark, sf_dir)
     none = spark.createDataFrame([], "method string, path string, p99 bigint")
     return detector.qualified(detector.groups(r, DETECT), detector.site_counts(r, DETECT), none, none, none, DETECT)
 
@@ -848,7 +918,7 @@ def str03_sliding(spark, sf_dir):
 
 @query("SELECT kind, method, path, eval_us, requests, upstream_samples, upstream_us, path_prefix, unsafe, clients FROM qual", _DETECT)
 def str07_groups(spark, sf_dir):
-    return detector.groups(observed(spark, sf_dir), DETECT)
+    return detector.groups(seen(spark, sf_dir), DETECT)
 
 
 @query("SELECT method, path, eval_us, requests, site_requests FROM q WHERE kind = 'volume' AND qualified", _DETECT)
@@ -876,7 +946,7 @@ FEW_GROUPS = detector.Detection(window_s=3600, interval_s=600, max_groups=3)
 
 @query("SELECT eval_us, kind, method, path, rank, overflow FROM (SELECT *, CAST(row_number() OVER (PARTITION BY eval_us ORDER BY first_seq, o, kind, method, path) AS INT) AS rank, greatest(count(*) OVER (PARTITION BY eval_us) - 3, 0) AS overflow FROM (SELECT eval_us, kind, method, path, min(seq) AS first_seq, min(o) AS o FROM (SELECT bucket_us + off AS eval_us, seq, kind, o, method, CASE WHEN kind = 'volume' THEN actionable_prefix ELSE route END AS path FROM det, offs, (VALUES ('volume', 1), ('shape', 2)) k(kind, o) WHERE candidate AND actionable_prefix IS NOT NULL AND actionable_prefix <> '/') GROUP BY 1, 2, 3, 4)) WHERE rank <= 3", _DETECT)
 def str05_tracked_groups(spark, sf_dir):
-    return detector.tracked(observed(spark, sf_dir), FEW_GROUPS)
+    return detector.tracked(seen(spark, sf_dir), FEW_GROUPS)
 
 
 def replayed(spark: SparkSession, sf_dir: str, of: Callable[[DataFrame], DataFrame], steps: int = 3) -> DataFrame:
@@ -884,15 +954,15 @@ def replayed(spark: SparkSession, sf_dir: str, of: Callable[[DataFrame], DataFra
     windows end."""
     folder = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
     names = [c.split()[0] for c in stateful.RECORDS.split(", ")]
-    seen = observed(spark, sf_dir).withColumns({"site": F.lit("s"), "receipt_us": F.col("ts_us"), "structure_error": F.lit(False)}).select(*names)
-    seen = once(seen, "observed")
-    first, last = seen.agg(F.min("receipt_us"), F.max("receipt_us")).first()
+    rows = observed(spark, sf_dir).withColumns({"site": F.lit("s"), "receipt_us": F.col("ts_us"), "structure_error": F.lit(False)}).select(*names)
+    rows = once(rows, "observed")
+    first, last = rows.agg(F.min("receipt_us"), F.max("receipt_us")).first()
     first, last = first or 1, last or 1
     cuts = [first + (last + 1 - first) * i // steps for i in range(steps + 1)]
     for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        seen.where(F.col("receipt_us").between(a, b - 1)).coalesce(1).write.parquet(f"{folder}/in/{i}")
+        rows.where(F.col("receipt_us").between(a, b - 1)).coalesce(1).write.parquet(f"{folder}/in/{i}")
     close = spark.range(1).select(F.lit("s").alias("site"), F.lit(-1).cast("bigint").alias("seq"), F.lit(last + 3 * LIVE.window_s * 1_000_000).cast("bigint").alias("receipt_us"), F.lit(True).alias("structure_error"))
-    seen.limit(0).unionByName(close, allowMissingColumns=True).coalesce(1).write.parquet(f"{folder}/in/{steps}")
+    rows.limit(0).unionByName(close, allowMissingColumns=True).coalesce(1).write.parquet(f"{folder}/in/{steps}")
     stream = spark.readStream.schema(stateful.RECORDS).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
     found = of(stream)
     stateful.start(found, f"{folder}/out", f"{folder}/state", once=True).awaitTermination()
@@ -958,7 +1028,7 @@ def str14_intake(spark, sf_dir):
   FROM qual LEFT JOIN (SELECT method, path, p99 FROM base) USING (method, path) WHERE kind = 'volume'""", f"{_BASE}, base AS ({_p99_sql('actionable_prefix', 'requests')}), late AS (SELECT * FROM ev), {_STREAM.replace('FROM ev)', 'FROM (SELECT * REPLACE (ts_us * 3600 AS ts_us) FROM late))')}")
 def jn17_baseline(spark, sf_dir):
     """Volume groups against a history of their own: each series' p99 of its minutes raises its threshold."""
-    e = once(fast(spark, sf_dir), "events")
+    e = fast(spark, sf_dir)
     hist, minutes = baseline.history(ag.cells(e)), baseline.complete_minutes(ag.summary(e))
     p99 = [baseline.p99(hist, minutes, path, value) for path, value in (("actionable_prefix", "requests"), ("route", "requests"), ("route", "upstream_us"))]
     r = detector.accounting(e.withColumn("ts_us", F.expr("ts_us * 3600")).withColumn("limit_req_status", F.expr(_LIMITER)))
@@ -993,37 +1063,39 @@ FD = {
       route="NULL", subject="left(client_key, 12) || '…'", confidence="CASE WHEN score < 4 THEN 'low' WHEN p >= 1 THEN 'high' ELSE 'medium' END", id_subject="client_key"),
     "fd06": _fd("robots_violation", _VOL, "(SELECT crawler, route, count(*) AS requests FROM ev WHERE robots_allowed = false GROUP BY 1, 2)", subject="crawler"),
     "fd07": _fd("security_probe", _VOL, "(SELECT probe_id, route, count(*) AS requests FROM (SELECT unnest(probes) AS probe_id, coalesce(actionable_prefix, route) AS route FROM ev) GROUP BY 1, 2)", subject="probe_id"),
-    "fd08": _fd("metrics_missing", "'info'", "(SELECT m AS metric FROM (SELECT unnest(['request_duration', 'upstream_duration', 'cache_state']) AS m, unnest([count(request_duration_us), count(upstream_duration_us), count_if(cache_state <> 'unknown')]) AS n, count(*) AS c FROM ev WHERE seq % 5 = 0 AND upstream_duration_us IS NULL) WHERE n = 0 AND c > 0)", route="NULL", subject="metric", requests="0"),
+    "fd08": _fd("metrics_missing", "'info'", "(SELECT m AS metric FROM (SELECT unnest(['request_duration', 'upstream_duration', 'cache_state']) AS m, unnest([count(request_duration_us), count(upstream_duration_us), count_if(cache_state <> 'unknown')]) AS n, count(*) AS c FROM proxied) WHERE n = 0 AND c > 0)", route="NULL", subject="metric", requests="0"),
     "fd09": _fd("cardinality_overflow", "'medium'", "(SELECT 1 FROM (SELECT count(DISTINCT route) AS n FROM ev) WHERE n > 40)", route="NULL", subject="'bounded_dimensions'", requests="0"),
     "fd10": _fd("input_order_degraded", "'medium'", "(SELECT 1 FROM (SELECT bool_or(back) AS b FROM (SELECT t < lag(t) OVER (PARTITION BY client_key, ua_key ORDER BY seq) AS back FROM (SELECT *, CASE WHEN seq % 501 = 0 THEN ts_us - 200000000000 ELSE ts_us END AS t FROM ev))) WHERE b)", route="NULL", subject="'rate_model'", requests="0"),
 }
-_FD = f"{o.EVENTS}, {o.ROUTES}, {o.SUBJECTS}"
+#: The log as a server writes it that knows neither upstream nor cache.
+_PROXIED = "proxied AS (SELECT * REPLACE (CAST(NULL AS BIGINT) AS upstream_duration_us, 'unknown' AS cache_state) FROM ev)"
+_FD = f"{o.EVENTS}, {o.ROUTES}, {o.SUBJECTS}, {_PROXIED}"
 
 
-def all_findings(spark: SparkSession, sf_dir: str, t: findings.Thresholds = LOW) -> dict[str, DataFrame]:
-    e = facts(spark, sf_dir)
+def all_findings(e: DataFrame, t: findings.Thresholds = LOW) -> dict[str, DataFrame]:
     routes, subjects, total = ag.route_report(ag.route_stats(e)), ag.subject_stats(e), ag.summary(e)
     over = ag.bounded(e, "route", 40, ag.OVERFLOW_ROUTE).agg(F.expr("count_if(overflow)").alias("overflow"))
+    proxied = e.withColumn("upstream_duration_us", F.lit(None).cast("bigint")).withColumn("cache_state", F.lit("unknown"))
     late = rate.unordered(e.withColumn("ts_us", F.expr("CASE WHEN seq % 501 = 0 THEN ts_us - 200000000000 ELSE ts_us END"))).agg(F.expr("bool_or(unordered)").alias("order_degraded"))
     return {
         "fd01": findings.crawl_traps(routes, total, t), "fd02": findings.query_explosions(routes, t), "fd03": findings.expensive_404s(routes, t), "fd04": findings.cache_busting(routes, t), "fd05": findings.automation(subjects, t),
-        "fd06": findings.robots(ag.robots_violations(e)), "fd07": findings.probes(ag.probe_hits(e)), "fd08": findings.missing_metrics(ag.summary(e.where("seq % 5 = 0 AND upstream_duration_us IS NULL"))), "fd09": findings.overflow(over), "fd10": findings.order_degraded(late),
+        "fd06": findings.robots(ag.robots_violations(e)), "fd07": findings.probes(ag.probe_hits(e)), "fd08": findings.missing_metrics(ag.summary(proxied)), "fd09": findings.overflow(over), "fd10": findings.order_degraded(late),
     }
 
 
 for _k, _name in {"fd01": "crawl_traps", "fd02": "query_explosions", "fd03": "expensive_404s", "fd04": "cache_busting", "fd05": "automation", "fd06": "robots", "fd07": "probes", "fd08": "missing_metrics", "fd09": "overflow", "fd10": "order"}.items():
-    QUERIES[f"{_k}_{_name}"] = lambda spark, sf_dir, k=_k: all_findings(spark, sf_dir)[k]
+    QUERIES[f"{_k}_{_name}"] = lambda spark, sf_dir, k=_k: all_findings(facts(spark, sf_dir))[k]
     ORACLE[f"{_k}_{_name}"] = f"WITH {_FD}\n{FD[_k]}"
 
 
 @query("\nUNION ALL ".join(FD.values()), _FD)
 def set01_findings_union(spark, sf_dir):
-    return findings.united(*all_findings(spark, sf_dir).values())
+    return findings.united(*all_findings(facts(spark, sf_dir)).values())
 
 
 @query("SELECT * FROM (" + "\nUNION ALL ".join(FD.values()) + ") ORDER BY CASE severity WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 ELSE 1 END DESC, kind, coalesce(route, ''), coalesce(subject, '') LIMIT 60", _FD)
 def st04_findings_ranked(spark, sf_dir):
-    return findings.ranked(findings.united(*all_findings(spark, sf_dir).values()), 60)
+    return findings.ranked(findings.united(*all_findings(facts(spark, sf_dir)).values()), 60)
 
 
 _EV = lambda ms: "array_to_string(list_sort([" + ", ".join(f"'{m}=' || coalesce(CAST(r.{m} AS VARCHAR), '-')" for m in ms) + "]), ',')"
@@ -1117,5 +1189,5 @@ def snk02_report(spark, sf_dir):
     rows = lambda df, section, name, value: df.select(F.lit(section).alias("section"), F.expr(name).alias("name"), F.expr(value).cast("bigint").alias("value"))
     covered = ag.coverage(e).select(F.expr(f"stack({len(_COVERED)}, " + ", ".join(f"'{c}', {c}" for c in _COVERED) + ") AS (name, value)"))
     costs = cost.allocate(ag.classes(ag.cells(e)), stats, 500_000, 12_300)
-    found = findings.ranked(findings.united(*all_findings(spark, sf_dir).values()), 60).groupBy("kind", "severity").agg(F.count("*").alias("n"))
+    found = findings.ranked(findings.united(*all_findings(e).values()), 60).groupBy("kind", "severity").agg(F.count("*").alias("n"))
     return rows(covered, "coverage", "name", "value").unionByName(rows(costs, "class_cost", "primary_class", "total_kopecks")).unionByName(rows(ag.top_expensive(routes, "route", 50), "route_requests", "route", "requests")).unionByName(rows(found, "finding", "concat(kind, ' ', severity)", "n"))

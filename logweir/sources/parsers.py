@@ -5,43 +5,24 @@ Each parser takes (seq, line) and returns seq, line_code and the record columns.
 
 from __future__ import annotations
 
-import ipaddress
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..functions.crawlers import catalog
 from ..functions.numbers import optional_us, seconds_to_us, upstream_us
 from ..functions.probes import STATIC_SIGNATURES
-from ..functions.urls import CONTROL
+from ..functions.urls import CONTROL, canonical_ipv6
 
 RECORD_COLUMNS = ("ts_us", "client_ip", "method", "request_uri", "status", "bytes_sent", "request_duration_us", "upstream_duration_us", "cache_state", "user_agent", "referer")
 PROTOCOLS = ("HTTP/0.9", "HTTP/1.0", "HTTP/1.1", "HTTP/2.0", "HTTP/3.0")
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_IPV4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}\z"
-
-
-@F.pandas_udf(StringType())
-def _canonical_ipv6(s: pd.Series) -> pd.Series:
-    def one(text):
-        try:
-            ip = ipaddress.ip_address(text)
-        except ValueError:
-            return None
-        if getattr(ip, "scope_id", None):
-            return None
-        mapped = getattr(ip, "ipv4_mapped", None)
-        return str(mapped or ip)
-
-    return s.map(one, na_action="ignore")
+_IPV4 = rf"^{_OCTET}(?:[.]{_OCTET}){{3}}\\z"
 
 
-def canonical_ip(ip: Column) -> Column:
-    """Plain form of an address, null for anything else; only those with a colon leave the JVM."""
-    return F.when(F.rlike(ip, F.lit(_IPV4)), ip).otherwise(_canonical_ipv6(F.when(F.contains(ip, F.lit(":")), ip)))
+def canonical_ip(ip: str) -> Column:
+    """Plain form of an address, null for anything else. `ip` is an expression."""
+    return F.expr(f"CASE WHEN {ip} RLIKE '{_IPV4}' THEN {ip} WHEN contains({ip}, ':') THEN {canonical_ipv6(ip)} END")
 
 
 def _integer(text: str) -> str:
@@ -64,7 +45,7 @@ def nginx_combined(lines: DataFrame) -> DataFrame:
     part = lambda i: F.regexp_extract("line", shape, i)
     plain = lambda c: F.regexp_replace(c, r'\\(["\\])', "$1")
     out = lines.select("seq", "line", F.rlike("line", F.lit(shape)).alias("ok"), part(1).alias("ip"), part(2).alias("time"), plain(part(3)).alias("request"), part(4).alias("status_text"), part(5).alias("bytes_text"), plain(part(6)).alias("referer_text"), plain(part(7)).alias("agent"), part(8).alias("rest"))
-    out = out.withColumn("words", F.expr("filter(split(request, '[ \\\\t\\\\n\\\\x0b\\\\f\\\\r]+'), x -> x <> '')")).withColumn("canonical", canonical_ip(F.col("ip")))
+    out = out.withColumn("words", F.expr("filter(split(request, '[ \\\\t\\\\n\\\\x0b\\\\f\\\\r]+'), x -> x <> '')")).withColumn("canonical", canonical_ip("ip"))
     out = out.withColumn("at", F.expr("try_to_timestamp(time, 'dd/MMM/yyyy:HH:mm:ss Z')"))
     protocols = ", ".join(f"'{p}'" for p in PROTOCOLS)
     code = f"""CASE WHEN line = '' THEN 'empty_line' WHEN NOT ok THEN 'invalid_structure' WHEN trim(rest) <> '' THEN 'trailing_data' WHEN request = '-' THEN 'missing_request'
@@ -101,7 +82,7 @@ def nginx_json(lines: DataFrame, protection: bool = False) -> DataFrame:
         out = out.withColumn(f"j_{name}", F.expr(f"coalesce(try_variant_get(v, '$.{name}', 'string'), '')"))
     strings = " AND ".join(f"shape RLIKE '[<, ]{n}: STRING'" for n in required)
     typed = f"shape RLIKE '(^OBJECT<|, )({'|'.join(required + optional)}): (?!STRING|VOID)'"
-    out = out.withColumn("canonical", canonical_ip(F.col("j_remote_addr")))
+    out = out.withColumn("canonical", canonical_ip("j_remote_addr"))
     out = out.withColumn("at", F.expr("CASE WHEN j_timestamp RLIKE '^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:]{8}([.][0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})\\\\z' THEN try_to_timestamp(j_timestamp) END"))
     bad_duration = "(_request_duration_us IS NULL AND j_request_time NOT IN ('', '-')) OR exists(transform(split(j_upstream_response_time, ','), x -> trim(x)), x -> x NOT IN ('', '-') AND NOT x RLIKE '^[0-9]+([.][0-9]+)?\\\\z')"
     code = f"""CASE WHEN line = '' THEN 'empty_line' WHEN shape IS NULL OR NOT ({strings}) OR {typed} THEN 'invalid_json' WHEN at IS NULL THEN 'invalid_timestamp'
@@ -131,7 +112,7 @@ def caddy_json(lines: DataFrame) -> DataFrame:
     for name, path in paths.items():
         out = out.withColumn(f"j_{name}", F.expr(f"try_variant_get(v, '{path}', 'string')"))
     number = lambda n: f"shape RLIKE '[<, ]{n}: (BIGINT|DECIMAL)'"
-    out = out.withColumn("canonical", canonical_ip(F.coalesce("j_ip", F.lit(""))))
+    out = out.withColumn("canonical", canonical_ip("j_ip"))
     typed = " AND ".join([number("ts"), number("duration"), "shape RLIKE '[<, ]status: BIGINT'", "shape RLIKE '[<, ]size: BIGINT'"])
     present = "shape RLIKE '[<, ]request: OBJECT' AND j_ip IS NOT NULL AND j_method IS NOT NULL AND j_uri IS NOT NULL"
     doubles = "shape RLIKE '[<, ](ts|duration): DOUBLE'"
