@@ -451,6 +451,29 @@ def test_url_index(spark):
     assert got == ["|a.b^c*d^", "|a.b^c*d^", r"h.i/p\Eq.+/", None, "/login^", None, "@casino^", "/login^", "/tag/*/page/"]
 
 
+def test_url_patterns_equal_those_written_by_hand(spark):
+    """The registered SQL has its own patterns: each wildcard rule is held against them on hosts and paths around it."""
+    import duckdb
+
+    urls = []
+    for x in PATTERN_RULES:
+        body = x.name.strip("@|").replace("*", "mid")
+        for sep in "-/.9":
+            word = body.replace("^", sep)
+            if x.name.startswith("/"):
+                urls += [f"http://h.fr{word}", f"http://h.fr{word.rstrip(sep)}", f"http://h.fr/a{word.upper()}x", f"http://h.fr/x{word[1:]}", f"http://h.fr/a?{word}", f"http://h.fr{word[:-2]}"]
+            else:
+                urls += [f"http://{word}", f"http://a.{word}b.fr/", f"http://a-{word.upper()}b.fr/", f"http://z{word}fr/", f"http://fr/{word}", f"http://{word.rstrip(sep)}"]
+    rows = list(enumerate(urls))
+    c = duckdb.connect()
+    c.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    c.executemany("INSERT INTO pages VALUES (?, ?)", rows)
+    want = {r[0]: r[1] for r in c.execute(f"SELECT page_id, verdict FROM ({q.ORACLE['op10_url_filter']})").fetchall()}
+    got = {r["page_id"]: r for r in url_filter(spark.createDataFrame(rows, "page_id bigint, url string")).collect()}
+    assert {urls[k]: v["verdict"] for k, v in got.items()} == {urls[k]: v for k, v in want.items()}
+    assert {r["pattern_rule"] for r in got.values()} >= {x.name for x in PATTERN_RULES} and set(want.values()) == {"allow", "block"}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string, lang string")
     labels, items = spark.createDataFrame([], "doc_id bigint, quality int"), spark.createDataFrame([], "item_id bigint, text string")
