@@ -435,7 +435,7 @@ def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _across(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, n_parts: int) -> DataFrame:
+def _across(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """Links (u, v) between documents of block pairs that nothing connected so far, confirmed on full sets."""
     threshold, least = percent / 100, _least_estimate(percent / 100)
 
@@ -471,7 +471,7 @@ def _across(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, tex
                     out.append((ids[i], ids[j]))
             yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
-    dealt = lambda df: df.repartition(n_parts, "node").sortWithinPartitions("node", "side", "id")
+    dealt = lambda df: df.repartition("node").sortWithinPartitions("node", "side", "id")
     left = dealt(pairs.join(sets.select("id", "k", "sketch"), ["id", "k"])).mapInPandas(near, "node bigint, side int, id bigint, k bigint, n bigint, comp bigint")
     left = staged(left, "apart")
     full = _full_sets(docs, staged(left.select("id", "k").distinct(), "ids"), id_col, text_col, size)
@@ -506,8 +506,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     confirm = lambda pairs: _confirmed_pairs(staged(pairs, "pairs"), docs, id_col, text_col, size, percent)
     leaves, over, settled = _grown(sets, confirm, percent)
     looks = sets.select("id", "k", "n", "sketch")
-    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = lambda df: df.repartition(n_parts, "node").sortWithinPartitions("node", "id")
+    # without a number of partitions, so that Spark merges small ones: each costs a Python call, however few its rows
+    dealt = lambda df: df.repartition("node").sortWithinPartitions("node", "id")
     near = staged(_candidates(dealt(leaves.join(looks, ["id", "k"])), percent / 100), "candidates")
 
     def links_in(near: DataFrame) -> DataFrame:
@@ -528,7 +528,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more = links_in(near.where("late").join(apart, "node"))
     if over is not None:
         pairs = staged(_block_pairs(over, found, sets, percent), "pairs")
-        more = more.union(staged(_across(pairs, sets, docs, id_col, text_col, size, percent, n_parts), "across"))
+        more = more.union(staged(_across(pairs, sets, docs, id_col, text_col, size, percent), "across"))
     found = found if more.isEmpty() else components(found.union(more))
     of_set = owners.join(found.select(F.col("u").alias("id"), F.col("v").alias("_c")), "id", "left").select("fp", F.coalesce("_c", "id").alias("_c"))
     # a row without a set has a key of its own that no set has
