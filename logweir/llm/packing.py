@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -17,12 +17,6 @@ from .common import staged
 
 #: Pieces that are packed together; the number of such groups grows with the data.
 GROUP_PIECES = 8192
-#: Distinct words whose ids a Python worker remembers.
-CACHE_WORDS = 300_000
-
-_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A space inside a longer run of white space, or at its end: there it does not begin a token.
-_RUN = re.compile(f"[{_WHITE}] (?:[{_WHITE}]|$)")
 
 
 def vocabulary_path() -> str:
@@ -45,17 +39,17 @@ def split_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
-class ByteEncoder(dict):
+class ByteEncoder:
     """Ids of a text as little-endian unsigned 32-bit bytes, as the tokenizer at `path` gives them without adding any of its
-    own; remembers the ids of ' word' for each word.
+    own.
 
-    Texts without one of the tokenizer's special strings go through a faster encoder of the same vocabulary (`ranks`)."""
+    Texts without one of the tokenizer's special strings go through a faster encoder of the same vocabulary (`ranks`), whole: a memory
+    of words' ids costs more than it saves where many words are rare."""
 
     def __init__(self, path: str, ranks: str, pattern: str):
         import tiktoken
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         with open(ranks, "rb") as f:
@@ -65,22 +59,16 @@ class ByteEncoder(dict):
     def whole(self, text: str) -> bytes:
         return np.asarray(self.coder.encode_ordinary(text), dtype="<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.whole(" " + word)
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        if len(word) < 64:
-            self[word] = ids
-        return ids
-
     def encode(self, text: str) -> bytes:
-        """A space before a character that is no white space always begins a token, so the text may be cut there."""
         if any(x in text for x in self.special):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if _RUN.search(text):
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        return self.whole(first) + b"".join(map(self.__getitem__, rest))
+        return self.whole(text)
+
+
+@cache
+def _encoder(path: str, ranks: str, pattern: str) -> ByteEncoder:
+    """Loaded once for all tasks of a worker."""
+    return ByteEncoder(path, ranks, pattern)
 
 
 def token_pieces(docs: DataFrame, id_col: str, text_col: str, path: str, ranks: str, pattern: str, capacity: int, with_ids: bool) -> DataFrame:
@@ -91,7 +79,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, path: str, ranks:
     schema = f"_id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = ByteEncoder(path, ranks, pattern)
+        encoder = _encoder(path, ranks, pattern)
         for batch in batches:
             out = []
             for i, text in zip(batch["_id"].tolist(), batch["_text"].tolist(), strict=True):

@@ -249,6 +249,23 @@ def test_packing(docs):
     assert all(len(r["ids"]) == 4 * r["length"] for r in out)
 
 
+def test_encoder_keeps_no_words():
+    """Texts are encoded whole in one call, and a worker loads the encoder once."""
+    from logweir.llm import packing
+
+    e = packing._encoder(vocabulary_path(), ranks_path(), split_pattern())
+    assert e is packing._encoder(vocabulary_path(), ranks_path(), split_pattern())
+    calls, ordinary = [], e.coder
+    e.coder = type("Counted", (), {"encode_ordinary": lambda self, t: calls.append(t) or ordinary.encode_ordinary(t)})()
+    try:
+        texts = ["one two  three\n\tfour ", " ".join(f"w{i}é" for i in range(500)), "", "x" * 3000]
+        got = [e.encode(t) for t in texts]
+    finally:
+        e.coder = ordinary
+    assert calls == texts
+    assert got == [b"".join(i.to_bytes(4, "little") for i in e.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_encoder_is_exact():
     from tokenizers import Tokenizer
     import public_tokenizers
