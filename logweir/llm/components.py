@@ -7,23 +7,26 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
+#: Minima of so many links are broadcast (16 bytes each), and a round is one job; beyond it they are written and joined.
+BROADCAST_LINKS = 100_000
 
-def _least_neighbour(pairs: DataFrame) -> DataFrame:
-    """Each pair (u, v) with m, the smallest v of its u. The minima are written first, so that a hub's pairs are an
-    exchange of their own whose large partitions Spark splits."""
-    least = staged(pairs.groupBy("u").agg(F.min("v").alias("m")), "least")
-    return pairs.join(least, "u")
 
+def _least_neighbour(pairs: DataFrame, few: bool) -> DataFrame:
+    """Each pair (u, v) with m, the smallest v of its u. Unless the pairs are few, the minima are written first, so that a
+    hub's pairs are an exchange of their own whose large partitions Spark splits."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
+    return pairs.join(F.broadcast(least) if few else staged(least, "least"), "u")
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _large_star(edges: DataFrame, few: bool) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    seen = _least_neighbour(both).withColumn("m", F.least("m", "u"))
+    seen = _least_neighbour(both, few).withColumn("m", F.least("m", "u"))
     return seen.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, few: bool) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    seen = _least_neighbour(down)
+    seen = _least_neighbour(down, few)
     return seen.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
 
 
@@ -38,8 +41,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round links all larger neighbours of an id, then the id and its smaller neighbours, to the smallest
     neighbour; rounds grow as the logarithm of the largest component and end when all links are stars. Loops and repeated
-    links do no harm; no links give no rows."""
-    now = staged(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
-    while not _stars(now):
-        now = staged(_small_star(_large_star(now).where("u <> v").distinct()).where("u <> v").distinct(), "links")
-    return now
+    links do no harm; no links give no rows. The first round reads `edges` several times: what is costly is staged before."""
+    now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
+    few = now.count() <= BROADCAST_LINKS
+    while True:
+        now = staged(_small_star(_large_star(now, few).where("u <> v").distinct(), few).where("u <> v").distinct(), "links")
+        if _stars(now):
+            return now

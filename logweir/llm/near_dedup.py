@@ -40,6 +40,8 @@ MANY_PAIRS = 256
 #: A pair of just the similarity that is asked for has so low a sketch estimate that it is left out less often than this;
 #: pairs that stay are confirmed on their full sets.
 SKETCH_MISS = 1e-7
+#: Pivots of so many large nodes are broadcast (about 1.4 kB a node); beyond it they are dealt to the rows of their nodes.
+BROADCAST_NODES = 4096
 #: Ids of candidates are broadcast up to this many (8 bytes each); beyond it texts are shuffled to them.
 BROADCAST_IDS = 1_000_000
 
@@ -120,7 +122,9 @@ def _pivot_pairs(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     first = large.groupBy("node", F.pmod(F.shiftright(r, 20), F.lit(PIVOTS)).alias("_p")).agg(F.min(F.struct(r.alias("r"), "id", "k")).alias("p"))
     of_node = first.select("node", "p.id", "p.k").join(sets.select("id", "k", "n", "sketch"), ["id", "k"])
     pivots = staged(of_node.groupBy("node").agg(F.collect_list(F.struct("id", "k", "n", "sketch")).alias("pivots")), "pivots")  # PIVOTS at most
-    rows = salted_lookup(large.select("node", "id", "k"), pivots, "node", "id").join(sets.select("id", "k", "n", "sketch"), ["id", "k"])
+    members = large.select("node", "id", "k")
+    few = pivots.count() <= BROADCAST_NODES
+    rows = (members.join(F.broadcast(pivots), "node", "left") if few else salted_lookup(members, pivots, "node", "id")).join(sets.select("id", "k", "n", "sketch"), ["id", "k"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,10 +145,10 @@ def _pivot_pairs(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _confirmed_pairs(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """Links (u, v) among the given pairs, by their full sets."""
-    wanted = pairs.select("id", "k").union(pairs.select("v", "vk")).distinct()
-    full = staged(_full_sets(docs, wanted, id_col, text_col, size), "full")
+    wanted = pairs.select("id", "k").union(pairs.select("v", "vk"))
+    full = staged(_full_sets(docs, wanted, id_col, text_col, size).join(wanted, ["id", "k"], "left_semi"), "full")
     of_pivot = full.select(F.struct("id", "k").alias("p"), F.col("hashes").alias("other"))
-    rows = salted_lookup(pairs.join(full, ["id", "k"]).withColumn("p", F.struct(F.col("v").alias("id"), F.col("vk").alias("k"))), of_pivot, "p", "id")
+    rows = salted_lookup(pairs.withColumn("p", F.struct(F.col("v").alias("id"), F.col("vk").alias("k"))), of_pivot, "p", "id").join(full, ["id", "k"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -349,7 +353,8 @@ def _confirmed(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """Shingle hashes of the sets (id, k), from their documents' whole texts."""
+    """Shingle hashes of the sets of the documents in `ids`, one row for each id and set, from whole texts. What is wanted
+    of them is a join with (id, k). `ids` may repeat and is read twice."""
     import xxhash
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -360,9 +365,9 @@ def _full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, size
 
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     own = ids.select("id").distinct()
-    own = F.broadcast(own) if ids.count() <= BROADCAST_IDS else own
+    own = F.broadcast(own) if ids.count() <= BROADCAST_IDS or own.count() <= BROADCAST_IDS else own
     found = base.join(own, "id", "left_semi").mapInPandas(run, "id bigint, fp string, hashes binary")
-    return found.select("id", F.xxhash64("fp").alias("k"), "hashes").join(ids, ["id", "k"], "left_semi").dropDuplicates(["id", "k"])
+    return found.select("id", F.xxhash64("fp").alias("k"), "hashes").dropDuplicates(["id", "k"])
 
 
 def _block_pairs(over: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -474,7 +479,7 @@ def _across(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, tex
     dealt = lambda df: df.repartition("node").sortWithinPartitions("node", "side", "id")
     left = dealt(pairs.join(sets.select("id", "k", "sketch"), ["id", "k"])).mapInPandas(near, "node bigint, side int, id bigint, k bigint, n bigint, comp bigint")
     left = staged(left, "apart")
-    full = _full_sets(docs, staged(left.select("id", "k").distinct(), "ids"), id_col, text_col, size)
+    full = _full_sets(docs, left, id_col, text_col, size)
     return dealt(left.join(full, ["id", "k"])).mapInPandas(confirm, "u bigint, v bigint")
 
 
@@ -500,9 +505,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not isinstance(docs.schema[id_col].dataType, IntegralType):
         raise ValueError(f"{id_col}: near_dedup needs integer ids")
     rows = staged(_documents(docs, id_col, text_col, size), "shingles")
-    owners = staged(rows.where("fp is not null and _id is not null").groupBy("fp").agg(F.min("_id").alias("id")), "owners")
-    sets = rows.select(F.col("_id").alias("id"), "n", "fp", "mw", "sketch").join(owners, ["fp", "id"]).dropDuplicates(["fp", "id"])
-    sets = staged(sets.select("id", F.xxhash64("fp").alias("k"), "n", "mw", "sketch"), "sets")
+    # rows of equal sets have the same values of all kinds
+    sets = rows.where("fp is not null and _id is not null").groupBy("fp").agg(F.min("_id").alias("id"), *(F.any_value(c).alias(c) for c in ("n", "mw", "sketch")))
+    sets = staged(sets.select("id", F.xxhash64("fp").alias("k"), "n", "fp", "mw", "sketch"), "sets")
+    owners = sets.select("fp", "id")
     confirm = lambda pairs: _confirmed_pairs(staged(pairs, "pairs"), docs, id_col, text_col, size, percent)
     leaves, over, settled = _grown(sets, confirm, percent)
     looks = sets.select("id", "k", "n", "sketch")
@@ -515,19 +521,20 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         same = near.groupBy("node").agg(F.count("*").alias("c"), F.sum(F.xxhash64("id", "k") % (1 << 40)).alias("s"), F.bit_xor(F.xxhash64("id", "k")).alias("x"))
         once = same.where("c > 1").groupBy("c", "s", "x").agg(F.min("node").alias("node")).select("node")
         near = staged(near.join(once, "node").select("id", "k", "node"), "compared")
-        full = _full_sets(docs, staged(near.select("id", "k").distinct(), "ids"), id_col, text_col, size)
-        return staged(_confirmed(dealt(near.join(looks, ["id", "k"]).join(full, ["id", "k"])), percent), "confirmed")
+        full = _full_sets(docs, near, id_col, text_col, size)
+        return _confirmed(dealt(near.join(looks, ["id", "k"]).join(full, ["id", "k"])), percent)
 
     # an id with several texts links their sets
     several = rows.where("fp is not null and _id is not null").groupBy("_id").agg(F.min("fp").alias("_a"), F.max("fp").alias("_b")).where("_a <> _b").select("_id")
-    links = links_in(near.where("not late")).union(rows.join(several, "_id").join(owners, "fp").select(F.col("_id").alias("u"), F.col("id").alias("v")))
+    links = rows.join(several, "_id").join(owners, "fp").select(F.col("_id").alias("u"), F.col("id").alias("v"))
+    links = staged(links_in(near.where("not late")).union(links), "confirmed")
     found = components(links if settled is None else links.union(settled))
     # leaves of the other trees that hold documents which are still apart
     later = near.where("late").join(found.select(F.col("u").alias("id"), F.col("v").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     apart = later.groupBy("node").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a <> _b").select("node")
-    more = links_in(near.where("late").join(apart, "node"))
+    more = staged(links_in(near.where("late").join(apart, "node")), "confirmed")
     if over is not None:
-        pairs = staged(_block_pairs(over, found, sets, percent), "pairs")
+        pairs = _block_pairs(over, found, sets, percent)
         more = more.union(staged(_across(pairs, sets, docs, id_col, text_col, size, percent), "across"))
     found = found if more.isEmpty() else components(found.union(more))
     of_set = owners.join(found.select(F.col("u").alias("id"), F.col("v").alias("_c")), "id", "left").select("fp", F.coalesce("_c", "id").alias("_c"))

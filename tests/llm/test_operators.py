@@ -145,6 +145,28 @@ def test_near_in_large_nodes(spark, monkeypatch):
     same(near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")), brute.near(rows))
 
 
+def test_near_on_either_side_of_the_broadcasts(spark, monkeypatch):
+    """Few links and pivots are broadcast, and no helper table is written for them; many are shuffled: the same rows."""
+    import logweir.llm.components as stars
+    import logweir.llm.near_dedup as module
+
+    rng = random.Random(6)
+    base = [prose(rng, 120).split() for _ in range(2)]
+    rows = [(i, " ".join([*base[i % 2][:60], f"w{i}", *base[i % 2][61:]])) for i in range(36)] + [(36, ""), (37, prose(rng, 50))]
+    want, written = brute.near(rows), []
+    monkeypatch.setattr(module, "LEAF", 12)
+    monkeypatch.setattr(module, "LEVELS", 2)
+    for m in (stars, module):
+        monkeypatch.setattr(m, "staged", lambda df, name, f=m.staged: written.append(name) or f(df, name))
+    same(near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")), want)
+    assert "pivots" in written and not {"least", "ids", "owners"} & set(written)
+    monkeypatch.setattr(module, "BROADCAST_NODES", 0)
+    monkeypatch.setattr(module, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(stars, "BROADCAST_LINKS", 0)
+    same(near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")), want)
+    assert "least" in written
+
+
 def test_near_in_template_family(spark, monkeypatch):
     """Texts at 0.70 to 0.74 to each other that no pivot connects, with single pairs at 0.76: those pairs are found."""
     import logweir.llm.near_dedup as module
